@@ -53,40 +53,43 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0][:n], _POWERS[1][:n]
 
 
-def _blocks(raw: np.ndarray):
-    """Cuts at white space, so that no word is divided."""
+def _blocks(raw: np.ndarray, gap: np.ndarray):
+    """Cuts between words, so that no word is divided."""
     at = 0
     while at < len(raw):
         end = min(len(raw), at + BLOCK)
         if end < len(raw):
-            gaps = np.flatnonzero(_SPACE[raw[at:end]])
+            gaps = np.flatnonzero(gap[raw[at:end]])
             if len(gaps):
                 end = at + int(gaps[-1]) + 1
             else:
-                while end < len(raw) and not _SPACE[raw[end]]:
+                while end < len(raw) and not gap[raw[end]]:
                     end += 1
         yield at, raw[at:end]
         at = end
 
 
-def word_bounds(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_bounds(raw: np.ndarray, gap: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends (exclusive) of the words of a byte array."""
     word = np.zeros(len(raw) + 2, np.int8)
-    word[1:-1] = ~_SPACE[raw]
+    word[1:-1] = ~gap[raw]
     step = np.diff(word)
     return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
 
 
-def word_hashes(text: bytes | None, bounds: bool = False):
-    """A 64-bit hash of each word in order; with bounds also the byte offsets."""
+def word_hashes(text: bytes | None, bounds: bool = False, gap: np.ndarray = _SPACE):
+    """A 64-bit hash of each word in order; with bounds also the byte offsets.
+
+    gap: by byte, whether it stands between words.
+    """
     if not text:
         empty = np.zeros(0, U64)
         return (empty, np.zeros(0, np.int64), np.zeros(0, np.int64)) if bounds else empty
     raw = np.frombuffer(text, np.uint8)
     out, starts, ends = [], [], []
     with np.errstate(over="ignore"):
-        for at, part in _blocks(raw):
-            s, e = word_bounds(part)
+        for at, part in _blocks(raw, gap):
+            s, e = word_bounds(part, gap)
             if not len(s):
                 continue
             power, inverse = _powers(len(part))

@@ -3,17 +3,83 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import minhash
+from . import decontaminate, embeddings, langid, lines, minhash, mixing, pii, quality, substrings, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def remainder(id_col: str, n: int):
+    """crc32 of the id as text, modulo n."""
+    return F.crc32(F.col(id_col).cast("string")) % n
+
+
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return lines.drop_boilerplate(docs).select("doc_id", "text", "n_lines", "n_dropped")
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(remainder("doc_id", 4) == 2, F.lit(False))
+    pred = langid.identify(docs, docs.where(~held_out))
+    return pred.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = warc.scratch_folder(spark)
+    index = warc.write_bundles(table(spark, sf_dir, "pages"), folder)
+    return warc.read_records(index, folder).drop("payload")
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.sanitise(table(spark, sf_dir, "documents"), with_text=False).drop("sanitised")
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), threshold_percent=85)
 
 
-QUERIES = {f.__name__: f for f in (op6_minhash_near_dedup,)}
-ORACLES: dict[str, str] = {}
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents"))
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(remainder("doc_id", 5) == 0, F.lit(False))
+    labels = table(spark, sf_dir, "labels").where(~held_out)
+    scored = quality.score_quality(docs, labels)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_embedding_near_dedup,
+        op2_line_dedup,
+        op3_language_id,
+        op4_warc,
+        op5_pii,
+        op6_minhash_near_dedup,
+        op7_substring_dedup,
+        op8_benchmark_decontamination,
+        op9_source_mixing,
+        op10_quality_classifier,
+    )
+}
+ORACLES: dict[str, str] = {"op2_line_dedup": lines.ORACLE, "op4_warc": warc.ORACLE}
