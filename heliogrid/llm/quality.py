@@ -2,7 +2,9 @@
 
 One dictionary is built from good and one from bad labelled texts. The difference
 of the sizes to which they compress a text, over their sum, is calibrated to the
-probability that the text is good.
+probability that the text is good. The calibration also sees how far the text
+shrank and how long it is: in a text that shrinks to nearly nothing (words
+repeated over and over) and in a very short one, a difference says less.
 """
 
 from __future__ import annotations
@@ -31,16 +33,17 @@ class Compressors:
             d.precompute_compress(level=LEVEL)
             self.own.append(zstandard.ZstdCompressor(dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False))
 
-    def difference(self, text: bytes | None) -> float:
-        """(bad - good) / (bad + good) over the compressed sizes of all pieces: above 0 if the good dictionary suits better."""
+    def measures(self, text: bytes | None) -> tuple[float, float, float]:
+        """(difference of the sizes over their sum: above 0 if the good dictionary suits better,
+        logarithm of the smaller size over the text's, logarithm of the text's size), over all pieces."""
         if not text:
-            return 0.0
+            return 0.0, 0.0, 0.0
         sums = [0, 0]
         for at in range(0, len(text), PIECE):
             piece = text[at : at + PIECE]
             for side, c in enumerate(self.own):
                 sums[side] += len(c.compress(piece))
-        return (sums[1] - sums[0]) / (sums[1] + sums[0])
+        return (sums[1] - sums[0]) / (sums[1] + sums[0]), float(np.log(min(sums) / len(text))), float(np.log(len(text)))
 
 
 def dictionary(texts: list[bytes], size: int) -> bytes:
@@ -54,17 +57,22 @@ def dictionary(texts: list[bytes], size: int) -> bytes:
     return b"".join(pieces)[-size:] or b"\n" * 8
 
 
-def calibrate(x: np.ndarray, y: np.ndarray, steps: int = 60, ridge: float = 1e-3) -> tuple[float, float]:
-    """Intercept and slope of a logistic regression, by Newton's method."""
-    scale = float(np.std(x)) or 1.0
-    z = np.column_stack([np.ones(len(x)), x / scale])
-    w = np.zeros(2)
+def design(measures) -> np.ndarray:
+    d, shrunk, length = np.asarray(measures, float).reshape(-1, 3).T
+    return np.column_stack([d, shrunk, shrunk**2, d * length, length])
+
+
+def calibrate(x: np.ndarray, y: np.ndarray, steps: int = 60, ridge: float = 1e-2) -> np.ndarray:
+    """Intercept and slopes of a logistic regression on the columns of x, by Newton's method."""
+    mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
+    z = np.column_stack([np.ones(len(x)), (x - mean) / scale])
+    w = np.zeros(z.shape[1])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
         g = z.T @ (p - y) + ridge * w
-        h = (z * (p * (1 - p) + 1e-9)[:, None]).T @ z + ridge * np.eye(2)
+        h = (z * (p * (1 - p) + 1e-9)[:, None]).T @ z + ridge * np.eye(len(w))
         w = w - np.linalg.solve(h, g)
-    return float(w[0]), float(w[1] / scale)
+    return np.concatenate([[w[0] - (w[1:] * mean / scale).sum()], w[1:] / scale])
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, per_class: int, max_chars: int, dict_bytes: int) -> dict:
@@ -84,10 +92,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     tool = Compressors(dictionaries)
     n = known.groupBy("y").count().collect()  # two rows: the share of each class, for the intercept
     n = {r["y"]: r["count"] for r in n}
-    x = [np.array([tool.difference(t) for t in by[c][1::2]]) for c in (0, 1)]
-    intercept, slope = calibrate(np.concatenate(x), np.concatenate([np.zeros(len(x[0])), np.ones(len(x[1]))]))
-    intercept += float(np.log(n[1] / n[0]) - np.log(len(x[1]) / len(x[0])))
-    return {"dictionaries": dictionaries, "intercept": intercept, "slope": slope}
+    x = [design([tool.measures(t) for t in by[c][1::2]]) for c in (0, 1)]
+    weights = calibrate(np.concatenate(x), np.concatenate([np.zeros(len(x[0])), np.ones(len(x[1]))]))
+    weights[0] += float(np.log(n[1] / n[0]) - np.log(len(x[1]) / len(x[0])))
+    return {"dictionaries": dictionaries, "weights": weights}
 
 
 def score_quality(
@@ -96,7 +104,7 @@ def score_quality(
     id_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "quality",
-    per_class: int = 1500,
+    per_class: int = 3000,
     max_chars: int = 16384,
     dict_bytes: int = 65536,
     out_col: str = "score",
@@ -105,8 +113,8 @@ def score_quality(
 
     The model is fitted on at most per_class labelled rows of each class (the
     smallest hashes of the id) and max_chars characters of each; every text is
-    scored as a whole. Null and empty texts have the difference 0 and so the
-    score of a text that suits both dictionaries alike. With fewer than four
+    scored as a whole. Null and empty texts count as one byte that suits both
+    dictionaries alike and doesn't shrink, and all have that score. With fewer than four
     texts of either class, every score is the smoothed share of good labels.
     Repeated label rows count once each. An existing column out_col is replaced.
     """
@@ -121,10 +129,10 @@ def score_quality(
 
     def run(batches):
         tool = Compressors(shared.value["dictionaries"])
-        a, b = shared.value["intercept"], shared.value["slope"]
+        w = shared.value["weights"]
         for batch in slices(batches):
-            x = np.array([tool.difference(t) for t in binaries(batch.column(at))])
-            p = 1 / (1 + np.exp(-np.clip(a + b * x, -30, 30)))
+            x = design([tool.measures(t) for t in binaries(batch.column(at))])
+            p = 1 / (1 + np.exp(-np.clip(w[0] + x @ w[1:], -30, 30)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64())], [*names, out_col])
 
     return picked.mapInArrow(run, schema)
