@@ -67,6 +67,12 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # it imports this subpackage
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -80,6 +86,7 @@ QUERIES = {
         op8_benchmark_decontamination,
         op9_source_mixing,
         op10_quality_classifier,
+        pipeline,
     )
 }
 ORACLES: dict[str, str] = {"op2_line_dedup": lines.ORACLE, "op4_warc": warc.ORACLE}
