@@ -39,8 +39,9 @@ def minmax(shingle_set: np.ndarray, n_values: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, k: int, bands: int, rows: int) -> DataFrame:
-    """(id, n_shingles, d1, d2, bands, sketch): d1 and d2 are a 128-bit digest of the shingle set."""
-    schema = "id long, n_shingles long, d1 long, d2 long, bands array<long>, sketch binary"
+    """(id, n_shingles, d1, d2, bands, parity): d1 and d2 are a 128-bit digest of the shingle
+    set; parity has a bit for each of 1024 bins, set if the bin's number of shingles is odd."""
+    schema = "id long, n_shingles long, d1 long, d2 long, bands array<long>, parity array<long>"
     weights, places = splitmix(303, rows), splitmix(404, bands)
 
     def run(batches):
@@ -54,17 +55,29 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, k: int, bands: int,
                     if len(found):
                         values = minmax(found, bands * rows)
                         keys = mix((mix(values).reshape(bands, rows) * (weights | U64(1))).sum(axis=1, dtype=U64) + places)
-                        band_list, sketch = keys.view(np.int64).tolist(), (mix(values) >> U64(48)).astype("<u2").tobytes()
+                        odd = np.bincount((found >> U64(54)).astype(np.int64), minlength=1024) & 1
+                        band_list, parity = keys.view(np.int64).tolist(), np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
                     else:
-                        band_list, sketch = None, None
-                for values_out, value in zip(out, (i, len(found), d1, d2, band_list, sketch)):
+                        band_list, parity = None, None
+                for values_out, value in zip(out, (i, len(found), d1, d2, band_list, parity)):
                     values_out.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds)], ["id", "n_shingles", "d1", "d2", "bands", "sketch"])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds)], ["id", "n_shingles", "d1", "d2", "bands", "parity"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
+def possible(x: str, y: str, percent: int):
+    """Whether the sizes and parities of x and y leave a similarity of percent possible.
+
+    Sets differ in at least as many shingles as their parities differ in bits, so
+    no pair at or above the threshold is lost.
+    """
+    bits = sum((F.bit_count(F.col(f"{x}.parity")[i].bitwiseXOR(F.col(f"{y}.parity")[i])) for i in range(1, 16)), F.bit_count(F.col(f"{x}.parity")[0].bitwiseXOR(F.col(f"{y}.parity")[0])))
+    n, m = F.col(f"{x}.n_shingles"), F.col(f"{y}.n_shingles")
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * bits <= (100 - percent) * (n + m))
+
+
 def verify(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) with 100 * intersection >= percent * union of their full shingle sets."""
 
@@ -100,37 +113,40 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     an id count as one document (the greatest text, if they differ, for links).
 
     Texts with equal sets are one class from the start, so a class of any size
-    costs one row. In a bucket, each class is first proposed to the smallest id
-    (a star, not all pairs). What then is in a bucket but in no common component
-    is proposed pairwise if size ratio and sketch leave a link possible; sketches
-    of a pair at the threshold fall below their bound once in about 10**7 cases.
+    costs one row. In a bucket, each class is first proposed to the one that shares
+    buckets with most others (a star, not all pairs). What then is in a bucket but
+    in no common component is proposed pairwise, if sizes and parities leave a link
+    possible. Both filters are exact; only bands can miss a pair, at the threshold
+    with a probability of at most `miss`.
     """
     bands, rows = plan_bands(threshold_percent / 100, miss)
     sig = settle(signatures(docs, id_col, text_col, k, bands, rows))
     named = sig.where("n_shingles > 0 and id is not null")
-    classes = settle(named.groupBy("d1", "d2", "n_shingles").agg(F.min("id").alias("rep"), F.min_by("bands", "id").alias("bands"), F.min_by("sketch", "id").alias("sketch"), F.count("*").alias("copies")))
-    buckets = classes.select(F.col("rep"), F.explode("bands").alias("band"))
-    heads = buckets.groupBy("band").agg(F.min("rep").alias("a"), F.count("*").alias("n")).where("n > 1").select("band", "a")
-    heads = settle(heads)
-    shared = settle(buckets.join(heads, "band"))  # of what shares no bucket nothing remains
-    star = settle(shared.where("rep != a").select("a", F.col("rep").alias("b")).distinct())
-    links = verify(star, docs, id_col, text_col, k, threshold_percent)
-    comp = components(links)
+    classes = settle(named.groupBy("d1", "d2", "n_shingles").agg(F.min("id").alias("rep"), F.min_by("bands", "id").alias("bands"), F.min_by("parity", "id").alias("parity")))
+    sets = classes.select("rep", "n_shingles", "parity")
+    buckets = classes.select("rep", F.explode("bands").alias("band"))
+    counts = buckets.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    shared = settle(buckets.join(counts, "band"))  # of what shares no bucket nothing remains
+    known = shared.groupBy("rep").agg(F.sum("n").alias("known"))
+    heads = shared.join(known, "rep").groupBy("band").agg(F.max_by("rep", F.struct("known", -F.col("rep"))).alias("a"))
+    star = shared.join(heads, "band").where("rep != a").select("a", F.col("rep").alias("b")).distinct()
+
+    def kept(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(sets.alias("x"), F.col("a") == F.col("x.rep")).join(sets.alias("y"), F.col("b") == F.col("y.rep"))
+        return both.where(possible("x", "y", threshold_percent)).select("a", "b")
+
+    star = settle(kept(star))
+    comp = components(verify(star, docs, id_col, text_col, k, threshold_percent))
 
     labelled = shared.join(comp, shared.rep == comp.node, "left").select("band", "rep", F.coalesce("component", "rep").alias("comp"))
     split = labelled.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("band")
-    sizes = classes.select("rep", "n_shingles", "sketch")
-    open_rows = settle(labelled.join(split, "band").join(sizes, "rep"))
-    # five deviations of the estimate of a pair at the threshold
-    t, n = threshold_percent / 100, bands * rows
-    least_equal = int(n * (t - 5 * (t * (1 - t) / n) ** 0.5))
+    open_rows = settle(labelled.join(split, "band").join(sets, "rep"))
     x, y = open_rows.alias("x"), open_rows.alias("y")
-    agree = F.expr(f"size(filter(sequence(0, {n - 1}), i -> substring(x.sketch, 2 * i + 1, 2) = substring(y.sketch, 2 * i + 1, 2)))")
-    possible = 100 * F.least("x.n_shingles", "y.n_shingles") >= threshold_percent * F.greatest("x.n_shingles", "y.n_shingles")
-    rest = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.comp") != F.col("y.comp")) & possible & (agree >= least_equal))
-    rest = settle(rest.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct())
+    rest = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.comp") != F.col("y.comp")) & possible("x", "y", threshold_percent))
+    rest = rest.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+    rest = settle(rest.join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
     if not rest.isEmpty():
-        more = verify(rest.join(star, ["a", "b"], "left_anti"), docs, id_col, text_col, k, threshold_percent)
+        more = verify(rest, docs, id_col, text_col, k, threshold_percent)
         comp = components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 
     reps = classes.join(comp, classes.rep == comp.node, "left").select("d1", "d2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
