@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -20,3 +23,13 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder under spark.checkpoint.dir; under a local one only where none is set."""
+    sc = spark.sparkContext
+    where = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not where:
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="heliogrid-"))
+        where = sc.getCheckpointDir()
+    return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
