@@ -87,7 +87,7 @@ def masked_rows(targets: DataFrame, variables: list[str]) -> DataFrame:
 
 def coverage(rows: DataFrame, by: list[str], variables: list[str]) -> DataFrame:
     """Rows, rows with any weather, their share, and the missing values of each variable; by group and overall."""
-    some = F.greatest(*[F.col(v).isNotNull().cast("long") for v in variables])
+    some = any_available(variables).cast("long")
     return rows.rollup(*by).agg(F.count("*").alias("rows"), F.sum(some).alias("available"), F.avg(some.cast("double")).alias("share"), *[F.sum(F.col(v).isNull().cast("long")).alias(f"{v}_missing") for v in variables])
 
 
@@ -95,7 +95,7 @@ def plan_requests(targets: DataFrame, by: list[str], ts: str, days: int, cycles:
     """(by, run_hour, start_day, end_day): runs that can serve the targets, ts in hours; a run at r serves hours r to r + 24 * days."""
     ends = targets.groupBy(*by).agg(F.min(ts).alias("lo"), F.max(ts).alias("hi"))
     day = F.explode(F.sequence(F.floor(F.col("lo") / 24) - days, F.floor(F.col("hi") / 24)))
-    runs = ends.select(*by, "lo", "hi", day.alias("day")).withColumn("run_hour", F.explode(F.array(*[F.lit(c) for c in cycles])) + F.col("day") * 24)
+    runs = ends.select(*by, "lo", "hi", day.alias("day")).withColumn("run_hour", F.explode(F.array(*[F.col("day") * 24 + c for c in cycles])))
     runs = runs.where((F.col("run_hour") < F.col("hi")) & (F.col("run_hour") + 24 * days > F.col("lo")))
     start = F.greatest(F.floor(F.col("run_hour") / 24), F.floor(F.col("lo") / 24))
     end = F.least(F.floor((F.col("run_hour") + 24 * days) / 24), F.floor(F.col("hi") / 24))

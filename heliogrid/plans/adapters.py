@@ -72,8 +72,8 @@ def forecasts(spark, d) -> DataFrame:
     b = s.select("site_id", "time_idx", F.col("cf").alias("actual"), "cs")
     j = a.withColumn("time_idx", F.col("issue_idx") + F.col("horizon")).join(b, ["site_id", "time_idx"])
     point = F.round((F.col("last") + 2 * F.col("cs")) / 3.0, 6)
-    cols = {f"q{q:02d}": F.round(point * (0.4 + q / 100.0), 6) for q in (2, 10, 25, 50, 75, 90, 98)}
-    return j.select("site_id", "issue_idx", "time_idx", "horizon", F.floor(F.col("time_idx") / 960).cast("long").alias("fold"), (F.col("cs") * 60.0 - 1.0).alias("elev"), "actual", point.alias("point"), F.round(F.col("last") * 0.9, 6).alias("scratch"), F.round(F.col("cs") * 0.8, 6).alias("smart"), *[c.alias(n) for n, c in cols.items()])
+    cols = {f"q{q:02d}": F.round(point * (0.4 + q / 100.0) / 1.1, 6) for q in (2, 10, 25, 50, 75, 90, 98)}
+    return j.select("site_id", "issue_idx", "time_idx", "horizon", F.floor(F.col("time_idx") / 960).cast("long").alias("fold"), (F.col("cs") * 60.0 - 1.0).alias("elev"), "actual", point.alias("point"), F.round(F.col("last") / 1.1, 6).alias("scratch"), F.round(F.col("cs") * 0.8, 6).alias("smart"), *[c.alias(n) for n, c in cols.items()])
 
 
 def patch(spark, d) -> DataFrame:
@@ -83,9 +83,9 @@ def patch(spark, d) -> DataFrame:
 
 
 def products(spark, d) -> DataFrame:
-    """(seq, product_id, status, at): a log of what happened to products."""
+    """(seq, product_id, status, happened): a log of what happened to products."""
     e = table(spark, d, "events")
-    return e.select(F.col("event_id").alias("seq"), F.col("user_id").alias("product_id"), F.col("event_type").alias("status"), F.unix_micros("ts").alias("at"))
+    return e.select(F.col("event_id").alias("seq"), F.col("user_id").alias("product_id"), F.col("event_type").alias("status"), F.unix_micros("ts").alias("happened"))
 
 
 def coverage(spark, d) -> DataFrame:
@@ -103,10 +103,10 @@ SQL = {
     "sky": "SELECT *, CASE WHEN time_idx % 96 >= 24 AND time_idx % 96 < 72 THEN round(sin((time_idx % 96 - 24) / 48e0 * 3.141592653589793e0), 6) ELSE 0e0 END AS cs FROM production",
     "hourly": "SELECT epoch_us(ts) // 3600000000 AS hour, event_type AS variable, round(sum(value), 6) AS value FROM events GROUP BY ALL",
     "nwp": "SELECT i.issue, h.hour - i.issue AS step, h.variable, h.value FROM hourly h, (SELECT DISTINCT hour // 6 * 6 + k.k AS issue FROM hourly, (SELECT unnest([-12, -6, 0]) AS k) k) i WHERE h.hour - i.issue BETWEEN 0 AND 12",
-    "forecasts0": "SELECT a.site_id, a.time_idx AS issue_idx, b.time_idx, h.h AS horizon, b.time_idx // 960 AS fold, b.cs * 60e0 - 1e0 AS elev, b.cf AS actual, round((coalesce(a.cf, 0e0) + 2 * b.cs) / 3e0, 6) AS point, round(coalesce(a.cf, 0e0) * 0.9e0, 6) AS scratch, round(b.cs * 0.8e0, 6) AS smart FROM sky a, (SELECT unnest([1, 2, 3, 4])::BIGINT AS h) h, sky b WHERE b.site_id = a.site_id AND b.time_idx = a.time_idx + h.h",
-    "forecasts": "SELECT *, " + ", ".join(f"round(point * (0.4e0 + {q} / 100e0), 6) AS q{q:02d}" for q in (2, 10, 25, 50, 75, 90, 98)) + " FROM forecasts0",
+    "forecasts0": "SELECT a.site_id, a.time_idx AS issue_idx, b.time_idx, h.h AS horizon, b.time_idx // 960 AS fold, b.cs * 60e0 - 1e0 AS elev, b.cf AS actual, round((coalesce(a.cf, 0e0) + 2 * b.cs) / 3e0, 6) AS point, round(coalesce(a.cf, 0e0) / 1.1e0, 6) AS scratch, round(b.cs * 0.8e0, 6) AS smart FROM sky a, (SELECT unnest([1, 2, 3, 4])::BIGINT AS h) h, sky b WHERE b.site_id = a.site_id AND b.time_idx = a.time_idx + h.h",
+    "forecasts": "SELECT *, " + ", ".join(f"round(point * (0.4e0 + {q} / 100e0) / 1.1e0, 6) AS q{q:02d}" for q in (2, 10, 25, 50, 75, 90, 98)) + " FROM forecasts0",
     "patch": "SELECT vec_id AS product_id, label::BIGINT AS site_id, vec_id AS time_idx, list_transform(embedding, lambda x: round(x::DOUBLE, 6)) AS pixels FROM embeddings",
-    "products": "SELECT event_id AS seq, user_id AS product_id, event_type AS status, epoch_us(ts) AS at FROM events",
+    "products": "SELECT event_id AS seq, user_id AS product_id, event_type AS status, epoch_us(ts) AS happened FROM events",
     "coverage": "SELECT o_orderstatus || '-' || (o_custkey % 50)::VARCHAR AS grp, epoch_us(o_orderdate) // 86400000000 AS lo, epoch_us(o_orderdate) // 86400000000 + o_custkey % 5 AS hi, o_orderkey AS interval_id FROM orders",
 }
 _NEEDS = {"site": ["pv"], "production": ["pv"], "sky": ["production"], "nwp": ["hourly"], "forecasts0": ["sky"], "forecasts": ["forecasts0"]}

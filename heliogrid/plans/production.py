@@ -15,9 +15,9 @@ def r6(c):
     return F.round(c, 6)
 
 
-def rounded(df, *keep):
-    """df with its doubles at 6 decimals; sums and sines then agree across engines."""
-    return df.withColumns({c: r6(F.col(c)) for c, t in df.dtypes if t == "double" and c not in keep})
+def rounded(df, *keep, places=6):
+    """df with its doubles rounded; sums and sines then agree across engines."""
+    return df.withColumns({c: F.round(c, places) for c, t in df.dtypes if t == "double" and c not in keep})
 
 
 @query("SELECT p.*, s.capacity_mw, s.lat FROM pv p JOIN site s USING (site_id)", ("pv", "site"))

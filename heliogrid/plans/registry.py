@@ -27,10 +27,3 @@ def query(sql: str | None = None, needs: tuple[str, ...] = ()):
 
     return put
 
-
-def load() -> None:
-    """Imports the modules that register queries."""
-    from . import alignment, catalogue, evaluation, production, streams  # noqa: F401
-
-
-load_order = ("production", "alignment", "evaluation", "catalogue", "streams")

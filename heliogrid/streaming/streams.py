@@ -83,6 +83,6 @@ def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "ap
     if mode == "append":
         q = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
     else:
-        q = stream.writeStream.foreachBatch(lambda b, n: b.withColumn("__batch", F.lit(n)).write.mode("overwrite").parquet(f"{path}/n={n}")).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
+        q = stream.writeStream.foreachBatch(lambda b, n: b.withColumn("__batch", F.lit(n)).write.mode("overwrite").parquet(f"{path}/micro_batch={n}")).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(path) if mode == "append" else spark.read.parquet(path)
