@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -97,7 +98,7 @@ def _outside(s: np.ndarray, e: np.ndarray, spans) -> np.ndarray:
     return free
 
 
-def contexts(docs: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
+def contexts(docs: DataFrame, text_col: str, window: int) -> DataFrame:
     """(entity, term): once for each document that has the entity, term null, and for each term within `window` terms of it."""
 
     def run(batches):
@@ -123,11 +124,13 @@ def contexts(docs: DataFrame, id_col: str, text_col: str, window: int) -> DataFr
     return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "entity long, term long")
 
 
-def _term_blocks(table: DataFrame, size: int) -> list[list]:
+def _term_blocks(table: DataFrame, size: int) -> Iterator[list]:
     """Row lists of a table with a `term` column: as many blocks as its counted size asks for."""
     n = -(-table.count() // size)
     for block in range(n):
-        yield table.where(F.pmod(F.xxhash64("term"), F.lit(n)) == block).collect()
+        rows = table.where(F.pmod(F.xxhash64("term"), F.lit(n)) == block).collect()
+        if rows:
+            yield rows
 
 
 def term_frequency(docs: DataFrame, text_col: str, wanted: DataFrame, block: int) -> DataFrame | None:
@@ -156,9 +159,9 @@ def term_frequency(docs: DataFrame, text_col: str, wanted: DataFrame, block: int
     return out
 
 
-def disclosing_terms(docs: DataFrame, id_col: str, text_col: str, window: int, min_documents: int, threshold: float, block: int) -> DataFrame:
+def disclosing_terms(docs: DataFrame, text_col: str, window: int, min_documents: int, threshold: float, block: int) -> DataFrame:
     """(term, disclosure): the largest PMI(entity, term) / IC(entity) of each term at or above the threshold."""
-    pairs = settle(contexts(docs, id_col, text_col, window).groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= min_documents))
+    pairs = settle(contexts(docs, text_col, window).groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= min_documents))
     near = pairs.where("term is not null")
     frequency = term_frequency(docs, text_col, settle(near.select("term").distinct()), block)
     if frequency is None:
@@ -205,7 +208,7 @@ def sanitise(
     tasks in blocks of at most `block`, counted first; every block is applied.
     sanitised is null if with_text is false.
     """
-    listed = disclosing_terms(docs, id_col, text_col, window, min_documents, generalise_at, block)
+    listed = disclosing_terms(docs, text_col, window, min_documents, generalise_at, block)
     spark = docs.sparkSession
     blocks = []
     for rows in _term_blocks(listed, block):

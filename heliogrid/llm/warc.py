@@ -180,7 +180,7 @@ def read_records(index: DataFrame, folder: str, with_payload: bool = False) -> D
     """
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         fs, root = _store(folder)
         with fs.open_input_file(f"{root}/{key[0]}") as f:
             raw = read_frame(f, seek_table(f)[key[1]])
