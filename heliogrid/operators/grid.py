@@ -115,7 +115,7 @@ def parse_sheets(rows: DataFrame, timezone: str) -> tuple[DataFrame, DataFrame]:
     r = r.where(F.when(first, F.col("source_row") >= 3).otherwise(F.col("source_row") >= 4))
     serial = F.expr("try_cast(a AS double)")
     whole = F.floor(serial).cast("int")
-    day = F.coalesce(F.expr("try_cast(substr(a, 1, 10) AS date)"), F.when(serial.between(1, 2958465), F.date_add(F.lit("1899-12-30").cast("date"), whole)))
+    day = F.coalesce(F.when(F.col("a").rlike(r"^\d{4}-\d{2}-\d{2}"), F.expr("try_cast(substr(a, 1, 10) AS date)")), F.when(serial.between(1, 2958465), F.date_add(F.lit("1899-12-30").cast("date"), whole)))
     clock = F.regexp_extract(F.coalesce("b", F.lit("")), r"^(\d{2})\.(\d{2})\.(\d{2})", 0)
     q1 = F.expr("try_cast(concat(cast(__day AS string), ' ', replace(__clock, '.', ':')) AS timestamp)")
     seconds = F.round((serial - F.floor(serial)) * 86400).cast("long")
