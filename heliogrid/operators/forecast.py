@@ -2,11 +2,32 @@
 
 from __future__ import annotations
 
+from typing import Protocol
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import QUANTILES, clip, monotone_quantiles, quantile_name
-from .baselines import fit_quantile, linear
+from .baselines import fit_quantile, linear, smart_persistence
+
+
+class Forecaster(Protocol):
+    """What evaluation takes: fit on history, then predict h steps for each issue."""
+
+    def fit(self, history: DataFrame) -> Forecaster: ...
+
+    def predict(self, issues: DataFrame, h: int) -> DataFrame: ...
+
+
+class SmartPersistence:
+    """A Forecaster of (site_id, time_idx, horizon, target_idx, forecast); it keeps the history for the clear sky of targets."""
+
+    def fit(self, history: DataFrame) -> SmartPersistence:
+        self.history = history
+        return self
+
+    def predict(self, issues: DataFrame, h: int) -> DataFrame:
+        return smart_persistence(self.history, h).join(issues, ["site_id", "time_idx"], "left_semi")
 
 
 def model_frame(frame: DataFrame, cf: str, observed: str, sky: str, daylight: Column, fills: dict[str, float] = {}) -> DataFrame:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -139,3 +142,16 @@ def fill_missing(frame: DataFrame, defaults: dict[str, float]) -> DataFrame:
 def alignment_summary(aligned: DataFrame, by: str, matched: str = "matched_ts") -> DataFrame:
     """(by, rows, matched, rate), with by NULL for all."""
     return aligned.rollup(by).agg(F.count("*").alias("rows"), F.count(matched).alias("matched"), (F.count(matched) / F.count("*")).alias("rate"))
+
+
+def encode_batches(patches: DataFrame, encoder, pixels: str = "pixels", out: str = "embedding") -> DataFrame:
+    """patches with encoder(matrix of rows by pixels) as arrays. The encoder goes to the tasks once and takes Arrow batches."""
+    shared = patches.sparkSession.sparkContext.broadcast(encoder)
+
+    @F.pandas_udf("array<double>")
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        run = shared.value
+        for x in batches:
+            yield pd.Series(list(np.asarray(run(np.stack(x.to_numpy())), float)))
+
+    return patches.withColumn(out, encode(F.transform(pixels, lambda x: F.coalesce(x, F.lit(0.0)))))

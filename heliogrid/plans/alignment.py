@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import columns as fx
-from ..operators import baselines, checks, forecast, grid, joins, satellite, weather, windows
+from ..operators import baselines, checks, grid, joins, satellite, weather, windows
 from . import adapters as A
 from .production import r6, rounded
 from .registry import query
@@ -390,6 +390,19 @@ def F19_project_embedding(spark, d):
     return e.select("product_id", *[F.round(F.col("e")[j], 11).alias(f"e{j}") for j in range(3)])
 
 
+class MeanProjection:
+    """Channel means times MATRIX, for whole batches."""
+
+    def __call__(self, x):
+        return x.reshape(len(x), 4, 16).mean(axis=2) @ np.array(MATRIX)
+
+
+@query(CHANNELS + ", m AS (SELECT product_id, c, avg(v) AS m FROM x GROUP BY ALL) SELECT product_id, " + ", ".join(f"round(sum(m * CASE c {' '.join(f'WHEN {i} THEN {MATRIX[i][j]}e0' for i in range(4))} END), 11) AS e{j}" for j in range(3)) + " FROM m GROUP BY product_id", ("patch",))
+def X04_encode_batches(spark, d):
+    e = satellite.encode_batches(A.patch(spark, d), MeanProjection())
+    return e.select("product_id", *[F.round(F.col("embedding")[j], 11).alias(f"e{j}") for j in range(3)])
+
+
 @query(CHANNELS + """, s AS (SELECT f.fold, c, avg(v) AS m, greatest(stddev_pop(v), 1e-6) AS s FROM x JOIN (SELECT unnest([0, 1]) AS fold) f ON x.product_id % 3 <> f.fold GROUP BY ALL),
 n AS (SELECT s.fold, product_id, x.c, avg((v - m) / s) AS z FROM x JOIN s ON s.c = x.c GROUP BY ALL)
 SELECT fold::BIGINT AS fold, product_id, """ + ", ".join(f"round(sum(z * CASE c {' '.join(f'WHEN {i} THEN {MATRIX[i][j]}e0' for i in range(4))} END), 5) AS e{j}" for j in range(3)) + " FROM n GROUP BY ALL", ("patch",))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as fx
@@ -10,7 +9,7 @@ from ..operators import catalog, checks, joins, windows
 from ..session import shared_folder
 from ..sources import io
 from . import adapters as A
-from .production import _canonical, CANONICAL, _user_sites, rounded
+from .production import CANONICAL, _canonical, rounded
 from .registry import query
 
 MERGED = """

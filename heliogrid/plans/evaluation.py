@@ -36,6 +36,13 @@ def M01_smart_persistence(spark, d):
     return rounded(baselines.smart_persistence(A.sky(spark, d), 8))
 
 
+@query(f"WITH {PERSIST} SELECT site_id, time_idx, horizon, round(forecast, 6) AS forecast FROM p WHERE time_idx % 24 = 0 AND horizon <= 4", ("sky",))
+def X03_forecaster(spark, d):
+    s = A.sky(spark, d)
+    issues = s.where("time_idx % 24 = 0").select("site_id", "time_idx")
+    return rounded(forecast.SmartPersistence().fit(s).predict(issues, 4).drop("target_idx"))
+
+
 @query(f"WITH {PERSIST} SELECT horizon, count(*) AS count, round(avg((forecast - actual) * (forecast - actual)), 9) AS mse, round(avg(abs(forecast - actual)), 9) AS mae, round(avg(forecast - actual), 9) AS mbe FROM p WHERE cs > 0 AND actual IS NOT NULL GROUP BY ROLLUP (horizon)", ("sky",))
 def M01_smart_persistence_metrics(spark, d):
     s = A.sky(spark, d)

@@ -311,6 +311,12 @@ def U01_union_by_name(spark, d):
     return o.unionByName(c, allowMissingColumns=True)
 
 
+@query("SELECT time_idx FROM pv WHERE site_id = 'click' UNION SELECT time_idx FROM pv WHERE site_id = 'view'", ("pv",))
+def U02_union_distinct(spark, d):
+    p = A.pv(spark, d)
+    return p.where("site_id = 'click'").select("time_idx").union(p.where("site_id = 'view'").select("time_idx")).distinct()
+
+
 @query("SELECT time_idx FROM pv INTERSECT SELECT time_idx FROM pv_user WHERE site_id % 2 = 0", ("pv", "pv_user"))
 def U03_intersection(spark, d):
     return A.pv(spark, d).select("time_idx").intersect(A.pv_user(spark, d).where("site_id % 2 = 0").select("time_idx"))
