@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import binaries, ensure_checkpoint, settle, slices
+from .common import ensure_checkpoint, settle, slices
 
 # Fixed values of the seekable format.
 SKIPPABLE_MAGIC = 0x184D2A5E
