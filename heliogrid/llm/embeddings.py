@@ -129,13 +129,15 @@ def range_join(classes: DataFrame, dims: int, threshold: float, n_pivots: int, s
     dealt = dealt.join(F.broadcast(counts), "cell")
     # own rows are in `blocks` blocks, copies in `deal`; every two blocks of which one is own meet in a task
     mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    dealt = dealt.withColumn("mine", mine)
-    every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    own = dealt.where("own").withColumn("other", F.explode(every)).select("id", "unit", "copies", "cell", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2).alias("side"))
-    guests = dealt.where("not own").withColumn("i", F.explode(every))
-    guests = guests.select("id", "unit", "copies", "cell", "i", (-1 - F.pmod(F.xxhash64(F.lit(3), "id"), F.col("deal"))).cast("int").alias("j"), F.lit(2).alias("side"))
-    hosts = dealt.where("own and deal > 0").withColumn("j", F.explode(F.sequence(-F.col("deal"), F.lit(-1))))
-    hosts = hosts.select("id", "unit", "copies", "cell", F.col("mine").alias("i"), "j", F.lit(1).alias("side"))
+    guest = -1 - F.pmod(F.xxhash64(F.lit(3), "id"), F.greatest("deal", F.lit(1))).cast("int")
+    meeting = lambda i, j, side: F.struct(i.alias("i"), j.alias("j"), side.alias("side"))
+    blocks = F.sequence(F.lit(0), F.col("blocks") - 1)
+    side = lambda x: F.when(F.col("mine") == x, 0).when(F.col("mine") < x, 1).otherwise(2)
+    own = F.transform(blocks, lambda x: meeting(F.least("mine", x), F.greatest("mine", x), side(x)))
+    host = F.transform(F.when(F.col("deal") > 0, F.sequence(-F.col("deal"), F.lit(-1))).otherwise(F.array().cast("array<int>")), lambda x: meeting(F.col("mine"), x, F.lit(1)))
+    visit = F.transform(blocks, lambda x: meeting(x, F.col("guest"), F.lit(2)))
+    dealt = dealt.withColumns({"mine": mine, "guest": guest}).withColumn("r", F.explode(F.when(F.col("own"), F.concat(own, host)).otherwise(visit)))
+    dealt = dealt.select("id", "unit", "copies", "cell", "r.*")
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["side", "id"])
@@ -165,7 +167,7 @@ def range_join(classes: DataFrame, dims: int, threshold: float, n_pivots: int, s
         joined = np.array(sorted(changes), np.int64).reshape(-1, 2)
         return pd.DataFrame({"id": np.concatenate([ids[some], joined[:, 0]]), "links": np.concatenate([links[some], 0 * joined[:, 0]]), "root": np.concatenate([ids[some], joined[:, 1]])})
 
-    return own.unionByName(hosts).unionByName(guests).groupBy("cell", "i", "j").applyInPandas(join, "id long, links long, root long")
+    return dealt.groupBy("cell", "i", "j").applyInPandas(join, "id long, links long, root long")
 
 
 def near_duplicates(
