@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import settled
+
 
 def asof_backward(left: DataFrame, right: DataFrame, by: str, ts: str, columns: list[str], tolerance: int, cutoff: str | None = None) -> DataFrame:
     """left with, of each `by`, the columns of the latest right row at or before ts.
@@ -52,12 +54,12 @@ def newest_run(values: DataFrame, keys: list[str], delay: int, horizon: int, eve
     return best.select(*keys, "target", "r.issue", "r.value")
 
 
-def nearest_point(sites: DataFrame, points: DataFrame, cell: float = 5.0, max_rings: int = 80) -> DataFrame:
+def nearest_point(sites: DataFrame, points: DataFrame, cell: float = 5.0) -> DataFrame:
     """(site_id, point_id, d2): the nearest grid point by squared degrees; of equals the smallest point_id.
 
     Points and sites meet on cells of `cell` degrees: first those in the nine
     cells around a site; a hit nearer than a cell's width is final. Sites without
-    one are tried again with cells twice as wide, until all are settled.
+    one are tried again with cells four times as wide, until all have one.
     """
     out, rest, width = None, sites.select("site_id", "lat", "lon"), cell
     while True:
@@ -68,11 +70,12 @@ def nearest_point(sites: DataFrame, points: DataFrame, cell: float = 5.0, max_ri
         best = s.join(p, ["__y", "__x"]).withColumn("d2", d2).groupBy("site_id").agg(F.min(F.struct("d2", "point_id")).alias("r"))
         last = width > 360
         near = best.select("site_id", "r.point_id", "r.d2")
-        near = near if last else near.where(F.col("d2") <= width * width)
+        near = settled(near if last else near.where(F.col("d2") <= width * width))
         out = near if out is None else out.unionByName(near)
-        if last:
+        rest = rest.join(near, "site_id", "left_anti")
+        if last or rest.isEmpty():
             return out
-        rest, width = rest.join(near, "site_id", "left_anti"), width * 4
+        width *= 4
 
 
 def assign_folds(rows: DataFrame, folds: DataFrame, ts: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -25,11 +25,22 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str
     return spark
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir; under a local one only where none is set."""
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; a local one only where none is set."""
     sc = spark.sparkContext
     where = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not where:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="heliogrid-"))
         where = sc.getCheckpointDir()
-    return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return where.rstrip("/")
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors share."""
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df with its lineage cut by a reliable checkpoint, for loops that build on it."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
