@@ -165,6 +165,26 @@ def restrict(df: DataFrame, keys: DataFrame, on: list[str], max_rows: int = 1_00
     return df.join(F.broadcast(keys) if small else keys, on, "left_semi")
 
 
+def with_texts(pairs: DataFrame, texts: DataFrame, per_task: int = 512, max_rows: int = 1_000_000) -> DataFrame:
+    """(a, b, ta, tb): pairs (a, b) of ids with both texts, from texts (id, text); the greatest
+    text, if an id repeats.
+
+    Only texts of ids in pairs are shuffled. An id that is a in many pairs (the
+    head of a star) is dealt over a key for each per_task of them, with a copy of
+    its text for each, so that no task gets all of its pairs; b is in few pairs.
+    """
+    ids = settle(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
+    texts = restrict(texts, ids, ["id"], max_rows).groupBy("id").agg(F.max("text").alias("text"))
+    hubs = settle(pairs.groupBy("a").agg(F.ceil(F.count("*") / per_task).alias("deal")).where("deal > 1"))
+    hubs = F.broadcast(hubs) if hubs.count() <= max_rows else hubs
+    one = F.coalesce("deal", F.lit(1))
+    dealt = pairs.join(hubs, "a", "left").withColumn("salt", F.pmod(F.xxhash64("b"), one)).drop("deal")
+    heads = texts.select(F.col("id").alias("a"), F.col("text").alias("ta")).join(hubs, "a", "left")
+    heads = heads.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), one - 1))).drop("deal")
+    joined = dealt.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").join(heads, ["a", "salt"])
+    return joined.select("a", "b", "ta", "tb")
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node of each connected component.
 

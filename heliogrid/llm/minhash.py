@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, binaries, components, mix, restrict, settle, shingles, slices, splitmix, word_hashes
+from .common import U64, binaries, components, mix, settle, shingles, slices, splitmix, with_texts, word_hashes
 
 
 def plan_bands(threshold: float, miss: float = 1e-6) -> tuple[int, int]:
@@ -94,12 +94,8 @@ def verify(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int
                     good.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in good], pa.int64()) for j in (0, 1)], ["a", "b"])
 
-    ids = settle(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    texts = restrict(texts, ids, ["id"]).groupBy("id").agg(F.max("text").alias("text"))
-    joined = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-    joined = joined.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-    return joined.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return with_texts(pairs, texts).mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold_percent: int = 80, k: int = 5, miss: float = 1e-6) -> DataFrame:

@@ -108,3 +108,14 @@ def test_op1_query(spark, sf, union):
     rows = {r.vec_id: (r.n_links, r.component_id) for r in queries.op1_embedding_near_dedup(spark, sf).collect()}
     vectors = {r.vec_id: r.embedding for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()}
     assert rows == cosines(vectors, 0.95, union)
+
+
+def test_texts_of_hubs(spark):
+    """Every pair once with both texts, however the pairs of a hub are dealt."""
+    from heliogrid.llm.common import with_texts
+
+    pairs = [(0, k) for k in range(1, 40)] + [(50, 51), (1, 50)]
+    texts = spark.createDataFrame([(k, f"t{k}") for k in range(60)] + [(3, "t3"), (3, "a")], "id long, text string")
+    for per_task, max_rows in ((512, 1_000_000), (5, 1_000_000), (5, 0)):
+        rows = with_texts(spark.createDataFrame(pairs, "a long, b long"), texts, per_task, max_rows).collect()
+        assert sorted(map(tuple, rows)) == sorted((a, b, f"t{a}", f"t{b}") for a, b in pairs)
