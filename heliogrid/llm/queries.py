@@ -89,4 +89,9 @@ QUERIES = {
         pipeline,
     )
 }
-ORACLES: dict[str, str] = {"op2_line_dedup": lines.ORACLE, "op4_warc": warc.ORACLE}
+ORACLES: dict[str, str] = {
+    "op1_embedding_near_dedup": embeddings.ORACLE,
+    "op2_line_dedup": lines.ORACLE,
+    "op4_warc": warc.ORACLE,
+    "op6_minhash_near_dedup": minhash.ORACLE,
+}

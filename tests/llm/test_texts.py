@@ -22,7 +22,7 @@ def words(t):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_sql_gives_the_same(spark, sf, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "embeddings", "pages"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     rel = con.sql(queries.ORACLES[name])
     columns = list(rel.columns)
