@@ -181,6 +181,23 @@ def test_chains_are_best():
         assert score == pytest.approx(max(best.values()))
 
 
+def numbered(rng, n):
+    return np.array([rng.randrange(2**63) for _ in range(n)], np.uint64)
+
+
+def test_parts_of_a_chain_of_low_identity():
+    """Two exact passages with other words between them, in both texts."""
+    rng = random.Random(7)
+    for size, gap in ((60, 36), (60, 57), (100, 60), (100, 95)):
+        p, q = numbered(rng, size), numbered(rng, size)
+        a, b = (np.concatenate([numbered(rng, lead), p, numbered(rng, gap), q]) for lead in (5, 30))
+        got = sorted(substrings.passages(a, b, 4, 50, 0.8))
+        assert got == [(5, 5 + size, 30, 30 + size, size, 1.0), (5 + size + gap, 5 + 2 * size + gap, 30 + size + gap, 30 + 2 * size + gap, size, 1.0)]
+    a, b = (np.concatenate([p, numbered(rng, 20), q]) for _ in range(2))
+    assert list(substrings.passages(a, b, 4, 50, 0.8)) == [(0, 220, 0, 220, 200, 200 / 220)]
+
+
+
 def plain_tiles(p, t, k):
     """Greedy string tiling by its definition."""
     mp, mt, tiles = [False] * len(p), [False] * len(t), []
