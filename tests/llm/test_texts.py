@@ -198,6 +198,45 @@ def test_parts_of_a_chain_of_low_identity():
 
 
 
+def test_places_of_text_that_repeats():
+    """Nine copies of a text, and in one document its first half once more at the front."""
+    rng = random.Random(8)
+    licence = numbered(rng, 60)
+    copies = [np.concatenate([x for _ in range(9) for x in (licence, numbered(rng, 20))]) for _ in range(2)]
+    a, b = np.concatenate([licence[:30], numbered(rng, 20), copies[0]]), copies[1]
+    found = list(substrings.passages(a, b, 4, 50, 0.8))
+    for text, side, start in ((a, 0, 50), (b, 2, 0)):
+        held = np.zeros(len(text), bool)
+        for f in found:
+            held[f[side] : f[side + 1]] = True
+        assert all(held[start + 80 * c : start + 80 * c + 60].all() for c in range(9))
+    exact = np.concatenate([numbered(rng, 5), np.tile(licence[:3], 2000), licence, licence[:40]])
+    found = list(substrings.passages(exact, np.concatenate([np.tile(licence[:3], 900), numbered(rng, 80), licence]), 4, 50, 0.8))
+    assert (6005, 6065, 2780, 2840) in [f[:4] for f in found] and len(found) < 10
+
+
+def test_longest_places_by_brute_force():
+    rng = random.Random(9)
+    for _ in range(150):
+        a, b = (np.array([rng.randrange(3) for _ in range(rng.randrange(1, 30))], np.uint64) for _ in range(2))
+        i, j = substrings.longest_places(a, b)
+        assert (a[i] == b[j]).all()
+        runs = substrings.common_runs(*np.unique(np.stack([i, j]), axis=1), 1) if len(i) else []
+        for side, (x, y) in enumerate(((a, b), (b, a))):
+            longest = np.zeros(len(x), int)
+            for s in range(len(x)):
+                for t in range(len(y)):
+                    n = 0
+                    while s + n < len(x) and t + n < len(y) and x[s + n] == y[t + n]:
+                        n += 1
+                    longest[s : s + n] = np.maximum(longest[s : s + n], n)
+            got = np.zeros(len(x), int)
+            for r in runs:
+                got[r[side] : r[side] + r[2]] = np.maximum(got[r[side] : r[side] + r[2]], r[2])
+            assert (got == longest).all()
+
+
+
 def plain_tiles(p, t, k):
     """Greedy string tiling by its definition."""
     mp, mt, tiles = [False] * len(p), [False] * len(t), []
