@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import slices, splitmix
@@ -24,14 +24,15 @@ def counts(text: str, bits: int) -> tuple[np.ndarray, np.ndarray]:
     total = np.zeros(1 << bits, np.int64)
     shift = np.uint32(32 - bits)
     step = max(ORDERS) - 1
+    before = np.zeros(0, np.uint32)  # the last characters of the piece before, lower-cased
     with np.errstate(over="ignore"):
         for at in range(0, len(text), PIECE):
-            start = max(0, at - step)
-            c = np.frombuffer(text[start : at + PIECE].lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-            c = (c + np.uint32(1)) * _MULTIPLIERS[0]
+            # a sigma's lower case depends on what follows, so it is given one
+            raw = text[at : at + PIECE].replace("\u03a3", "\u03c3").lower().encode("utf-32-le", "surrogatepass")
+            c = (np.frombuffer(raw, np.uint32) + np.uint32(1)) * _MULTIPLIERS[0]
             c ^= c >> np.uint32(15)
             for n in ORDERS:
-                own = c if not at else c[step - n + 1 :]  # n-grams that end in this piece
+                own = np.concatenate([before[max(0, len(before) - n + 1) :], c]) if n > 1 else c  # n-grams that end in this piece
                 if len(own) < n:
                     continue
                 h = own[: len(own) - n + 1] * _MULTIPLIERS[n]
@@ -39,6 +40,7 @@ def counts(text: str, bits: int) -> tuple[np.ndarray, np.ndarray]:
                     h = (h ^ own[j : len(own) - n + 1 + j]) * _MULTIPLIERS[4 + j]
                 h ^= h >> np.uint32(16)
                 total += np.bincount((h * _MULTIPLIERS[9]) >> shift, minlength=1 << bits)
+            before = np.concatenate([before, c])[-step:]
     found = np.flatnonzero(total)
     return found, total[found]
 
@@ -74,8 +76,8 @@ def document_frequency(texts: DataFrame, bits: int) -> tuple[np.ndarray, int]:
     return out, docs
 
 
-def train(rows: list, classes: int, dims: int, epochs: int, alpha: float, beta: float, l1: float, l2: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """FTRL-proximal on (buckets, values, class) rows: weights and intercepts."""
+def train(rows: list, classes: int, dims: int, epochs: int, batch: int, alpha: float, beta: float, l1: float, l2: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """FTRL-proximal on (buckets, values, class) rows, a few rows at a step: weights and intercepts."""
     z, n = np.zeros((dims + 1, classes)), np.zeros((dims + 1, classes))
 
     def weights(at):
@@ -85,15 +87,19 @@ def train(rows: list, classes: int, dims: int, epochs: int, alpha: float, beta:
 
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
-        for k in rng.permutation(len(rows)):
-            found, v, y = rows[k]
-            at, v = np.append(found, dims), np.append(v, 1.0)
+        order = rng.permutation(len(rows))
+        for start in range(0, len(rows), batch):
+            some = [rows[k] for k in order[start : start + batch]]
+            at, place = np.unique(np.concatenate([[dims], *(r[0] for r in some)]), return_inverse=True)
+            x = np.zeros((len(some), len(at)))
+            x[:, place[0]] = 1.0
+            x[np.repeat(np.arange(len(some)), [len(r[0]) for r in some]), place[1:]] = np.concatenate([r[1] for r in some])
             w = weights(at)
-            s = v @ w
-            p = np.exp(s - s.max())
-            p /= p.sum()
-            p[y] -= 1
-            g = v[:, None] * p
+            s = x @ w
+            p = np.exp(s - s.max(axis=1, keepdims=True))
+            p /= p.sum(axis=1, keepdims=True)
+            p[np.arange(len(some)), [r[2] for r in some]] -= 1
+            g = x.T @ p
             n_new = n[at] + g * g
             z[at] += g - (np.sqrt(n_new) - np.sqrt(n[at])) / alpha * w
             n[at] = n_new
@@ -116,29 +122,41 @@ def temperature(scores: np.ndarray, y: np.ndarray) -> float:
     return float(np.exp((low + high) / 2))
 
 
-def fit(rows: DataFrame, per_class: int, max_chars: int, bits: int, epochs: int, seed: int = 5) -> dict | None:
-    """A model of rows (id, text, lang), text and lang not null; None where there are none.
+def fit(rows: DataFrame, per_class: int, bits: int, epochs: int, batch: int, seed: int = 5) -> dict | None:
+    """A model of rows (id, text, lang), none of them null; None where there are none.
 
-    IDF counts every row. The weights are learned from about per_class rows of
-    each language, chosen by a hash of the id, and max_chars characters of each;
-    a fifth of these set the temperature.
+    IDF counts every row. The weights are learned from at most per_class rows of
+    each language, those of the smallest hashes of the id, with their whole texts;
+    a fifth of these set the temperature. Only the sample's n-gram counts come to
+    the driver.
     """
     spark = rows.sparkSession
-    by_lang = sorted((r.lang, r["count"]) for r in rows.groupBy("lang").count().collect())
-    if not by_lang:
+    langs = sorted(r.lang for r in rows.select("lang").distinct().collect())
+    if not langs:
         return None
-    langs = [lang for lang, _ in by_lang]
     df, docs = document_frequency(rows.select("text"), bits)
     idf = np.log((1 + docs) / (1 + df)) + 1
-    shares = spark.createDataFrame([(lang, min(1.0, per_class / n)) for lang, n in by_lang], "lang string, share double")
-    chosen = rows.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < F.col("share") * (1 << 20))
-    sample = sorted((r.id, r.text, langs.index(r.lang)) for r in chosen.select("id", F.substring("text", 1, max_chars).alias("text"), "lang").collect())
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))  # cut down in each partition before the shuffle
+    ids = rows.select("id", "lang", F.xxhash64("id").alias("h")).distinct().withColumn("r", first).where(F.col("r") <= per_class)
+    picked = spark.createDataFrame([(r.id, r.lang) for r in ids.collect()], "id long, lang string")
+    texts = rows.join(F.broadcast(picked), ["id", "lang"]).groupBy("id", "lang").agg(F.max("text").alias("text"))
+
+    def run(batches):
+        for part in slices(batches, 64):
+            out = [[], []]
+            for text in part.column(2).to_pylist():
+                found, n = counts(text, bits)
+                out[0].append(found.astype(np.int32).tobytes())
+                out[1].append(n.astype(np.int32).tobytes())
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(c, pa.binary()) for c in out)], ["id", "lang", "found", "n"])
+
+    sample = texts.select("id", "lang", "text").mapInArrow(run, "id long, lang string, found binary, n binary").collect()
     data = []
-    for _, text, y in sample:
-        found, n = counts(text, bits)
-        data.append((found, weigh(found, n, idf), y))
+    for r in sorted(sample, key=lambda r: (r.id, r.lang)):
+        found = np.frombuffer(bytes(r.found), np.int32)
+        data.append((found, weigh(found, np.frombuffer(bytes(r.n), np.int32), idf).astype(np.float32), langs.index(r.lang)))
     held, kept = data[::5], [r for i, r in enumerate(data) if i % 5]
-    w, b = train(kept or data, len(langs), 1 << bits, epochs, alpha=0.5, beta=1.0, l1=0.02, l2=1e-4, seed=seed)
+    w, b = train(kept or data, len(langs), 1 << bits, epochs, batch, alpha=0.5, beta=1.0, l1=0.02, l2=1e-4, seed=seed)
     scores = np.array([v @ w[found] + b for found, v, _ in held]) if held else np.zeros((0, len(langs)))
     t = temperature(scores, np.array([y for *_, y in held])) if len(held) >= 10 and len(langs) > 1 else 1.0
     return {"langs": langs, "idf": idf, "w": w / t, "b": b / t, "bits": bits}
@@ -151,20 +169,24 @@ def identify(
     text_col: str = "text",
     lang_col: str = "lang",
     per_class: int = 800,
-    max_chars: int = 4096,
     bits: int = 15,
-    epochs: int = 3,
+    epochs: int = 4,
+    batch: int = 8,
 ) -> DataFrame:
     """(id_col, lang_pred, score) for every row of docs.
 
     lang_pred is one of the languages of train_rows, score its calibrated
     probability. It is `und`, with score 0, for null texts and texts without any
     letter, and for all texts if train_rows has no row with both text and
-    language. Rows of train_rows with a null id, text or language teach nothing.
-    Repeated rows give repeated results; repeated training rows count once each.
+    language; of languages with equal scores it is the first by code point. Texts
+    of any length count as a whole. Rows of train_rows with a null id, text or
+    language teach nothing. Repeated rows give repeated results; repeated training
+    rows count each for IDF and once for the weights (of texts that share an id and
+    a language, the greatest). An empty table of docs gives no rows. Other columns
+    of docs are not read.
     """
     rows = train_rows.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).dropna()
-    model = fit(rows, per_class, max_chars, bits, epochs)
+    model = fit(rows, per_class, bits, epochs, batch)
     picked = docs.select(F.col(id_col).cast("long").alias("id"), F.when(F.col(text_col).rlike(r"\p{L}"), F.col(text_col)).alias("text"))
     if model is None:
         return picked.select(F.col("id").alias(id_col), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
