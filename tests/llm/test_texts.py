@@ -167,6 +167,57 @@ def test_op7_finds_planted_passages(spark):
     assert substrings.repeated_passages(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("query_sf", ["/root/testdata/sf0.001", "/root/testdata/sf0.01"])
+def test_op7_against_a_brute_force_index(spark, union, query_sf):
+    """Every document that shares a run of 50 words with a different text has a row, and passages connect
+    (at least 99 % of) all pairs that share one, in groups of every size."""
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{query_sf}/documents.parquet").collect()}
+    holders, first = defaultdict(set), {}
+    for i, t in sorted(texts.items()):
+        if t and t not in first:
+            first[t] = i
+            w = words(t)
+            for run in {tuple(w[k : k + 50]) for k in range(len(w) - 49)}:
+                holders[run].add(i)
+    rows = queries.op7_substring_dedup(spark, query_sf).collect()
+    u = union(set(texts))
+    for r in rows:
+        u.join(r.doc_id, r.partner_id)
+    shared = {tuple(sorted(ids)) for ids in holders.values() if len(ids) > 1}
+    seen = {x for r in rows for x in (r.doc_id, r.partner_id)}
+    assert shared and {x for ids in shared for x in ids} <= seen
+    pairs = {(a, b) for ids in shared for k, b in enumerate(ids) for a in ids[:k]}
+    assert sum(u.find(a) == u.find(b) for a, b in pairs) >= 0.99 * len(pairs)
+    for r in rows:  # every row is a passage: so many words match in order
+        a, b = words(texts[r.doc_id])[r.start_word : r.end_word], words(texts[r.partner_id])[r.partner_start : r.partner_end]
+        assert max(len(a), len(b)) >= 50 and r.n_matched >= 0.8 * max(len(a), len(b)) and len(Counter(a) & Counter(b)) > 0
+        assert sum((Counter(a) & Counter(b)).values()) >= r.n_matched
+
+
+def test_op7_rows_that_repeat_an_id(spark):
+    """Each text of an id counts; equal rows count once."""
+    rng = random.Random(12)
+    p, a, b = ([f"{x}{rng.randrange(10**6)}" for _ in range(70)] for x in "pab")
+    df = spark.createDataFrame([(1, " ".join(a + p)), (1, "zzz " + " ".join(a[:9])), (2, " ".join(p + b)), (2, " ".join(p + b))], "doc_id long, text string")
+    got = substrings.repeated_passages(df).collect()
+    assert [{r.doc_id, r.partner_id} for r in got] == [{1, 2}] and got[0].n_matched == 70
+
+
+def test_op7_fuzzy_recall(spark):
+    """Passages of 80 words with replaced words at random places, one pair of texts each; measured, not exact."""
+    rng = random.Random(21)
+    rows, fresh = [], lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    for k in range(60):
+        passage = fresh(80)
+        edited = list(passage)
+        for at in rng.sample(range(80), 6):
+            edited[at] = "edit"
+        rows += [(2 * k, " ".join(fresh(30) + passage + fresh(20))), (2 * k + 1, " ".join(fresh(10) + edited + fresh(40)))]
+    got = substrings.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    links = {frozenset((r.doc_id, r.partner_id)) for r in got}
+    assert sum(frozenset((2 * k, 2 * k + 1)) in links for k in range(60)) >= 54 and all(min(x) // 2 == max(x) // 2 for x in links)
+
+
 def test_chains_are_best():
     """Against the plain quadratic recurrence."""
     rng = random.Random(5)
