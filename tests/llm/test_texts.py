@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -134,16 +135,79 @@ def test_op5_query(spark, sf, texts):
         assert r.base_sha256 == hashlib.sha256(named.encode()).hexdigest() and r.spans.startswith(named)
 
 
-def test_disclosing_terms(spark):
-    rows = [(i, f"über Zorro Vega writes zv@x.org today number {i}") for i in range(6)]
-    rows += [(100 + i, f"today the number {i} writes nothing") for i in range(60)]
-    rows += [(200, "später kam Zorro allein"), (201, None), (202, ""), (203, "zv@x.org " * 30000)]
+def term_list(t):
+    return [(m[0].lower() if m[0].isascii() else re.sub("[A-Z]", lambda x: x[0].lower(), m[0]), *m.span(), m[0]) for m in re.finditer("[0-9A-Za-z\u0080-\U0010ffff]+", t)]
+
+
+def class_of(word):
+    digits = [c.isascii() and c.isdigit() for c in word]
+    return "number" if all(digits) else "code" if any(digits) else "name" if "A" <= word[0] <= "Z" else "word"
+
+
+def brute_disclosure(all_texts, window, min_texts):
+    """PMI / IC by counting over the distinct texts."""
+    distinct = set(all_texts)
+    both, of_entity, of_term = Counter(), Counter(), Counter()
+    for t in (x or "" for x in distinct):
+        base = brute_pii(t)
+        free = [x for x in term_list(t) if not any(s < x[2] and x[1] < e for _, s, e in base)]
+        of_term.update({x[0] for x in term_list(t)} | {("class", class_of(x[3])) for x in term_list(t)})
+        near = defaultdict(set)
+        for kind, s, e in base:
+            value = (kind, t[s:e].lower() if kind < 2 else re.sub("[^0-9]", "", t[s:e]))
+            at = sum(x[1] < s for x in free)
+            around = free[max(0, at - window) : at + window]
+            near[value] |= {x[0] for x in around} | {("class", class_of(x[3])) for x in around}
+        for value, found in near.items():
+            of_entity[value] += 1
+            both.update((value, x) for x in found)
+    n, best = len(distinct), {}
+    for (value, term), k in both.items():
+        if k >= min_texts and of_entity[value] < n:
+            d = math.log2(n * k / (of_term[term] * of_entity[value])) / math.log2(n / of_entity[value])
+            best[term] = max(d, best.get(term, d))
+    return best
+
+
+def test_op5_disclosure_against_brute_force(spark, texts):
+    """Which terms are generalised and removed, over sf0.001 with planted people, broadcast and shuffled."""
+    rng = random.Random(3)
+    rows = list(texts.items())
+    for k in range(12):
+        for j in range(3):
+            rows.append((10_000 + 3 * k + j, f"Zorro{k} of vega{k} wrote p{k}@x.org on {rng.randrange(10**6)} in room {900 + k} {rows[j + 7][1]}"))
+    rows += [(20_000, "late came zorro3 alone"), (20_001, rows[-2][1]), (20_002, None), (None, rows[-3][1])]
+    best = brute_disclosure([t for _, t in rows], 10, 2)
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    for block in (500_000, 1):  # all terms at once, and in many blocks
-        got = {r.doc_id: r for r in pii.sanitise(df, generalise_at=0.9, block=block).collect()}
-        assert got[0].spans == "email:23:31,term:0:4,term:5:10,term:11:15" and got[0].n_terms == 3
-        assert "Zorro" not in got[200].sanitised and "today" in got[0].sanitised and got[100].spans == ""
-        assert got[201].spans == "" and got[201].base_sha256 == hashlib.sha256(b"").hexdigest()
+    for max_rows in (500_000, 0):
+        got = pii.sanitise(df, max_rows=max_rows).collect()
+        assert len(got) == len(rows)
+        by = dict(rows)
+        some = Counter()
+        for r in got:
+            t = by[r.doc_id] or ""
+            base = brute_pii(t)
+            want = {"generalised": [], "removed": []}
+            for word, s, e, raw in term_list(t):
+                d = best.get(word, -9)
+                if d >= 0.95 - 1e-12 and not any(a < e and s < b for _, a, b in base):
+                    gone = d >= 0.99 or best.get(("class", class_of(raw)), -9) >= 0.95
+                    want["removed" if gone else "generalised"].append(f"{'removed' if gone else 'generalised'}:{s}:{e}")
+            spans = [f"{pii.KINDS[k]}:{s}:{e}" for k, s, e in base] + want["generalised"] + want["removed"]
+            assert r.spans == ",".join(spans) and (r.n_generalised, r.n_removed) == tuple(map(len, want.values()))
+            some.update({k: len(v) for k, v in want.items()})
+        assert some["removed"] > 30
+
+
+def test_op5_cases(spark):
+    rows = [(i, f"über Zorro Vega writes zv@x.org today number {i}", 1) for i in range(6)]
+    rows += [(100 + i, f"Quiet today the number {i} writes nothing", 1) for i in range(60)] + [(300, "a Vega of 1", 1)]
+    rows += [(200, "später kam Zorro allein, Vega", 1), (201, None, 1), (202, "", 1), (203, "zv@x.org " * 30000, 1), (None, "kam Zorro", 1), (0, rows[0][1], 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, spans int")
+    got = {r.doc_id: r for r in pii.sanitise(df, generalise_at=0.8).collect()}
+    assert got[0].spans.startswith("email:23:31") and "Zorro" not in got[200].sanitised and "[NAME]" in got[200].sanitised
+    assert "today" in got[0].sanitised and "[EMAIL]" in got[0].sanitised and got[100].spans == ""
+    assert got[201].spans == "" and got[201].base_sha256 == hashlib.sha256(b"").hexdigest() and got[None].spans
     assert pii.sanitise(df.limit(0)).count() == 0
 
 
