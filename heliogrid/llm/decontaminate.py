@@ -2,7 +2,8 @@
 
 Tiles are the longest runs of words that text and item share, marked greedily
 and without overlap, so that a passage whose parts were reordered is still
-covered. Runs are grown from shared k-word seeds, found by rolling hashes.
+covered. Runs are grown from shared k-word seeds, found by rolling hashes; an
+item of fewer words is a seed as a whole.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, binaries, grams, slices, word_hashes
+from .common import U64, binaries, grams, settle, slices, word_hashes
 
 
 def common_runs(i: np.ndarray, j: np.ndarray, k: int) -> list[tuple[int, int, int]]:
@@ -49,17 +50,51 @@ def tile(runs: list[tuple[int, int, int]], n_item: int, n_text: int, k: int) ->
     return tiles
 
 
+def runs_of_places(places: list[tuple[int, np.ndarray]], k: int) -> list[tuple[int, int, int]]:
+    """(start in item, start in text, words) of the maximal runs, from (place in item, its sorted
+    places in the text) by place in item.
+
+    Each place continues the runs of the one before it on the same diagonals, so
+    only open runs are held, not every pair of places: a text of one word over and
+    over has as many runs as diagonals.
+    """
+    out, last, diagonals, starts = [], -2, np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def close(d, s, end):
+        out.extend(zip(s.tolist(), (s + d).tolist(), (end - s + k).tolist()))
+
+    for i, at in places:
+        now = at.astype(np.int64) - i
+        fresh = np.full(len(now), i, np.int64)
+        if i == last + 1 and len(diagonals):
+            where = np.searchsorted(diagonals, now)
+            where[where == len(diagonals)] = 0
+            goes_on = diagonals[where] == now
+            fresh[goes_on] = starts[where[goes_on]]
+            ended = np.ones(len(diagonals), bool)
+            ended[where[goes_on]] = False
+            close(diagonals[ended], starts[ended], last)
+        else:
+            close(diagonals, starts, last)
+        last, diagonals, starts = i, now, fresh
+    close(diagonals, starts, last)
+    return out
+
+
 class Items:
     """Benchmark items of one block: their words and a sorted table of their seeds."""
 
     def __init__(self, rows: list[tuple[object, bytes | None]], k: int):
         self.k, self.ids, self.words = k, [], []
+        self.short = np.zeros(k, bool)  # lengths of items with fewer than k words
         keys, owner, place = [], [], []
         for item_id, text in rows:
             words = word_hashes(text)
-            if len(words) < k:
+            if not len(words):
                 continue
-            seeds = grams(words, k)
+            seeds = grams(words, min(k, len(words)))
+            if len(words) < k:
+                self.short[len(words)] = True
             keys.append(seeds)
             owner.append(np.full(len(seeds), len(self.ids)))
             place.append(np.arange(len(seeds)))
@@ -73,27 +108,76 @@ class Items:
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[(self.keys >> U64(44)).astype(np.int64)] = True
 
-    def hits(self, words: np.ndarray):
-        """(item, place in item, place in text) of every shared seed."""
-        seeds = grams(words, self.k)
+    def _met(self, words: np.ndarray, n: int):
+        """(item, place in item, its places in the text) for shared seeds of n words."""
+        seeds = grams(words, n)
         at = np.flatnonzero(self.maybe[(seeds >> U64(44)).astype(np.int64)])
-        low, high = (np.searchsorted(self.keys, seeds[at], side) for side in ("left", "right"))
-        at, low, count = at[high > low], low[high > low], (high - low)[high > low]
-        index = np.repeat(low - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum()) if len(at) else low
-        return self.owner[index], self.place[index], np.repeat(at, count)
+        found, low = np.unique(seeds[at], return_inverse=True)
+        if not len(found):
+            return
+        order = np.argsort(low, kind="stable")
+        at, ends = at[order], np.concatenate([[0], np.cumsum(np.bincount(low))])
+        first, last = (np.searchsorted(self.keys, found, side) for side in ("left", "right"))
+        for f in np.flatnonzero(last > first).tolist():
+            for x in range(first[f], last[f]):
+                yield int(self.owner[x]), int(self.place[x]), at[ends[f] : ends[f + 1]]
+
+    def tiles(self, words: np.ndarray):
+        """(item, its tiles) for the items that share a seed with the text."""
+        by: dict[int, list] = {}
+        for item, i, at in self._met(words, self.k):
+            by.setdefault(item, []).append((i, at))
+        for item in sorted(by):
+            runs = runs_of_places(sorted(by[item], key=lambda p: p[0]), self.k)
+            yield item, tile(runs, self.words[item], len(words), self.k)
+        for n in np.flatnonzero(self.short).tolist():
+            for item, _, at in self._met(words, n):
+                if self.words[item] == n:
+                    yield item, [(0, int(at[0]), n)]
 
     def covered(self, text: bytes | None, min_coverage: float):
         """(item id, coverage, tiles, longest tile, first word of it) of the items that the text holds."""
-        words = word_hashes(text)
-        owner, i, j = self.hits(words)
-        for item in np.unique(owner).tolist():
-            own = owner == item
-            tiles = tile(common_runs(i[own], j[own], self.k), self.words[item], len(words), self.k)
+        for item, tiles in self.tiles(word_hashes(text)):
             coverage = sum(n for _, _, n in tiles) / self.words[item]
             if coverage >= min_coverage:
                 yield self.ids[item], coverage, len(tiles), max(n for _, _, n in tiles), tiles[0][1]
 
 
+class SeedFilter:
+    """Which seeds some item of the whole benchmark may have: a Bloom filter of fixed size."""
+
+    BITS = 1 << 27
+
+    def __init__(self):
+        self.bits = np.zeros(self.BITS >> 3, np.uint8)
+        self.lengths: set[int] = set()
+
+    def _places(self, seeds: np.ndarray):
+        for shift in (0, 27, 37):
+            yield ((seeds >> U64(shift)) & U64(self.BITS - 1)).astype(np.int64)
+
+    def add(self, words: np.ndarray, k: int):
+        n = min(k, len(words))
+        if n:
+            self.lengths.add(n)
+            for at in self._places(grams(words, n)):
+                np.bitwise_or.at(self.bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+
+    def meets(self, words: np.ndarray) -> bool:
+        for n in self.lengths:
+            seeds, hit = grams(words, n), True
+            for at in self._places(seeds):
+                hit = hit & ((self.bits[at >> 3] >> (at & 7)) & 1).astype(bool)
+            if len(seeds) and hit.any():
+                return True
+        return False
+
+
+def _block(bench: DataFrame, block: int, n_blocks: int) -> list:
+    rows = bench.where(F.pmod(F.xxhash64("i", "t"), F.lit(n_blocks)) == block).collect()
+    return sorted(((r.i, r.t.encode() if r.t is not None else None) for r in rows), key=lambda r: (r[0] is None, r[0] or 0, r[1] or b""))
+
+
 def contaminated(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -108,24 +192,39 @@ def contaminated(
     """(id_col, item_col, coverage, n_tiles, longest, at_word): texts that hold benchmark items.
 
     A row for each text and item of which tiles of k words or more cover at least
-    min_coverage of the item's words. Items of fewer than k words, null or empty
-    ones are no evidence and match nothing; so do such texts. Repeated rows give
-    repeated results.
+    min_coverage of the item's words; an item of fewer than k words has to be in
+    the text as a whole. Null, empty and blank items and texts match nothing.
+    Texts of any length count as a whole. Of equally long tiles the first in the
+    item, then in the text, is taken. Repeated rows on either side give repeated
+    results, null ids go through, and so do empty tables (no rows); other columns
+    are not read.
 
     The benchmark goes to the tasks in blocks of about block_words words (a
-    broadcast of some 30 MB at most, unless one item is longer); each block is
-    held against all texts, so its size sets the number of passes and not what
-    is found.
+    broadcast of some 30 MB at most, unless one item is longer). Of several blocks,
+    a Bloom filter of all seeds first picks the texts that share any, in one pass
+    over the corpus; only these are held against every block.
     """
     bench = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text).alias("t"))
     words = bench.agg(F.sum(F.length("t") / 2 + 1)).first()[0] or 0  # words are two bytes or longer, with the gap
     n_blocks = max(1, -(-int(words) // block_words))
     schema = f"`{id_col}` long, `{item_col}` long, coverage double, n_tiles long, longest long, at_word long"
+    texts = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias(text_col))
+    sc = docs.sparkSession.sparkContext
+    if n_blocks > 1:
+        seeds = SeedFilter()
+        for block in range(n_blocks):
+            for _, text in _block(bench, block, n_blocks):
+                seeds.add(word_hashes(text), k)
+        filter_ = sc.broadcast(seeds)
+
+        def pick(batches):
+            for batch in slices(batches):
+                yield batch.filter(pa.array([filter_.value.meets(word_hashes(t)) for t in binaries(batch.column(1))], pa.bool_()))
+
+        texts = settle(texts.mapInArrow(pick, texts.schema))
     out = None
     for block in range(n_blocks):
-        rows = bench.where(F.pmod(F.xxhash64("i", "t"), F.lit(n_blocks)) == block).collect()
-        rows = sorted(((r.i, r.t.encode() if r.t is not None else None) for r in rows), key=lambda r: (r[0] is None, r[0] or 0, r[1] or b""))
-        shared = docs.sparkSession.sparkContext.broadcast(Items(rows, k))
+        shared = sc.broadcast(Items(_block(bench, block, n_blocks), k))
 
         def run(batches, shared=shared):
             for batch in slices(batches):
@@ -137,6 +236,6 @@ def contaminated(
                 kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(found, kinds)], [id_col, item_col, "coverage", "n_tiles", "longest", "at_word"])
 
-        part = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias(text_col)).mapInArrow(run, schema)
+        part = texts.mapInArrow(run, schema)
         out = part if out is None else out.unionByName(part)
     return out
