@@ -98,7 +98,19 @@ def verify(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int
     return with_texts(pairs, texts).mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold_percent: int = 80, k: int = 5, miss: float = 1e-6) -> DataFrame:
+def meetings(rows: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """Two sides of rows (band, rep, ...) that meet on (band, i, j): a band of n rows is dealt in
+    ceil(n / block) blocks, and every two of its blocks meet under a key of their own, so that no
+    task gets more than two blocks of a band."""
+    n = rows.groupBy("band").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).where("blocks > 1")
+    own = F.pmod(F.xxhash64("rep"), F.coalesce("blocks", F.lit(1))).cast("int")
+    dealt = rows.join(n, "band", "left").withColumn("own", own).withColumn("last", F.coalesce("blocks", F.lit(1)) - 1).drop("blocks")
+    left = dealt.withColumn("i", F.col("own")).withColumn("j", F.explode(F.sequence("own", "last")))
+    right = dealt.withColumn("j", F.col("own")).withColumn("i", F.explode(F.sequence(F.lit(0), "own")))
+    return left.drop("own", "last"), right.drop("own", "last")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold_percent: int = 80, k: int = 5, miss: float = 1e-6, block: int = 256) -> DataFrame:
     """(id_col, n_shingles, component_id, kept) for every row of docs.
 
     Two texts are linked if 100 * |A & B| >= threshold_percent * |A | B| on their
@@ -107,12 +119,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shingle; null, empty and blank texts have no shingle and link with nothing.
     Rows with a null id get a null component and kept is false; rows that repeat
     an id count as one document (the greatest text, if they differ, for links).
+    Texts of any length count with their full sets. An empty table gives no rows;
+    other columns are not read.
 
     Texts with equal sets are one class from the start, so a class of any size
     costs one row. In a bucket, each class is first proposed to the one that shares
     buckets with most others (a star, not all pairs). What then is in a bucket but
     in no common component is proposed pairwise, if sizes and parities leave a link
-    possible. Both filters are exact; only bands can miss a pair, at the threshold
+    possible; a large bucket is dealt over many tasks in blocks of about `block`
+    classes. Both filters are exact; only bands can miss a pair, at the threshold
     with a probability of at most `miss`.
     """
     bands, rows = plan_bands(threshold_percent / 100, miss)
@@ -137,13 +152,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labelled = shared.join(comp, shared.rep == comp.node, "left").select("band", "rep", F.coalesce("component", "rep").alias("comp"))
     split = labelled.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("band")
     open_rows = settle(labelled.join(split, "band").join(sets, "rep"))
-    x, y = open_rows.alias("x"), open_rows.alias("y")
-    rest = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.comp") != F.col("y.comp")) & possible("x", "y", threshold_percent))
-    rest = rest.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+    x, y = (side.alias(name) for side, name in zip(meetings(open_rows, block), "xy"))
+    met = (F.col("x.band") == F.col("y.band")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j"))
+    once = (F.col("x.i") < F.col("x.j")) | (F.col("x.rep") < F.col("y.rep"))
+    rest = x.join(y, met & once & (F.col("x.comp") != F.col("y.comp")) & possible("x", "y", threshold_percent))
+    rest = rest.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
     rest = settle(rest.join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
     if not rest.isEmpty():
         more = verify(rest, docs, id_col, text_col, k, threshold_percent)
-        comp = components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+        ends = more
+        for end in ("a", "b"):  # only components that new links join are gone over again
+            ends = ends.join(comp, F.col(end) == F.col("node"), "left").withColumn(end, F.coalesce("component", end)).drop("node", "component")
+        merged = settle(components(ends).select(F.col("node").alias("component"), F.col("component").alias("least")))
+        own = comp.join(merged, "component", "left").select("node", F.coalesce("least", "component").alias("component"))
+        alone = merged.join(comp, F.col("node") == merged.component, "left_anti").select(F.col("component").alias("node"), F.col("least").alias("component"))
+        comp = settle(own.unionByName(alone))
 
     reps = classes.join(comp, classes.rep == comp.node, "left").select("d1", "d2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     out = sig.join(reps.withColumnRenamed("n_shingles", "m"), (sig.d1 == reps.d1) & (sig.d2 == reps.d2) & (sig.n_shingles == F.col("m")), "left")

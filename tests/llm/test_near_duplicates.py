@@ -42,11 +42,19 @@ def test_edits_of_one_text(spark, union):
         texts[i] = " ".join(w)
     texts |= {200: None, 201: "", 202: " \n\t", 203: "one two", 204: "One TWO", 205: "one two three", 206: "long " * 60000}
     df = spark.createDataFrame([(i, t, "x", 5) for i, t in texts.items()], "doc_id long, text string, component_id string, id int")
-    for percent in (80, 85):
-        rows = minhash.near_duplicates(df, threshold_percent=percent).collect()
+    for percent, block in ((80, 256), (85, 256), (85, 4)):  # buckets at once, and in many blocks
+        rows = minhash.near_duplicates(df, threshold_percent=percent, block=block).collect()
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == brute(texts, percent, union)
 
 
+def test_blocks_of_a_bucket_meet_once(spark):
+    rows = spark.createDataFrame([(b, r) for b, n in ((1, 1), (2, 30), (3, 5)) for r in range(n)], "band long, rep long")
+    x, y = minhash.meetings(rows, 4)
+    x, y = x.toDF("band", "a", "i", "j"), y.toDF("band", "b", "j", "i")
+    got = sorted((r.band, *sorted((r.a, r.b))) for r in x.join(y, ["band", "i", "j"]).where("i < j or a < b").collect())
+    assert got == [(b, p, q) for b, n in ((1, 1), (2, 30), (3, 5)) for p in range(n) for q in range(p + 1, n)]
+
+
 def test_repeated_rows_null_ids_and_empty_tables(spark):
     df = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (0, "a b c d e f")], "doc_id long, text string")
     rows = sorted(minhash.near_duplicates(df).collect(), key=str)
