@@ -10,6 +10,7 @@ import duckdb
 import numpy as np
 import pytest
 import zstandard
+from pyspark.sql import functions as F
 
 from heliogrid.llm import decontaminate, langid, lines, mixing, pii, quality, queries, substrings, warc
 
@@ -33,19 +34,23 @@ def test_sql_gives_the_same(spark, sf, name):
 
 def test_line_dedup_cases(spark):
     rows = [(i, f"Menu \nbody {i}\n\n menu", "en", "a", 1) for i in range(20)]
-    rows += [(100 + i, "Menu", "en", "a", 1) for i in range(5)]  # nothing but boilerplate: kept whole
+    rows += [(100 + i, "Menu", "en", "a", 1) for i in range(5)]  # nothing but boilerplate
     rows += [(200, None, "en", "a", 1), (201, "", "en", "a", 1), (202, "Menu\nx", "en", None, 1), (203, "Menu\ny", "en", None, 1), (204, "z\n" * 50000, "en", "b", 1)]
-    df = spark.createDataFrame(rows, DOCS)
-    got = {r.doc_id: r for r in lines.drop_boilerplate(df).collect()}
-    assert got[3].text == "body 3\n" and (got[3].n_lines, got[3].n_dropped) == (4, 2)  # the blank line stays
-    assert got[100].text == "Menu" and got[100].n_dropped == 0
-    assert got[200].text is None and got[200].n_lines == 0 and got[201].text == ""
-    assert got[202].text == "Menu\nx"  # two pages are too few
+    rows += [(300, "once\nall", "en", "c", 1)] * 4  # repeated rows are pages
+    df = spark.createDataFrame(rows, DOCS).withColumn("n_lines", F.lit("old")).withColumn("n_dropped", F.lit("old"))
+    for keep in (False, True):
+        got = {r.doc_id: r for r in lines.drop_boilerplate(df, keep_pages=keep).collect()}
+        assert got[3].text == "body 3\n" and (got[3].n_lines, got[3].n_dropped) == (4, 2)  # the blank line stays
+        assert (got[100].text, got[100].n_dropped) == (("Menu", 0) if keep else ("", 1))
+        assert (got[300].text, got[300].n_dropped) == (("once\nall", 0) if keep else ("", 2))
+        assert got[200].text is None and got[200].n_lines == 0 and got[201].text == ""
+        assert got[202].text == "Menu\nx"  # two pages are too few
+        assert got[204].n_lines == 50001 and got[204].n_dropped == 0
 
 
 def test_line_dedup_without_broadcast(spark):
     df = spark.createDataFrame([(i, f"Menu\nbody {i}", "en", "a", 1) for i in range(30)] + [(99, "Menu\nx", "en", None, 1)], DOCS)
-    a, b = (sorted(map(tuple, lines.drop_boilerplate(df, broadcast_lines=n).collect())) for n in (500_000, -1))
+    a, b = (sorted(map(tuple, lines.drop_boilerplate(df, broadcast_lines=n, max_hosts=n).collect())) for n in (500_000, -1))
     assert a == b and [r[1] for r in a if r[0] == 5] == ["body 5"]
     assert lines.drop_boilerplate(df.limit(0)).count() == 0
 
