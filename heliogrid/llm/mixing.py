@@ -46,6 +46,32 @@ def sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataF
     return picked.mapInArrow(run, "id long, source string, size long")
 
 
+def numbered(rows: DataFrame, seed: int, chunk: int = 4096) -> DataFrame:
+    """rows (id, source, size) with h, a hash that also tells equal rows apart, the same on every run.
+
+    Equal rows are counted and dealt out again by number, `chunk` of them at a
+    time, so that no task has all of a row that repeats without end.
+    """
+    n = settle(rows.groupBy("id", "source", "size").agg(F.count("*").alias("n")))
+    parts = n.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / chunk))))
+    if not n.where(F.col("n") > chunk).isEmpty():
+        parts = parts.repartition("id", "size", "part")
+    first = F.col("part") * chunk
+    k = F.explode(F.sequence(first, F.least(first + chunk, F.col("n")) - 1))
+    return parts.withColumn("k", k).select("id", "source", "size", F.xxhash64("id", "size", "k", F.lit(seed)).alias("h"))
+
+
+def by_source(rows: DataFrame, table: DataFrame, max_rows: int, salts: int = 32) -> DataFrame:
+    """rows (source, h, ...) with the columns of table (one row a source, nulls included; settled).
+    table is broadcast if counted at max_rows or fewer; else each source is dealt over `salts` keys."""
+    own = table.withColumnRenamed("source", "__source")
+    same = F.col("source").eqNullSafe(F.col("__source"))
+    if own.count() <= max_rows:
+        return rows.join(F.broadcast(own), same).drop("__source")
+    own = own.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.join(own, same & (F.pmod("h", F.lit(salts)) == F.col("__salt"))).drop("__source", "__salt")
+
+
 def ranked(sources: DataFrame) -> DataFrame:
     """sources with `rank`, from 0, by code point with null last; no global window."""
     dealt = sources.withColumn("__null", F.col("source").isNull()).repartitionByRange("__null", "source").withColumn("__part", F.spark_partition_id())
@@ -141,16 +167,15 @@ def _balance(seed: int, level: int, last: bool):
     return run
 
 
-def cube(rows: DataFrame, block: int, seed: int) -> DataFrame:
+def cube(rows: DataFrame, block: int, seed: int, max_rows: int) -> DataFrame:
     """rows (id, source, size, h, p, ...) with p moved to 0 or 1, balanced within each source."""
     done, level = [], 0
     while True:
         counts = rows.groupBy("source").agg(F.count("*").alias("__n"))
-        counts = settle(counts.select(F.col("source").alias("__source"), F.ceil(F.col("__n") / block).alias("__blocks")))
+        counts = settle(counts.select("source", F.ceil(F.col("__n") / block).alias("__blocks")))
         last = (counts.agg(F.max("__blocks")).first()[0] or 1) <= 1
-        blocked = rows.join(counts, F.col("source").eqNullSafe(F.col("__source")))
-        blocked = blocked.withColumn("__block", F.pmod(F.xxhash64(F.lit(seed + level), "h"), F.col("__blocks"))).drop("__source", "__blocks")
-
+        blocked = by_source(rows, counts, max_rows)
+        blocked = blocked.withColumn("__block", F.pmod(F.xxhash64(F.lit(seed + level), "h"), F.col("__blocks"))).drop("__blocks")
         moved = settle(blocked.groupBy("source", "__block").applyInPandas(_balance(seed, level, last), rows.schema))
         if last:
             done.append(moved)
@@ -174,6 +199,7 @@ def mix_sources(
     limit: float = 2.0,
     block: int = 4096,
     seed: int = 7,
+    max_sources: int = 1_000_000,
 ) -> DataFrame:
     """(id_col, size, source_size, target, taken) for every row of docs.
 
@@ -183,19 +209,19 @@ def mix_sources(
     and the excess goes to the others. taken is size times the copies that the
     mix takes: the whole part of target / source_size, and one more for the
     documents that the cube method selects. No document is taken more than
-    ceil(limit) times. Rows that repeat are documents of their own; the result is
-    the same on every run and for every partitioning. A source of no words has
-    the target 0 and nothing is taken of it.
+    ceil(limit) times. Rows that repeat are documents of their own, null ids too;
+    the result is the same on every run and for every partitioning. Texts of any
+    length count as a whole. A source of no words has the target 0 and nothing is
+    taken of it. An empty table gives no rows; other columns are not read.
     """
-    s = sizes(docs, id_col, text_col, source_col).withColumn("h", F.xxhash64("id", "size", F.lit(seed)))
-    s = settle(s)
+    s = settle(numbered(sizes(docs, id_col, text_col, source_col), seed))
     totals = targets(s.groupBy("source").agg(F.sum("size").alias("source_size")), list(weights), share, limit)
-    totals = settle(totals.select(F.col("source").alias("__s"), "source_size", "target"))
+    totals = settle(totals.select("source", "source_size", "target"))
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    rows = s.join(totals, F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
+    rows = by_source(s, totals, max_sources)
     rows = rows.withColumn("copies", F.floor(ratio + EPS)).withColumn("p", F.greatest(ratio - F.col("copies"), F.lit(0.0)))
     rows = settle(rows)
     sure = F.col("p") <= EPS
-    picked = rows.where(sure).withColumn("p", F.lit(0.0)).unionByName(cube(rows.where(~sure), block, seed))
+    picked = rows.where(sure).withColumn("p", F.lit(0.0)).unionByName(cube(rows.where(~sure), block, seed, max_sources))
     taken = (F.col("size") * (F.col("copies") + F.col("p").cast("long"))).cast("long")
     return picked.select(F.col("id").alias(id_col), "size", "source_size", "target", taken.alias("taken"))
