@@ -134,9 +134,11 @@ def write_bundles(
     Of rows with equal payloads of at least min_revisit_bytes bytes, those with
     the largest id are responses and the others revisits that refer to it; rows
     that repeat the largest id are all responses; null ids sort lowest. A null
-    payload is empty, a null URL has no field. Bundles end at about bundle_bytes
-    compressed bytes. A task that is run again writes files of another name, and
-    the index names the files of the run that counted.
+    payload is empty, a null URL has no field. A payload longer than frame_bytes has
+    a frame of its own, which a task holds as a whole. Bundles end at about
+    bundle_bytes compressed bytes. An empty table writes nothing and gives an empty
+    index; other columns are not read. A task that is run again writes files of
+    another name, and the index names the files of the run that counted.
     """
     p = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.encode(F.coalesce(F.col(payload_col), F.lit("")), "UTF-8").alias("payload"))
     p = p.withColumn("digest", F.unhex(F.sha1("payload")))
@@ -170,13 +172,15 @@ def write_bundles(
     return settle(p.mapInArrow(run, INDEX))
 
 
-def read_records(index: DataFrame, folder: str, with_payload: bool = False) -> DataFrame:
+def read_records(index: DataFrame, folder: str, with_payload: bool = False, frames_per_task: int = 16, max_tasks: int = 50_000) -> DataFrame:
     """The records of the index's rows, read by their frames and offsets.
 
     (page_id, payload_bytes, payload_digest, record_type, refers_to, payload);
     payload is null for revisits and unless asked for. Rows are grouped by frame,
-    so a frame is read once; other frames of a bundle are not read. A response
-    whose payload does not have the digest in its head is an error.
+    so a frame is read once; other frames of a bundle are not read. Frames are dealt
+    over tasks by their number, as the index itself is too small to say how much
+    there is to read. A response whose payload does not have the digest in its head
+    is an error. Index rows that repeat give repeated records; an empty index none.
     """
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 
@@ -196,7 +200,9 @@ def read_records(index: DataFrame, folder: str, with_payload: bool = False) -> D
         out = pd.DataFrame(rows, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
         return out.astype({"page_id": "Int64", "refers_to": "Int64"})
 
-    return index.groupBy("bundle", "frame").applyInPandas(run, schema)
+    frames = index.select("bundle", "frame").distinct().count()
+    tasks = min(max(1, -(-frames // frames_per_task)), max_tasks)
+    return index.repartition(tasks, "bundle", "frame").groupBy("bundle", "frame").applyInPandas(run, schema)
 
 
 def scratch_folder(spark: SparkSession) -> str:
