@@ -89,7 +89,7 @@ def test_temperature_recovers_scale():
 
 
 def test_warc_round_trip(spark, tmp_path):
-    pages = [(i, f"http://h/{i} x\r\n", f"<p>{i % 7}</p>" if i % 3 else None, "q") for i in range(60)] + [(60, None, "é" * 300000, "q"), (None, "u", "<p>1</p>", "q")]
+    pages = [(i, f"http://h/{i} x\r\n", f"<p>{i % 7}</p>" if i % 3 else None, "q") for i in range(60)] + [(60, None, "é" * 300000, "q"), (None, "u", "<p>1</p>", "q"), (59, "again", "<p>3</p>", "q")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string, digest string").repartition(3)
     folder = str(tmp_path / "w")
     index = warc.write_bundles(df, folder, frame_bytes=500, bundle_bytes=2000)
@@ -108,6 +108,7 @@ def test_warc_round_trip(spark, tmp_path):
         assert r.payload is None if r.record_type == "revisit" else bytes(r.payload) == body
     files = list((tmp_path / "w").iterdir())
     assert len(files) > 3
+    assert [(r.record_type, r.refers_to) for r in rows if r.page_id == 59] == [("response", None)] * 2  # the largest id, twice
     whole = b"".join(zstandard.ZstdDecompressor().stream_reader(f.read_bytes(), read_across_frames=True).read() for f in files)
     assert whole.count(b"WARC/1.1\r\n") == len(pages)  # a plain reader can read the bundles too
     assert warc.read_records(warc.write_bundles(df.limit(0), folder), folder).count() == 0
@@ -459,10 +460,21 @@ def test_op9_cases(spark):
         per[r.source_size][0] += r.taken
         per[r.source_size][1] = r.target
     assert all(abs(t - want) <= 13 for t, want in per.values()) and per[0] == [0, 0.0]
+    assert sorted(map(tuple, mixing.mix_sources(df, block=64, max_sources=0).collect()), key=str) == sorted(map(tuple, got), key=str)  # salted
     assert mixing.mix_sources(df.limit(0)).count() == 0
     assert {r.taken for r in mixing.mix_sources(df.where("source = 'c'")).collect()} == {0}
 
 
+def test_op9_equal_rows_are_told_apart(spark):
+    """Equal rows in many chunks and blocks, and a few others."""
+    df = spark.range(9000).selectExpr("cast(null as long) id", "'s' source", "5L size").unionByName(spark.createDataFrame([(1, "t", 2), (1, "t", 2), (1, None, 2)], "id long, source string, size long"))
+    got = mixing.numbered(df, 7, chunk=1000).collect()
+    assert len(got) == 9003 and len({r.h for r in got if r.id is None}) == 9000
+    docs = df.select(F.col("id").alias("doc_id"), F.expr("repeat('w ', int(size))").alias("text"), "source")
+    rows = [r for r in mixing.mix_sources(docs, block=512).collect() if r.source_size == 45000]
+    assert len(rows) == 9000 and abs(sum(r.taken for r in rows) - rows[0].target) <= 5
+
+
 def test_flight_keeps_totals():
     rng = np.random.default_rng(0)
     size, p = rng.integers(1, 500, 3000), np.full(3000, 0.37)
