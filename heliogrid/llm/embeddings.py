@@ -17,18 +17,23 @@ from pyspark.sql import functions as F
 from .common import components, settle, slices
 
 
-def _unit(values) -> np.ndarray | None:
-    """The vector scaled to length 1 in double precision; None if that can't be."""
-    if values is None or not len(values) or any(v is None for v in values):
-        return None
-    x = np.asarray(values, np.float64)
-    if not np.isfinite(x).all():
-        return None
-    top = np.abs(x).max()
-    if top == 0:
-        return None
-    x = x / top
-    return x / np.sqrt(x @ x)
+def _units(column: pa.Array) -> list[bytes | None]:
+    """The vectors of a list column scaled to length 1 in double precision; None where that can't be."""
+    column = column.cast(pa.large_list(pa.float64()))
+    flat = column.values.to_numpy(zero_copy_only=False)  # null components become NaN
+    starts = column.offsets.to_numpy()[:-1]
+    lengths = np.where(column.is_valid().to_numpy(zero_copy_only=False), np.diff(column.offsets.to_numpy()), 0)
+    out: list[bytes | None] = [None] * len(column)
+    for dims in np.unique(lengths[lengths > 0]).tolist():
+        rows = np.flatnonzero(lengths == dims)
+        x = flat[starts[rows][:, None] + np.arange(dims)]
+        top = np.abs(x).max(axis=1)
+        good = np.isfinite(x).all(axis=1) & (top > 0)
+        x = x[good] / top[good][:, None]
+        x /= np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+        for row, unit in zip(rows[good].tolist(), x):
+            out[row] = unit.tobytes()
+    return out
 
 
 def unit_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -36,9 +41,8 @@ def unit_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
     def run(batches):
         for batch in slices(batches, 4096):
-            units = [_unit(v) for v in batch.column(1).to_pylist()]
-            raw = [None if u is None else u.tobytes() for u in units]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([0 if u is None else len(u) for u in units], pa.int32()), pa.array(raw, pa.binary())], ["id", "dims", "unit"])
+            raw = _units(batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([0 if u is None else len(u) // 8 for u in raw], pa.int32()), pa.array(raw, pa.binary())], ["id", "dims", "unit"])
 
     picked = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     return picked.mapInArrow(run, "id long, dims int, unit binary").withColumn("key", F.xxhash64("unit")).withColumn("key2", F.xxhash64(F.lit(7), "unit"))
@@ -178,7 +182,8 @@ def near_duplicates(
     max_pivots: int = 256,
     rows_per_pivot: int = 4096,
     sample_rows: int = 4096,
-    block: int = 4096,
+    block: int = 16_384,
+    block_bytes: int = 1 << 25,
 ) -> DataFrame:
     """(id_col, n_links, component_id, kept) for every row of vectors.
 
@@ -187,10 +192,14 @@ def near_duplicates(
     empty and zero vectors and those with null or non-finite components link with
     nothing; vectors of different lengths never link. Equal vectors are one class
     and count by their number. Rows with a null id get null and false, and count
-    for no other row. Rows that repeat an id count as others.
+    for no other row. Rows that repeat an id count as others. An empty table gives
+    no rows; other columns are not read. The cosine is the product of unit vectors
+    in double precision, so a pair within rounding (1e-15) of the threshold may
+    fall on either side.
 
     Pivots are chosen from a bounded sample; any pivots give the same result.
-    Cells of any size are joined in blocks of about `block` rows.
+    Cells of any size are joined in blocks of about `block` rows, or as many as are
+    block_bytes; a row is shipped once for each pair of blocks that it is in.
     """
     v = settle(unit_vectors(vectors, id_col, vector_col))
     good = v.where("unit is not null and id is not null")
@@ -198,7 +207,8 @@ def near_duplicates(
     parts = None
     for row in classes.groupBy("dims").count().collect():  # a row for each vector length
         n = int(np.clip(row["count"] // rows_per_pivot, 2, max_pivots))
-        part = range_join(classes.where(F.col("dims") == row.dims), row.dims, threshold, n, sample_rows, block)
+        held = max(1, min(block, block_bytes // (8 * row.dims)))
+        part = range_join(classes.where(F.col("dims") == row.dims), row.dims, threshold, n, sample_rows, held)
         parts = part if parts is None else parts.unionByName(part)
     one = F.when(F.col("id").isNotNull(), F.lit(0).cast("long"))
     if parts is None:

@@ -103,7 +103,7 @@ def test_op1_against_all_pairs(spark, union, sf):
     chain = [[math.cos(t), math.sin(t)] for t in np.arange(0, 3, 0.2)]
     vectors |= {1000 + k: v for k, v in enumerate(chain)}
     vectors |= {2000: None, 2001: [], 2002: [0.0] * 16, 2003: [None] * 16, 2004: [float("nan")] * 16, 2005: [float("inf")] + [0.0] * 15}
-    vectors |= {3000 + k: vectors[0] for k in range(30)} | {3100: [2 * x for x in vectors[1]]}
+    vectors |= {3000 + k: vectors[0] for k in range(30)} | {3100: [2 * x for x in vectors[1]], 3101: [1.0] + [None] * 15}
     df = spark.createDataFrame([(i, v, "a") for i, v in vectors.items()], "vec_id long, embedding array<double>, unit string")
     for block, pivots in ((4096, 4096), (16, 8)):  # whole cells, and cells in many blocks
         rows = embeddings.near_duplicates(df, block=block, rows_per_pivot=pivots).collect()
@@ -112,6 +112,13 @@ def test_op1_against_all_pairs(spark, union, sf):
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_op1_null_and_repeated_ids(spark):
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (None, [1.0, 0.0]), (2, [0.99, 0.01]), (3, None), (None, None)]
+    got = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    want = [(1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 0, 3, True), (None, None, None, False), (None, None, None, False)]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
 def test_op1_query(spark, sf, union):
     rows = {r.vec_id: (r.n_links, r.component_id) for r in queries.op1_embedding_near_dedup(spark, sf).collect()}
     vectors = {r.vec_id: r.embedding for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()}
