@@ -29,7 +29,8 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a quality score of MIN_QUALITY or more; the labels of documents whose
-    crc32(doc_id as text) mod 5 is 0 are held out here too."""
+    crc32(doc_id as text) mod 5 is 0 are held out here too. Null and empty texts have the score
+    of a size difference of 0; repeated rows are scored one by one; an empty table stays empty."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     labels = labels.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
     score = "__quality_score"
@@ -38,14 +39,17 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without their source's boilerplate lines; n_chars follows the text where it changed."""
-    cleaned = lines.drop_boilerplate(docs.withColumn("__text", F.col("text")))
+    """Texts without their source's boilerplate lines; n_chars follows the text where it changed.
+    A page of boilerplate alone stays whole: it is a copy of other pages, which the next stage
+    decides on. Null texts stay null; repeated rows are pages; an empty table stays empty."""
+    cleaned = lines.drop_boilerplate(docs.withColumn("__text", F.col("text")), keep_pages=True)
     changed = ~F.col("text").eqNullSafe(F.col("__text"))
     return cleaned.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group at a similarity of 0.8 or more; one row of each id that repeats."""
+    """One document, that of the smallest id, of each group at a similarity of 0.8 or more; one row
+    of each id that repeats. Texts without words and rows with a null id all stay."""
     found = settle(minhash.near_duplicates(docs.select("doc_id", "text"), threshold_percent=80).where("doc_id is not null"))
     left = _without(docs, found.where(~F.col("kept")))
     repeated = settle(found.groupBy("doc_id").count().where("count > 1").select("doc_id"))
@@ -56,13 +60,16 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that don't hold half of a benchmark item or more."""
+    """Documents that don't hold half of a benchmark item or more. Null and empty texts and rows
+    with a null id stay; repeated rows stay or go together; an empty table stays empty."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return _without(docs, decontaminate.contaminated(docs, benchmark).where("doc_id is not null"))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the mix takes of each document, (doc_id, size, source_size, target, taken)."""
+    """What the mix takes of each document, (doc_id, size, source_size, target, taken). Null texts
+    have the size 0, null sources are one source, repeated rows are documents of their own; an
+    empty table gives no rows."""
     return mixing.mix_sources(docs)
 
 
@@ -74,7 +81,7 @@ STAGES = [
     ("mixing sources", source_mixing),
 ]
 
-#: Compression, min-max hashing, tiling and balanced sampling have no SQL form; tests hold the stages against brute force.
+#: Compression, tiling and balanced sampling have no SQL form; tests hold each stage against a plain one.
 ORACLE_SQL = None
 
 
