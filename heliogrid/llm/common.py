@@ -8,6 +8,7 @@ the same words as working on characters.
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -121,6 +122,18 @@ def grams(words: np.ndarray, k: int) -> np.ndarray:
         return mix(total)
 
 
+def stretches(words: np.ndarray, k: int) -> np.ndarray:
+    """Like grams for runs of any length k, at a cost that doesn't grow with k: a rolling hash."""
+    n = len(words) - k + 1
+    if n <= 0:
+        return np.zeros(0, U64)
+    with np.errstate(over="ignore"):
+        power, inverse = _powers(len(words))
+        total = np.zeros(len(words) + 1, U64)
+        np.cumsum(words * power, out=total[1:])
+        return mix((total[k:] - total[:n]) * inverse[:n] + U64(k))
+
+
 def shingles(words: np.ndarray, k: int = 5) -> np.ndarray:
     """The sorted set of k-word shingles; fewer words make one shingle."""
     if 0 < len(words) < k:
@@ -152,6 +165,13 @@ def ensure_checkpoint(spark: SparkSession) -> str:
     return where
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder, for large ones of few columns that are read more than once."""
+    path = f"{ensure_checkpoint(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Cuts the lineage by a reliable checkpoint in the shared folder."""
     ensure_checkpoint(df.sparkSession)

@@ -42,6 +42,18 @@ def test_shingles_of_short_texts():
     assert len(np.intersect1d(a, common.shingles(common.word_hashes(b"one two three")))) == 0
 
 
+def test_stretches_name_runs_of_words():
+    rng = np.random.default_rng(1)
+    w = rng.integers(0, 3, 400).astype(np.uint64) + np.uint64(1 << 40)
+    for k in (1, 4, 90):
+        h, names = common.stretches(w, k), {}
+        assert len(h) == 400 - k + 1
+        for i, x in enumerate(h.tolist()):
+            assert names.setdefault(x, tuple(w[i : i + k])) == tuple(w[i : i + k])
+        assert len(names) == len(set(names.values()))
+    assert len(common.stretches(w[:3], 4)) == 0
+
+
 @pytest.mark.parametrize("edges, expected", [([], {}), ([(1, 2), (2, 3), (9, 8), (8, 8)], {1: 1, 2: 1, 3: 1, 8: 8, 9: 8}), ([(k, k + 1) for k in range(30)], {k: 0 for k in range(31)})])
 def test_components(spark, edges, expected):
     df = spark.createDataFrame(edges, "a long, b long")
