@@ -79,7 +79,10 @@ def nearest_point(sites: DataFrame, points: DataFrame, cell: float = 5.0) -> Dat
 
 
 def assign_folds(rows: DataFrame, folds: DataFrame, ts: str) -> DataFrame:
-    """rows in each fold's part whose half-open window [start, end) holds ts; folds (fold, part, start, end) are few and broadcast."""
+    """rows in each fold's part whose half-open window [start, end) holds ts; folds (fold, part, start,
+    end) are broadcast, and more of them than could be are an error."""
+    if folds.count() > 100_000:
+        raise ValueError("too many folds to broadcast")
     return rows.join(F.broadcast(folds), (F.col(ts) >= F.col("start")) & (F.col(ts) < F.col("end"))).drop("start", "end")
 
 

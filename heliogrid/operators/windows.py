@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import settled
+
 BEFORE = Window.unboundedPreceding
 
 
@@ -95,40 +96,105 @@ def max_concurrency(intervals: DataFrame, by: list[str]) -> DataFrame:
     return steps.withColumn("open", F.sum("d").over(over(by, "t"))).groupBy(*by).agg(F.max("open").alias("most"))
 
 
-def issue_blocks(rows: DataFrame, by: list[str], fold: str, issue: str, sums: dict[str, Column], length: int) -> DataFrame:
-    """(by, block, n, sums): moving blocks of `length` consecutive issues in the order of (fold, issue).
-    Rows are reduced to sums for each issue before any window."""
-    each = rows.groupBy(*by, fold, issue).agg(F.count("*").alias("n"), *[F.sum(c).alias(n) for n, c in sums.items()])
-    each = each.withColumn("block", (F.row_number().over(over(by, [fold, issue])) - 1).cast("long"))
-    w = over(by, "block").rowsBetween(0, length - 1)
-    ahead = F.count("*").over(w)
-    return each.select(*by, "block", *[F.sum(c).over(w).alias(c) for c in ("n", *sums)], ahead.alias("__k")).where(F.col("__k") == length).drop("__k")
+def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """rows with their place in order, from 0, without a window over all of them: ranges of rows are
+    numbered each on their own and shifted by the sizes of those before. The order has to be unique."""
+    dealt = settled(rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    before, shifts = 0, [(-1, 0)]
+    for r in dealt.groupBy("__part").count().orderBy("__part").collect():  # a row for each partition
+        shifts.append((r["__part"], before))
+        before += r["count"]
+    shift = rows.sparkSession.createDataFrame(shifts, "__part int, __shift long")
+    own = F.row_number().over(over(["__part"], order)) - 1
+    return dealt.withColumn(name, own).join(F.broadcast(shift), "__part").withColumn(name, F.col(name) + F.col("__shift")).drop("__part", "__shift")
+
+
+def issue_sums(rows: DataFrame, by: list[str], order: list[str], sums: dict[str, Column]) -> DataFrame:
+    """(by, order, pos, n, sums): rows reduced to sums for each issue, which are numbered from 0."""
+    each = rows.groupBy(*by, *order).agg(F.count("*").alias("n"), *[F.sum(c).alias(n) for n, c in sums.items()])
+    if not by:
+        return numbered(each, order, "pos")
+    return each.withColumn("pos", (F.row_number().over(over(by, order)) - 1).cast("long"))
 
 
-def moving_block_bootstrap(rows: DataFrame, fold: str, issue: str, sums: dict[str, Column], length: int, replicates: int, seed: int) -> DataFrame:
-    """(replicate, n, sums): sums over blocks of issues drawn with replacement until they have at least as many rows as there are.
+def issue_blocks(rows: DataFrame, by: list[str], order: list[str], sums: dict[str, Column], length: int) -> DataFrame:
+    """(by, block, n, sums): moving blocks of `length` consecutive issues, or of all where there are fewer.
 
-    Rows become one row for each issue, blocks are their running sums; a draw is a
-    row of a table of (replicate, place, block) that is as long as replicates times
-    the blocks one needs. The last block of a replicate counts in proportion to the
-    rows that are still needed.
+    An issue is the rows that are equal in order, as (fold, issue); plain rows are
+    issues of their own, if order names them one by one. Rows are reduced to sums
+    for each issue before anything else; each issue is then added to the up to
+    `length` blocks that it is in, so no task gets all issues.
+    """
+    each = issue_sums(rows, by, order, sums)
+    return _blocks(each, by, list(sums), length)
+
+
+def _blocks(each: DataFrame, by: list[str], names: list[str], length: int) -> DataFrame:
+    number = each.groupBy(*by).agg(F.count("*").alias("__k"))
+    each = each.join(number, by) if by else each.crossJoin(F.broadcast(number))
+    size = F.least(F.lit(length), F.col("__k"))
+    first, last = F.greatest(F.col("pos") - size + 1, F.lit(0)), F.least(F.col("pos"), F.col("__k") - size)
+    inside = each.withColumn("block", F.explode(F.sequence(first, last)))
+    return inside.groupBy(*by, "block").agg(*[F.sum(c).alias(c) for c in ("n", *names)])
+
+
+def draws(blocks: DataFrame, total: int, replicates: int, choose: Column) -> DataFrame:
+    """(replicate, place, block): as many draws for each replicate as give `total` rows. choose is the
+    block as a function of replicate, place and k, the number of blocks."""
+    k, least = blocks.agg(F.count("*"), F.min("n")).first()
+    if not k:
+        return blocks.sparkSession.createDataFrame([], "replicate long, place long, block long")
+    most = -(-total // max(1, least))
+    table = blocks.sparkSession.range(replicates).select(F.col("id").alias("replicate"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(most - 1).cast("long"))).alias("place"))
+    return table.withColumn("k", F.lit(k)).select("replicate", "place", choose.cast("long").alias("block"))
+
+
+def moving_block_bootstrap(rows: DataFrame, order: list[str], within: list[str], sums: dict[str, Column], length: int, replicates: int, seed: int = 42, choose: Column | None = None) -> DataFrame:
+    """(replicate, n, sums): sums over blocks of issues drawn with replacement until they have at least
+    as many rows as there are, cut to that number.
+
+    Rows become one row for each issue, blocks are their sums; draws are made in
+    tasks, by a hash of seed, replicate and place unless choose says otherwise. Only
+    the last block of a replicate is opened: whole issues of it are added, and of
+    the issue in which the cut falls the first rows by `within`, which has to be
+    unique in an issue. Without rows there are no replicates.
+    """
+    names = ["n", *sums]
+    each = settled(issue_sums(rows, [], order, sums))
+    blocks = settled(_blocks(each, [], list(sums), length))
+    total, k = each.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    size = min(length, k)
+    pick = choose if choose is not None else F.pmod(F.xxhash64(F.lit(seed), "replicate", "place"), F.col("k"))
+    drawn = draws(blocks, total, replicates, pick).join(blocks, "block")
+    before = F.coalesce(F.sum("n").over(over(["replicate"], "place").rowsBetween(BEFORE, -1)), F.lit(0))
+    drawn = settled(drawn.withColumn("need", F.lit(total) - before).where("need > 0"))
+    whole = drawn.where("n <= need").select("replicate", *names)
+
+    cut = drawn.where("n > need").select("replicate", "block", "need")  # at most one a replicate
+    opened = cut.withColumn("pos", F.explode(F.sequence(F.col("block"), F.col("block") + size - 1))).join(each, "pos")
+    before = F.coalesce(F.sum("n").over(over(["replicate"], "pos").rowsBetween(BEFORE, -1)), F.lit(0))
+    opened = opened.withColumn("rest", F.col("need") - before).where("rest > 0")
+    issues = opened.where("n <= rest").select("replicate", *names)
+    last = opened.where("n > rest").select("replicate", "rest", *order)
+    each_row = rows.select(*order, *within, F.lit(1).alias("n"), *[c.alias(n) for n, c in sums.items()])
+    some = last.join(each_row, order).withColumn("__place", F.row_number().over(over(["replicate"], within))).where(F.col("__place") <= F.col("rest"))
+    parts = whole.unionByName(issues).unionByName(some.select("replicate", *names))
+    return parts.groupBy("replicate").agg(*[F.sum(c).alias(c) for c in names])
+
+
+def sample_with_replacement(rows: DataFrame, order: list[str], n: int, seed: int = 42, choose: Column | None = None) -> DataFrame:
+    """n rows drawn with replacement, each row as likely in every draw, with `draw` from 0 to n - 1.
+
+    Rows are numbered in order (unique) and met by the draws' numbers; choose is the
+    number as a function of draw and k, the number of rows, by default a hash.
     """
-    blocks = issue_blocks(rows, [], fold, issue, sums, length)
-    size = blocks.agg(F.count("*").alias("k"), F.min("n").alias("least")).first()
-    total = rows.count()
-    if not size.k:
-        return blocks.select(F.lit(0).alias("replicate"), "n", *sums).limit(0)
-    draws = -(-total // max(1, size.least)) + 1
-    spark = rows.sparkSession
-    rng = np.random.default_rng(seed)
-    table = rng.integers(0, size.k, (replicates, draws))
-    flat = spark.createDataFrame([(r, p, int(b)) for r in range(replicates) for p, b in enumerate(table[r])], "replicate int, place int, block long")
-    drawn = flat.join(blocks, "block")
-    w = Window.partitionBy("replicate").orderBy("place")
-    before = F.coalesce(F.sum("n").over(w.rowsBetween(BEFORE, -1)), F.lit(0))
-    share = F.greatest(F.least((F.lit(total) - F.col("__before")) / F.col("n"), F.lit(1.0)), F.lit(0.0))
-    drawn = drawn.withColumn("__before", before).withColumn("__share", share)
-    return drawn.groupBy("replicate").agg(*[F.sum(F.col(c) * F.col("__share")).alias(c) for c in ("n", *sums)])
+    places = settled(numbered(rows, order, "__place"))
+    k = places.count()
+    if not k:
+        return places.drop("__place").withColumn("draw", F.lit(0).cast("long"))
+    pick = choose if choose is not None else F.pmod(F.xxhash64(F.lit(seed), "draw"), F.col("k"))
+    drawn = rows.sparkSession.range(n).select(F.col("id").alias("draw"), F.lit(k).alias("k")).select("draw", pick.cast("long").alias("__place"))
+    return places.join(drawn, "__place").drop("__place")
 
 
 def sequences(dense: DataFrame, by: list[str], order: str, columns: list[str], back: int, ahead: int) -> DataFrame:

@@ -126,11 +126,14 @@ def S15_purge(spark, d):
     return catalog.purge(A.table(spark, d, "orders"), gone, "o_custkey").select("o_orderkey")
 
 
-@query("SELECT c_custkey AS product_id, c_mktsegment AS kind FROM customer")
+@query("SELECT c_custkey AS product_id, c_mktsegment AS kind, true AS same FROM customer")
 def S16_manifest_json(spark, d):
+    """The manifest as JSON, and the Parquet view made of it; `same` says that both have the row alike."""
     folder = shared_folder(spark, "manifest")
-    _manifest(spark, d).write.json(folder)
-    return spark.read.schema("product_id long, kind string").json(folder)
+    io.write_manifest(_manifest(spark, d), folder)
+    json, view = io.read_manifest(spark, folder, "product_id long, kind string")
+    both = json.join(view.withColumnRenamed("kind", "viewed"), "product_id", "full_outer")
+    return both.select("product_id", "kind", F.col("kind").eqNullSafe(F.col("viewed")).alias("same"))
 
 
 @query(CANONICAL + "SELECT site_id, count(*) AS rows, count(capacity_factor) AS observed FROM c GROUP BY site_id", ("pv_user",))
@@ -143,11 +146,11 @@ def S06_M15_canonical_roundtrip(spark, d):
     return data.groupBy(F.col("site_id").cast("long").alias("site_id")).agg(F.count("*").alias("rows"), F.count("capacity_factor").alias("observed"))
 
 
-@query("SELECT site_id, count(*) AS rows FROM pv WHERE site_id = 'click' GROUP BY site_id", ("pv",))
+@query("SELECT site_id, count(*) AS rows, round(sum(energy), 4) AS energy FROM pv GROUP BY site_id", ("pv",))
 def S13_site_shards(spark, d):
     folder = shared_folder(spark, "shards")
     io.write_shards(A.pv(spark, d), folder)
-    return spark.read.parquet(folder).where("site_id = 'click'").groupBy("site_id").agg(F.count("*").alias("rows"))
+    return spark.read.parquet(folder).groupBy("site_id").agg(F.count("*").alias("rows"), F.round(F.sum("energy"), 4).alias("energy"))
 
 
 @query("SELECT product_id % 7 AS day, count(*) AS patches, sum(len(pixels))::BIGINT AS pixels FROM patch GROUP BY 1", ("patch",))
@@ -165,6 +168,21 @@ def S18_predictions_csv(spark, d):
     return io.read_predictions(spark, folder, "site_id string, issue_idx long, horizon long, point double, fold long")
 
 
+METRIC_FILES = "SELECT fold, count(*) AS count, round(avg((point - actual) * (point - actual)), 9) AS mse, round(avg(abs(point - actual)), 9) AS mae FROM forecasts WHERE elev > 0 AND actual IS NOT NULL"
+
+
+@query(f"{METRIC_FILES} GROUP BY ROLLUP (fold)", ("forecasts",))
+def S18_metric_files(spark, d):
+    """Metrics of each fold through CSV, and pooled ones (fold NULL) through JSON."""
+    from ..operators import metrics
+
+    folder = shared_folder(spark, "metrics")
+    day = metrics.daylight(A.forecasts(spark, d), "elev", "actual", ["point"])
+    table = day.rollup("fold").agg(F.count("*").alias("count"), F.round(metrics.mse("actual", "point"), 9).alias("mse"), F.round(metrics.mae("actual", "point"), 9).alias("mae"))
+    io.write_metrics(table, folder, "fold")
+    return io.read_metrics(spark, folder, "fold long, count long, mse double, mae double")
+
+
 @query("SELECT doc_id::VARCHAR AS path, sha256(text) AS sha256, octet_length(encode(text)) AS length FROM documents")
 def S19_content_hash(spark, d):
     content = F.encode("text", "UTF-8")
@@ -225,10 +243,13 @@ def V02_operational_rules(spark, d):
     return checks.violation_counts(n, checks.operational_rules("issue", "target", "target"))
 
 
-@query("SELECT avg((event_type = 'click')::INT) AS a, avg((event_type = 'none')::INT) AS b, false AS usable FROM events")
+@query("SELECT 'both' AS flags, avg((event_type = 'click')::INT) AS a, avg((event_type = 'view')::INT) AS b, avg((event_type = 'click')::INT) > 0 AND avg((event_type = 'view')::INT) > 0 AS usable FROM events UNION ALL SELECT 'one', avg((event_type = 'click')::INT), avg((event_type = 'none')::INT), avg((event_type = 'click')::INT) > 0 AND avg((event_type = 'none')::INT) > 0 FROM events")
 def V03_usable_weather(spark, d):
-    e = A.table(spark, d, "events").select((F.col("event_type") == "click").cast("double").alias("a"), (F.col("event_type") == "none").cast("double").alias("b"))
-    return checks.usable_weather(e, ["a", "b"])
+    """With two flags that are up at times, and with one that never is."""
+    flag = lambda kind, name: (F.col("event_type") == kind).cast("double").alias(name)
+    e = A.table(spark, d, "events")
+    pairs = [checks.usable_weather(e.select(flag("click", "a"), flag(k, "b")), ["a", "b"]).withColumn("flags", F.lit(n)) for n, k in (("both", "view"), ("one", "none"))]
+    return pairs[0].unionByName(pairs[1])
 
 
 @query("SELECT 'duplicate_id' AS problem, l_orderkey::VARCHAR AS value, count(*) AS n FROM lineitem GROUP BY l_orderkey HAVING count(*) > 1 UNION ALL SELECT 'shared_time', epoch_us(l_shipdate)::VARCHAR, count(DISTINCT l_orderkey) FROM lineitem GROUP BY l_shipdate HAVING count(DISTINCT l_orderkey) > 1")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as fx
 from ..functions.columns import QUANTILES, quantile_name
-from ..operators import baselines, forecast, metrics, windows
+from ..operators import baselines, forecast, joins, metrics, windows
 from . import adapters as A
 from .production import r6, rounded
 from .registry import query
@@ -166,13 +166,12 @@ def P14_plan_comparison_rows(spark, d):
     return s.select("site_id", "time_idx", F.greatest(F.col("energy") - 20, F.lit(0.0)).alias("actual"), r6(F.col("cs") * fx.SOLAR_CONSTANT).alias("clear_sky"))
 
 
-@query("SELECT s.s_suppkey AS site_id, p.p_partkey AS step, 0e0 AS charge, 0e0 AS discharge, round(p.p_size * 0.15e0, 6) AS soc FROM supplier s JOIN part p ON p.p_partkey % 100 = s.s_suppkey % 100 WHERE s.s_suppkey <= 100")
+@query("SELECT s.s_suppkey AS site_id, p.p_brand AS battery, 0e0 AS charge, 0e0 AS discharge, round(p.p_size * 0.15e0, 6) AS soc FROM supplier s JOIN part p ON p.p_partkey = s.s_suppkey")
 def P18_battery_schedule(spark, d):
-    p = A.table(spark, d, "part")
-    f = p.select((F.col("p_partkey") % 100).alias("k"), F.col("p_partkey").alias("step"), F.col("p_size").cast("double").alias("capacity_mwh"), F.lit(0.15).alias("min_soc"))
-    s = A.table(spark, d, "supplier").where("s_suppkey <= 100").select(F.col("s_suppkey").alias("site_id"), (F.col("s_suppkey") % 100).alias("k"), F.lit(0.0).alias("forecast"))
-    b = forecast.battery_schedule(s, f, "k", "forecast")
-    return b.select("site_id", "step", "charge", "discharge", r6(F.col("soc")).alias("soc"))
+    """Each supplier with the part of its number as its battery."""
+    b = A.table(spark, d, "part").select(F.col("p_partkey").alias("site_id"), F.col("p_brand").alias("battery"), F.col("p_size").cast("double").alias("capacity_mwh"), F.lit(0.15).alias("min_soc"))
+    s = A.table(spark, d, "supplier").select(F.col("s_suppkey").alias("site_id"), F.lit(0.0).alias("forecast"))
+    return forecast.battery_schedule(s, b, "site_id", "forecast").select("site_id", "battery", "charge", "discharge", r6(F.col("soc")).alias("soc"))
 
 
 @query("""
@@ -190,20 +189,51 @@ def P20_legacy_scaling(spark, d):
 
 @query("""
 WITH i AS (SELECT site_id, fold, issue_idx, count(*) AS n, sum(round((point - actual) * (point - actual) * 1e9)::BIGINT) AS sse FROM (""" + DAY + """) GROUP BY ALL),
-b AS (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY fold, issue_idx) - 1 AS block FROM i)
-SELECT site_id, block, sum(n) OVER w::BIGINT AS n, sum(sse) OVER w::BIGINT AS sse FROM b WINDOW w AS (PARTITION BY site_id ORDER BY block ROWS BETWEEN CURRENT ROW AND 14 FOLLOWING) QUALIFY count(*) OVER w = 15
+b AS (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY fold, issue_idx) - 1 AS block, least(15, count(*) OVER (PARTITION BY site_id)) AS size FROM i)
+SELECT site_id, block, sum(n) OVER w::BIGINT AS n, sum(sse) OVER w::BIGINT AS sse FROM b WINDOW w AS (PARTITION BY site_id ORDER BY block ROWS BETWEEN CURRENT ROW AND 14 FOLLOWING) QUALIFY count(*) OVER w = size
 """, ("forecasts",))
 def W17_issue_blocks(spark, d):
     e = F.col("point") - F.col("actual")
-    return windows.issue_blocks(_day(spark, d), ["site_id"], "fold", "issue_idx", {"sse": F.round(e * e * 1e9).cast("long")}, 15)
+    return windows.issue_blocks(_day(spark, d), ["site_id"], ["fold", "issue_idx"], {"sse": F.round(e * e * 1e9).cast("long")}, 15)
 
 
-@query()
-def W18_block_bootstrap(spark, d):
+@query("""
+WITH r AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS block, least(10, count(*) OVER (PARTITION BY user_id)) AS size, event_id FROM events)
+SELECT user_id, block, count(*) OVER w AS n, (sum(event_id) OVER w)::BIGINT AS total FROM r WINDOW w AS (PARTITION BY user_id ORDER BY block ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) QUALIFY count(*) OVER w = size
+""")
+def W17_row_blocks(spark, d):
+    """Plain rows, where nothing says which belong together; a user with fewer than 10 has one block."""
+    return windows.issue_blocks(A.table(spark, d, "events"), ["user_id"], ["event_id"], {"total": F.col("event_id")}, 10)
+
+
+def _intervals(replicates):
+    """The five metrics of each replicate, and their 2.5 and 97.5 percentiles."""
+    n = F.col("n")
+    m = replicates.select((F.col("sse") / n).alias("mse"), F.sqrt(F.col("sse") / n).alias("rmse"), (F.col("sae") / n).alias("mae"), (F.col("se") / n).alias("mbe"), (1 - F.try_divide(F.col("sse"), F.col("ref"))).alias("skill"))
+    return m.unpivot([], ["mse", "rmse", "mae", "mbe", "skill"], "metric", "v").groupBy("metric").agg(F.percentile("v", F.lit(0.025)).alias("ci_low"), F.percentile("v", F.lit(0.975)).alias("ci_high"))
+
+
+def _loss_sums():
     e, r = F.col("point") - F.col("actual"), F.col("smart") - F.col("actual")
-    b = windows.moving_block_bootstrap(_day(spark, d), "fold", "issue_idx", {"sse": e * e, "sae": F.abs(e), "ref": r * r}, 15, 100, 42)
-    m = b.select((F.col("sse") / F.col("n")).alias("mse"), (F.col("sae") / F.col("n")).alias("mae"), (1 - F.col("sse") / F.col("ref")).alias("skill"))
-    return m.unpivot([], ["mse", "mae", "skill"], "metric", "v").groupBy("metric").agg(F.percentile("v", F.lit(0.025)).alias("ci_low"), F.percentile("v", F.lit(0.975)).alias("ci_high"))
+    return {"sse": e * e, "sae": F.abs(e), "se": e, "ref": r * r}
+
+
+@query("""
+WITH d AS (""" + DAY + """), i AS (SELECT fold, issue_idx, count(*) AS n, row_number() OVER (ORDER BY fold, issue_idx) - 1 AS pos FROM d GROUP BY fold, issue_idx),
+s AS (SELECT count(*) AS issues, sum(n) AS total, least(15, count(*)) AS size FROM i),
+b AS (SELECT pos AS block, sum(n) OVER (ORDER BY pos ROWS BETWEEN CURRENT ROW AND 14 FOLLOWING) AS n FROM i QUALIFY pos <= (SELECT issues - size FROM s)),
+w AS (SELECT r AS replicate, p AS place, (r * 31 + p * 17 + r * p * 7) % (SELECT count(*) FROM b) AS block FROM range(0, 20) t(r), range(0, (SELECT ceil(total / (SELECT min(n) FROM b))::BIGINT FROM s)) u(p)),
+c AS (SELECT w.*, coalesce(sum(b.n) OVER (PARTITION BY replicate ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM w JOIN b USING (block)),
+x AS (SELECT c.replicate, c.place, i.pos, d.* FROM c JOIN i ON i.pos BETWEEN c.block AND c.block + (SELECT size FROM s) - 1 JOIN d ON d.fold = i.fold AND d.issue_idx = i.issue_idx WHERE c.before < (SELECT total FROM s)),
+y AS (SELECT *, row_number() OVER (PARTITION BY replicate ORDER BY place, pos, site_id, horizon) AS k FROM x),
+m AS (SELECT replicate, """ + _summary("point").replace("count(*) AS count, ", "") + """ FROM y WHERE k <= (SELECT total FROM s) GROUP BY replicate)
+SELECT metric, round(quantile_cont(v, 0.025), 7) AS ci_low, round(quantile_cont(v, 0.975), 7) AS ci_high FROM (UNPIVOT (SELECT mse, rmse, mae, mbe, skill FROM m) ON mse, rmse, mae, mbe, skill INTO NAME metric VALUE v) GROUP BY metric
+""", ("forecasts",))
+def W18_block_bootstrap(spark, d):
+    """Draws by a formula that SQL has as well; `choose` is left out for draws by a hash."""
+    choose = F.expr("(replicate * 31 + place * 17 + replicate * place * 7) % k")
+    b = windows.moving_block_bootstrap(_day(spark, d), ["fold", "issue_idx"], ["site_id", "horizon"], _loss_sums(), 15, 20, choose=choose)
+    return rounded(_intervals(b), places=7)
 
 
 @query("""
@@ -216,6 +246,12 @@ def W19_sequences(spark, d):
     return s.select("site_id", "time_idx", text("encoder", "x").alias("encoder"), text("decoder", "cs").alias("decoder"))
 
 
+def _rows_of_parts(folds, events):
+    """folds with the number of events in each part: the few folds go to the events, not the other way round."""
+    n = joins.assign_folds(events, folds, "ts").groupBy("fold", "part").agg(F.count("*").alias("rows"))
+    return folds.join(n, ["fold", "part"], "left").withColumn("rows", F.coalesce("rows", F.lit(0).cast("long")))
+
+
 @query("""
 WITH m AS (SELECT i AS fold, (DATE '2023-11-01' + i * INTERVAL 1 MONTH)::DATE AS m FROM range(0, 12) t(i)), f AS (SELECT * FROM m WHERE (m + INTERVAL 5 MONTH)::DATE <= DATE '2024-06-30' + 1)
 SELECT f.fold, p.part, count(e.event_id) AS rows FROM f, (VALUES ('train', 0, 3), ('validation', 3, 4), ('test', 4, 5)) p (part, a, b)
@@ -224,7 +260,7 @@ LEFT JOIN events e ON e.ts >= f.m + p.a * INTERVAL 1 MONTH AND e.ts < f.m + p.b
 def F17_rolling_folds(spark, d):
     folds = forecast.rolling_folds(spark, "2023-11-01", "2024-06-30", 3)
     e = A.table(spark, d, "events").select("event_id", "ts")
-    return folds.join(e, (F.col("ts") >= F.col("start")) & (F.col("ts") < F.col("end")), "left").groupBy("fold", "part").agg(F.count("event_id").alias("rows"))
+    return _rows_of_parts(folds, e).select("fold", "part", "rows")
 
 
 @query("""
@@ -235,8 +271,7 @@ SELECT fold, part, epoch_us(lo) // 1000000 AS lo, epoch_us(hi) // 1000000 AS hi,
 def F18_expanding_folds(spark, d):
     folds = forecast.expanding_folds(spark, 2024, "Europe/Helsinki")
     e = A.table(spark, d, "events").select("event_id", "ts")
-    j = folds.join(e, (F.col("ts") >= F.col("start")) & (F.col("ts") < F.col("end")), "left")
-    return j.groupBy("fold", "part", F.unix_seconds("start").alias("lo"), F.unix_seconds("end").alias("hi")).agg(F.count("event_id").alias("rows"))
+    return _rows_of_parts(folds, e).select("fold", "part", F.unix_seconds("start").alias("lo"), F.unix_seconds("end").alias("hi"), "rows")
 
 
 @query("SELECT o_custkey, greatest(1, floor(quantile_cont(o_orderkey % 37, 0.5) + 0.5e0))::BIGINT AS epochs FROM orders GROUP BY o_custkey")
@@ -314,11 +349,11 @@ def M08_reevaluation(spark, d):
     return rounded(j.groupBy("horizon").agg(*metrics.summary("actual", "point", "smart"), F.avg("legacy_persistence").alias("legacy_mean")), places=9)
 
 
-@query("WITH j AS (SELECT a.horizon, a.actual, a.point, b.scratch, a.smart FROM (" + DAY + ") a JOIN forecasts b USING (site_id, issue_idx, time_idx, horizon, fold) WHERE a.horizon % 2 > 0) SELECT 'weather' AS model, horizon, " + _summary("point") + " FROM j GROUP BY horizon UNION ALL SELECT 'baseline', horizon, " + _summary("scratch") + " FROM j GROUP BY horizon", ("forecasts",))
+@query("WITH j AS (SELECT a.horizon, a.actual, a.point, b.scratch, a.smart FROM (" + DAY + ") a JOIN forecasts b USING (site_id, issue_idx, time_idx, horizon, fold)) SELECT 'weather' AS model, horizon, " + _summary("point") + " FROM j GROUP BY horizon UNION ALL SELECT 'baseline', horizon, " + _summary("scratch") + " FROM j GROUP BY horizon", ("forecasts",))
 def M09_weather_ablation(spark, d):
     keys = ["site_id", "issue_idx", "time_idx", "horizon", "fold"]
     f = A.forecasts(spark, d)
-    day = _day(spark, d).where("horizon % 2 > 0").select(*keys, "actual", "smart", F.col("point").alias("weather"))
+    day = _day(spark, d).select(*keys, "actual", "smart", F.col("point").alias("weather"))
     j = day.join(f.select(*keys, F.col("scratch").alias("baseline")), keys)
     return rounded(metrics.point_metrics(j, ["horizon"], "actual", ["weather", "baseline"], "smart"), places=9)
 
@@ -344,7 +379,10 @@ def L05_hashed_sample(spark, d):
     return A.pv(spark, d).where(h < 100).select("time_idx", "site_id")
 
 
-@query()
+@query("""
+WITH p AS (SELECT *, row_number() OVER (ORDER BY site_id, time_idx) - 1 AS place FROM pv)
+SELECT r.draw, p.site_id, p.time_idx, p.energy FROM (SELECT d AS draw, (d * 7919 + d * d % 104729) % (SELECT count(*) FROM pv) AS place FROM range(0, 10000) t(d)) r JOIN p USING (place)
+""", ("pv",))
 def L05_sample_with_replacement(spark, d):
-    p = A.pv(spark, d)
-    return p.sample(withReplacement=True, fraction=0.5, seed=42).orderBy(F.xxhash64("site_id", "time_idx")).limit(10_000)
+    """10,000 draws by a formula that SQL has as well; `choose` is left out for draws by a hash."""
+    return windows.sample_with_replacement(A.pv(spark, d), ["site_id", "time_idx"], 10_000, choose=F.expr("(draw * 7919 + draw * draw % 104729) % k"))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as fx
 from ..operators import checks, forecast, grid, windows
+from ..session import shared_folder
+from ..sources import io
 from . import adapters as A
 from .registry import query
 
@@ -22,8 +24,12 @@ def rounded(df, *keep, places=6):
 
 @query("SELECT p.*, s.capacity_mw, s.lat FROM pv p JOIN site s USING (site_id)", ("pv", "site"))
 def S01_read_join_sites(spark, d):
-    s = A.site(spark, d).select("site_id", "capacity_mw", "lat")
-    return A.pv(spark, d).join(s, "site_id")
+    """Readings from CSV, site metadata from Parquet, each by its suffix."""
+    folder = shared_folder(spark, "tabular")
+    A.pv(spark, d).write.option("header", True).csv(f"{folder}/pv.csv")
+    A.site(spark, d).select("site_id", "capacity_mw", "lat").write.parquet(f"{folder}/site.parquet")
+    readings = io.read_tabular(spark, f"{folder}/pv.csv", "site_id string, time_idx long, energy double")
+    return readings.join(io.read_tabular(spark, f"{folder}/site.parquet"), "site_id")
 
 
 WIDE = "SELECT time_idx, " + ", ".join(f"max(CASE WHEN site_id = '{s}' THEN energy END) AS {s}" for s in ("click", "view", "purchase")) + " FROM pv GROUP BY time_idx"
@@ -373,10 +379,11 @@ def V07_battery_rules(spark, d):
     return checks.violation_counts(p, checks.battery_rules())
 
 
-@query("SELECT count(*) AS rows, count(*) FILTER (user_id % 11 = 0) AS malformed, (SELECT count(*) FROM (SELECT user_id, epoch_us(ts) // 900000000 FROM events WHERE user_id % 11 <> 0 GROUP BY ALL HAVING count(*) > 1)) AS repeated, false AS empty FROM events")
+@query("SELECT count(*) AS rows, count(*) FILTER (user_id % 11 = 0) AS malformed, (SELECT count(*) FROM (SELECT user_id, epoch_us(ts) // 900000000 FROM events WHERE user_id % 11 <> 0 GROUP BY ALL HAVING count(*) > 1)) AS repeated, false AS empty, 'some' AS input FROM events UNION ALL SELECT 0, 0, 0, true, 'none'")
 def V08_canonical_input(spark, d):
     e = A.table(spark, d, "events").select("user_id", F.when(F.col("user_id") % 11 != 0, fx.slot_index("ts")).alias("slot"))
-    return checks.canonical_problems(e, "user_id", "slot")
+    some, none = (checks.canonical_problems(rows, "user_id", "slot").withColumn("input", F.lit(n)) for n, rows in (("some", e), ("none", e.where("slot < 0"))))
+    return some.unionByName(none)
 
 
 @query("SELECT c_custkey, array_to_string(list_filter([CASE WHEN NOT (c_custkey % 7 > 0 AND c_custkey % 7 % 2 = 0) THEN 'even_size' END, CASE WHEN NOT c_acctbal / 100 BETWEEN -90 AND 90 THEN 'latitude' END, CASE WHEN NOT c_nationkey * 9e0 BETWEEN -180 AND 180 THEN 'longitude' END, CASE WHEN c_mktsegment <> 'BUILDING' THEN 'channels' END], lambda x: x IS NOT NULL), ',') AS violations FROM customer")

@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: About 28 years of quarter hours.
+SLOTS_PER_FILE = 1_000_000
+
+
 def read_tabular(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """Parquet by its suffix, else CSV with a header; a CSV's schema is given rather than inferred where it is known."""
     if path.rstrip("/").endswith((".parquet", ".pq")):
@@ -18,17 +22,39 @@ def read_tabular(spark: SparkSession, path: str, schema: str | None = None) -> D
 
 
 def write_canonical(canonical: DataFrame, manifest: DataFrame, path: str) -> None:
-    """data/ by site, and the manifest as JSON beside it."""
-    canonical.repartition("site_id").write.mode("overwrite").partitionBy("site_id").parquet(f"{path}/data")
+    """data/ by site, and the manifest as JSON beside it. A long series is cut by time, so that a hot site is several tasks and files."""
+    canonical.repartition("site_id", F.floor(F.col("time_idx") / SLOTS_PER_FILE)).write.mode("overwrite").partitionBy("site_id").parquet(f"{path}/data")
     manifest.write.mode("overwrite").json(f"{path}/manifest")
 
 
+def write_manifest(manifest: DataFrame, path: str) -> None:
+    """A product manifest as JSON, and a Parquet view made of what was written."""
+    manifest.write.mode("overwrite").json(f"{path}/json")
+    manifest.sparkSession.read.schema(manifest.schema).json(f"{path}/json").write.mode("overwrite").parquet(f"{path}/view")
+
+
+def read_manifest(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    return spark.read.schema(schema).json(f"{path}/json"), spark.read.schema(schema).parquet(f"{path}/view")
+
+
+def write_metrics(table: DataFrame, path: str, by: str) -> None:
+    """Metrics of each `by` as CSV, the pooled ones (`by` NULL) as JSON beside them."""
+    table.where(F.col(by).isNotNull()).write.mode("overwrite").option("header", True).csv(f"{path}/by_{by}")
+    table.where(F.col(by).isNull()).write.mode("overwrite").json(f"{path}/pooled")
+
+
+def read_metrics(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    by = schema.split()[0]
+    return read_tabular(spark, f"{path}/by_{by}", schema).unionByName(spark.read.schema(schema).json(f"{path}/pooled"))
+
+
 def read_canonical(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return spark.read.parquet(f"{path}/data"), spark.read.json(f"{path}/manifest")
 
 
-def write_shards(features: DataFrame, path: str, by: str = "site_id") -> None:
-    features.repartition(by).write.mode("append").partitionBy(by).parquet(path)
+def write_shards(features: DataFrame, path: str, by: str = "site_id", order: str = "time_idx") -> None:
+    """A shard for each of by, in files of a stretch of order each."""
+    features.repartition(by, F.floor(F.col(order) / SLOTS_PER_FILE)).write.mode("append").partitionBy(by).parquet(path)
 
 
 def append_part(rows: DataFrame, path: str, chunk_id: str, key: str, order: str) -> None:
