@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as fx
+from ..session import settled
+from .checks import unique
 
 #: Names under which site metadata come, by what they mean; the first that is present counts.
 ALIASES = {
@@ -65,6 +67,28 @@ def canonical_grid(observations: DataFrame, sites: DataFrame, extra: list[str] =
     )
 
 
+def canonical_series(observations: DataFrame, sites: DataFrame, ts: str = "ts", step: int = 900, source: str = "unknown") -> tuple[DataFrame, DataFrame]:
+    """(grid, exclusions) of observations (site_id, ts, energy_mwh) at instants.
+
+    Each site's grid goes from its first observation, which is not rounded, by
+    `step` seconds to its last; times that can't be read and those off the grid are
+    exclusions with a reason. Two observations of a site at one time, and an input
+    without any time that can be read, are errors.
+    """
+    us = F.unix_micros(ts)
+    o = observations.withColumn("__us", us)
+    first = settled(o.where("__us IS NOT NULL").groupBy("site_id").agg(F.min("__us").alias("__first")))
+    if first.isEmpty():
+        raise ValueError("no observation")
+    o = o.join(first, "site_id", "left").withColumn("time_idx", F.expr(f"(__us - __first) div {step * 1_000_000}"))
+    reason = F.when(F.col("__us").isNull(), "malformed_timestamp").when((F.col("__us") - F.col("__first")) % (step * 1_000_000) != 0, "off_grid")
+    o = o.withColumn("reason", reason)
+    good = unique(o.where("reason IS NULL"), ["site_id", "time_idx"]).select("site_id", "time_idx", "energy_mwh")
+    at = F.timestamp_micros(F.col("__first") + F.col("time_idx") * (step * 1_000_000))
+    grid = canonical_grid(good, sites, source=source).join(first, "site_id").withColumn(ts, at).drop("__first")
+    return grid, o.where("reason IS NOT NULL").select("site_id", ts, "reason")
+
+
 def regular_series(df: DataFrame, order: str, step: int) -> DataFrame:
     """One series at every `step` from its first to its last value of order."""
     ends = df.agg(F.min(order).alias("lo"), F.max(order).alias("hi"))
@@ -88,14 +112,6 @@ def manifest(canonical: DataFrame) -> DataFrame:
     )
 
 
-def deterministic_features(df: DataFrame, ts: str) -> DataFrame:
-    """df (with lat, lon, timezone) and its local harmonics, sun position and clear sky."""
-    azimuth, elevation = fx.solar_position(ts, "lat", "lon")
-    df = df.withColumn("__local", fx.local_time(ts, "timezone")).withColumns(fx.harmonics("__local")).drop("__local")
-    df = df.withColumns({"solar_azimuth": azimuth, "solar_elevation": elevation})
-    return df.withColumn("clear_sky_norm", fx.clear_sky_ghi("solar_elevation") / fx.SOLAR_CONSTANT)
-
-
 def _number(c: str) -> Column:
     return F.expr(f"try_cast({c} AS double)")
 

@@ -425,17 +425,30 @@ def L04_even_sample(spark, d):
     return windows.even_sample(A.patch(spark, d).select("product_id", "site_id"), ["site_id"], "product_id", 5)
 
 
-@query("""
-WITH r AS (SELECT site_id, time_idx AS matched_ts FROM patch), l AS (SELECT label AS site_id, unnest(range(0, 520, 4)) AS time_idx FROM (SELECT DISTINCT label::BIGINT AS label FROM embeddings)),
-j AS (SELECT l.site_id, l.time_idx, CASE WHEN l.time_idx - matched_ts <= 6 THEN matched_ts END AS hit FROM l ASOF LEFT JOIN r ON l.site_id = r.site_id AND l.time_idx >= r.matched_ts)
-SELECT site_id, count(*) AS rows, count(hit) AS matched, count(hit) / count(*) AS rate FROM j GROUP BY ROLLUP (site_id)
+@query(CHANNELS + """, k AS (SELECT product_id, site_id, row_number() OVER (PARTITION BY site_id ORDER BY product_id) - 1 AS k, count(*) OVER (PARTITION BY site_id) AS n FROM patch),
+i AS (SELECT site_id, n, unnest(range(least(n, 5))) AS i FROM (SELECT DISTINCT site_id, n FROM k)),
+sample AS (SELECT product_id FROM k JOIN (SELECT DISTINCT site_id, i * (n - 1) // greatest(least(n, 5) - 1, 1) AS k FROM i) USING (site_id, k)),
+s AS (SELECT c, avg(v) AS m, greatest(stddev_pop(v), 1e-6) AS s FROM x WHERE product_id IN (SELECT product_id FROM sample) GROUP BY c),
+z AS (SELECT product_id, x.c, avg((v - m) / s) AS z FROM x JOIN s ON s.c = x.c GROUP BY ALL),
+e AS (SELECT product_id, sum(z * CASE c """ + " ".join(f"WHEN {i} THEN {MATRIX[i][0]}e0" for i in range(4)) + """ END) AS e0 FROM z GROUP BY product_id),
+r AS (SELECT p.site_id, p.time_idx AS matched_ts, e0 FROM patch p JOIN e USING (product_id)),
+l AS (SELECT site_id, unnest(range(min(time_idx), max(time_idx) + 1, 4)) AS time_idx FROM patch GROUP BY site_id),
+j AS (SELECT l.site_id, l.time_idx, CASE WHEN l.time_idx - matched_ts <= 6 THEN matched_ts END AS hit, CASE WHEN l.time_idx - matched_ts <= 6 THEN e0 END AS e0 FROM l ASOF LEFT JOIN r ON l.site_id = r.site_id AND l.time_idx >= r.matched_ts)
+SELECT site_id, count(*) AS rows, count(hit) AS matched, count(hit) / count(*) AS rate, round(avg(coalesce(e0, 0e0)::FLOAT::DOUBLE), 5) AS mean_embedding FROM j GROUP BY ROLLUP (site_id)
 """, ("patch",))
 def M11_A22_satellite_alignment(spark, d):
+    """Sample, statistics, encoding of every patch, alignment to each site's slots, filling, summary."""
     p = A.patch(spark, d)
-    f = satellite.patch_features(p, 4, 16, (0, 2), (2, 4)).select("site_id", "time_idx", "cloud_index", "irradiance_proxy")
-    left = p.select("site_id").distinct().select("site_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(516).cast("long"), F.lit(4).cast("long"))).alias("time_idx"))
-    a = joins.asof_backward(left, f, "site_id", "time_idx", ["cloud_index", "irradiance_proxy"], 6)
-    return satellite.alignment_summary(satellite.fill_missing(a, {"cloud_index": 0.0, "irradiance_proxy": 0.0}), "site_id")
+    sample = windows.even_sample(p, ["site_id"], "product_id", 5)
+    v = satellite.as_vectors(satellite.channel_stats(sample, 4, 16))  # one row
+    n = p.crossJoin(F.broadcast(v)).withColumn("n", satellite.normalise("pixels", "means", "scales", 16))
+    mean = F.array(*[F.aggregate(F.slice("n", c * 16 + 1, 16), F.lit(0.0), lambda a, x: a + x) / 16 for c in range(4)])
+    encoded = n.select("site_id", "time_idx", satellite.project(mean, MATRIX)[0].alias("e0"))
+    slots = p.groupBy("site_id").agg(F.sequence(F.min("time_idx"), F.max("time_idx"), F.lit(4).cast("long")).alias("all")).select("site_id", F.explode("all").alias("time_idx"))
+    a = satellite.fill_missing(joins.asof_backward(slots, encoded, "site_id", "time_idx", ["e0"], 6), {"e0": 0.0})
+    means = a.rollup("site_id").agg(F.round(F.avg("e0"), 5).alias("mean_embedding"))
+    both = satellite.alignment_summary(a, "site_id").alias("s").join(means.alias("m"), F.col("s.site_id").eqNullSafe(F.col("m.site_id")))
+    return both.select("s.*", "m.mean_embedding")
 
 
 @query("SELECT product_id, coalesce(CASE WHEN product_id % 3 <> 0 THEN pixels[1] END, 0e0)::FLOAT::DOUBLE AS cloud, coalesce(CASE WHEN product_id % 4 <> 0 THEN 0e0 END, 1e0) AS missing FROM patch", ("patch",))

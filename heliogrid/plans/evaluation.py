@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as fx
 from ..functions.columns import QUANTILES, quantile_name
-from ..operators import baselines, forecast, joins, metrics, windows
+from ..operators import baselines, catalog, forecast, joins, metrics, windows
+from ..session import settled, shared_folder
+from ..sources import io
+from ..streaming.streams import exists
 from . import adapters as A
 from .production import r6, rounded
 from .registry import query
@@ -332,21 +335,44 @@ def M06_transfer_vs_scratch(spark, d):
     return both.join(scored, "time_idx").agg(F.count("*").alias("count"), metrics.mse("target", "transfer").alias("transfer_mse"), metrics.mse("target", "scratch").alias("scratch_mse"))
 
 
-@query("""
-WITH done AS (SELECT DISTINCT fold FROM forecasts WHERE fold % 2 = 0)
-SELECT fold, """ + _summary("point") + " FROM (" + DAY + ") WHERE fold NOT IN (SELECT fold FROM done) GROUP BY fold", ("forecasts",))
+def rolling_evaluation(rows, folder: str, identity: str):
+    """Evaluates the folds of rows that the state in folder doesn't list, writes their metrics by fold and
+    then lists them. A state of another identity is an error."""
+    spark, state = rows.sparkSession, f"{folder}/state"
+    if exists(spark, state):
+        rows = rows.join(io.finished_folds(spark, state, identity), "fold", "left_anti")
+    scored = settled(rounded(rows.groupBy("fold").agg(*metrics.summary("actual", "point", "smart")), places=9))
+    scored.write.mode("append").partitionBy("fold").parquet(f"{folder}/metrics")
+    io.record_folds(scored, state, identity)
+    return scored
+
+
+@query("SELECT fold, CASE WHEN fold < (SELECT max(fold) FROM forecasts WHERE elev > 0 AND actual IS NOT NULL) THEN 1 ELSE 2 END AS run, " + _summary("point") + " FROM (" + DAY + ") GROUP BY fold", ("forecasts",))
 def M07_resumed_rolling_evaluation(spark, d):
-    f = _day(spark, d)
-    done = A.forecasts(spark, d).where("fold % 2 = 0").select("fold").distinct()
-    return rounded(f.join(done, "fold", "left_anti").groupBy("fold").agg(*metrics.summary("actual", "point", "smart")), places=9)
+    """A run that ends before the last fold, and one that goes on from the state it left."""
+    f, folder = _day(spark, d), shared_folder(spark, "rolling")
+    identity = io.provenance(f, KEY) + ":smart:v2"  # data set, configuration, schema
+    last = f.agg(F.max("fold")).first()[0]
+    runs = [rolling_evaluation(rows, folder, identity).select("fold", F.lit(n).alias("run")) for n, rows in ((1, f.where(F.col("fold") < last)), (2, f))]
+    return spark.read.parquet(f"{folder}/metrics").join(runs[0].unionByName(runs[1]), "fold").withColumn("fold", F.col("fold").cast("long"))
+
 
+KEY = ["site_id", "issue_idx", "time_idx", "horizon", "fold"]
+PROVENANCE = "(SELECT sum(('0x' || substr(sha256(site_id || '|' || issue_idx || '|' || time_idx || '|' || horizon || '|' || fold), 1, 15))::BIGINT)::VARCHAR FROM (" + DAY + "))"
 
-@query(f"WITH {PERSIST}, j AS (SELECT f.site_id, f.issue_idx, f.horizon, f.point, f.actual, f.smart AS legacy_persistence, round(p.forecast, 6) AS smart FROM forecasts f JOIN p ON p.site_id = f.site_id AND p.time_idx = f.issue_idx AND p.horizon = f.horizon WHERE f.elev > 0 AND f.actual IS NOT NULL) SELECT horizon, " + _summary("point") + ", round(avg(legacy_persistence), 9) AS legacy_mean FROM j GROUP BY horizon", ("forecasts",))
+
+@query(f"WITH {PERSIST}, j AS (SELECT f.site_id, f.issue_idx, f.horizon, f.point, f.actual, f.smart AS legacy_persistence, round(p.forecast, 6) AS smart FROM forecasts f JOIN p ON p.site_id = f.site_id AND p.time_idx = f.issue_idx AND p.horizon = f.horizon WHERE f.elev > 0 AND f.actual IS NOT NULL) SELECT horizon, " + _summary("point") + ", round(avg(legacy_persistence), 9) AS legacy_mean, " + PROVENANCE + " AS provenance FROM j GROUP BY horizon", ("forecasts",))
 def M08_reevaluation(spark, d):
-    f = _day(spark, d).withColumnRenamed("smart", "legacy_persistence")
+    """Stored predictions scored against a baseline made anew, with a digest of what was scored, in a folder of its own."""
+    source, destination = shared_folder(spark, "predictions"), shared_folder(spark, "reevaluated")
+    _day(spark, d).write.parquet(source)
+    f = spark.read.parquet(source).withColumnRenamed("smart", "legacy_persistence")
+    digest = io.provenance(f, KEY)
     p = rounded(baselines.smart_persistence(A.sky(spark, d), 4)).select("site_id", F.col("time_idx").alias("issue_idx"), "horizon", F.col("forecast").alias("smart"))
     j = f.join(p, ["site_id", "issue_idx", "horizon"])
-    return rounded(j.groupBy("horizon").agg(*metrics.summary("actual", "point", "smart"), F.avg("legacy_persistence").alias("legacy_mean")), places=9)
+    scored = rounded(j.groupBy("horizon").agg(*metrics.summary("actual", "point", "smart"), F.avg("legacy_persistence").alias("legacy_mean")), places=9)
+    io.write_new(scored.withColumn("provenance", F.lit(digest)), destination, source)
+    return spark.read.parquet(destination)
 
 
 @query("WITH j AS (SELECT a.horizon, a.actual, a.point, b.scratch, a.smart FROM (" + DAY + ") a JOIN forecasts b USING (site_id, issue_idx, time_idx, horizon, fold)) SELECT 'weather' AS model, horizon, " + _summary("point") + " FROM j GROUP BY horizon UNION ALL SELECT 'baseline', horizon, " + _summary("scratch") + " FROM j GROUP BY horizon", ("forecasts",))
@@ -367,6 +393,46 @@ def M13_plan_comparison(spark, d):
     return rounded(metrics.point_metrics(s, ["split"], "cf", ["plan"], "smart").drop("model"), places=9)
 
 
+LONG_PLAN = "p AS (SELECT site_id, time_idx, cf AS actual, cs, lag(cf, 96) OVER (PARTITION BY site_id ORDER BY time_idx) AS plan FROM sky), r AS (SELECT *, abs(plan - lag(plan) OVER (PARTITION BY site_id ORDER BY time_idx)) AS ramp FROM p WHERE actual IS NOT NULL AND plan IS NOT NULL)"
+
+
+@query(f"WITH {LONG_PLAN} SELECT site_id, count(*) AS count, round(avg(plan), 9) AS mean, round(stddev_pop(plan), 9) AS std, round(avg(plan - actual), 9) AS bias_mean, round(corr(actual, plan), 9) AS corr, round(avg(ramp), 9) AS ramp_mean, round(avg((plan > 1e-6)::INT) FILTER (cs <= 1), 9) AS night_positive_share, round(avg((actual BETWEEN plan * 0.9e0 AND plan * 1.1e0)::INT), 9) AS coverage, round(avg(plan * 1.1e0 - plan * 0.9e0), 9) AS width FROM r GROUP BY site_id", ("sky",))
+def M13_plan_diagnostics(spark, d):
+    """Diagnostics of the plan, and of an interval of a tenth about it, beside the comparison."""
+    s = A.sky(spark, d).withColumn("plan", F.lag("cf", 96).over(Window.partitionBy("site_id").orderBy("time_idx"))).where("cf IS NOT NULL AND plan IS NOT NULL")
+    s = s.withColumns({"low": F.col("plan") * 0.9, "high": F.col("plan") * 1.1})
+    out = metrics.diagnostics(s, ["site_id"], "time_idx", "cf", "plan", "cs").select("site_id", "count", "mean", "std", "bias_mean", "corr", "ramp_mean", "night_positive_share")
+    return rounded(out.join(s.groupBy("site_id").agg(*metrics.interval_diagnostics("cf", "low", "high")), "site_id"), places=9)
+
+
+@query("SELECT fold, count(*) AS count, round(avg((point - actual) * (point - actual)), 9) AS mse, round(avg(abs(point - actual)), 9) AS mae, round((" + " + ".join(f"avg(greatest({q}e0 * (actual - {quantile_name(q)}), ({q}e0 - 1e0) * (actual - {quantile_name(q)})))" for q in QUANTILES) + ") / 7e0, 9) AS pinball, round(avg(0.75e0 * abs(point - actual) + 0.25e0 * (point - actual) * (point - actual)), 9) AS mae_heavy FROM (" + DAY + ") GROUP BY ROLLUP (fold)", ("forecasts",))
+def X05_custom_aggregates(spark, d):
+    """Summary, pinball and a point loss as aggregates of one pass."""
+    loss = F.avg(fx.point_loss("mae_heavy", "point", "actual")).alias("mae_heavy")
+    rows = _day(spark, d).rollup("fold").agg(F.count("*").alias("count"), metrics.mse("actual", "point").alias("mse"), metrics.mae("actual", "point").alias("mae"), metrics.mean_pinball("actual").alias("pinball"), loss)
+    return rounded(rows, places=9)
+
+
+@query("""
+WITH s AS (SELECT date_trunc('month', min(ts))::DATE AS lo, (date_trunc('month', max(ts)) + INTERVAL 1 MONTH)::DATE AS hi FROM events),
+m AS (SELECT i AS fold, (lo + i * INTERVAL 1 MONTH)::DATE AS m, hi FROM s, range(0, 600) t(i) WHERE lo + i * INTERVAL 1 MONTH < hi),
+f AS (SELECT * FROM m WHERE (m + INTERVAL 3 MONTH)::DATE <= hi),
+u AS (SELECT user_id, min(epoch_us(ts) // 86400000000) AS lo, max(epoch_us(ts) // 86400000000) + 1 AS hi FROM events GROUP BY user_id),
+c AS (SELECT user_id, unnest(range(lo, hi, 7)) AS lo, hi FROM u)
+SELECT 'fold' AS kind, f.fold::VARCHAR || '-' || p.part AS name, (epoch_us((f.m + p.a * INTERVAL 1 MONTH)::TIMESTAMP) // 86400000000)::BIGINT AS lo, (epoch_us((f.m + p.b * INTERVAL 1 MONTH)::TIMESTAMP) // 86400000000)::BIGINT AS hi FROM f, (VALUES ('train', 0, 1), ('validation', 1, 2), ('test', 2, 3)) p (part, a, b)
+UNION ALL SELECT 'chunk', user_id::VARCHAR, lo, least(lo + 7, hi) FROM c
+""")
+def X06_table_generators(spark, d):
+    """Folds over the events' months, and weekly chunks of each user's days."""
+    e = A.table(spark, d, "events")
+    ends = e.agg(F.date_trunc("month", F.min("ts")).cast("date").alias("lo"), F.last_day(F.max("ts")).alias("hi")).first()
+    day = lambda c: F.datediff(F.col(c).cast("date"), F.lit("1970-01-01").cast("date")).cast("long")
+    folds = forecast.rolling_folds(spark, str(ends.lo), str(ends.hi), 1)
+    folds = folds.select(F.lit("fold").alias("kind"), F.concat_ws("-", F.col("fold").cast("string"), "part").alias("name"), day("start").alias("lo"), day("end").alias("hi"))
+    days = e.groupBy(F.col("user_id").cast("string").alias("name")).agg(F.floor(F.min(F.unix_micros("ts")) / 86_400_000_000).cast("long").alias("lo"), (F.floor(F.max(F.unix_micros("ts")) / 86_400_000_000) + 1).cast("long").alias("hi"))
+    return folds.unionByName(catalog.chunks(days, ["name"], 7).withColumn("kind", F.lit("chunk")))
+
+
 @query("WITH b AS (SELECT o_orderstatus AS status, count(*) AS n FROM orders GROUP BY 1) SELECT row_number() OVER (ORDER BY status) + 1 AS k, '| ' || status || ' | ' || n || ' |' AS line FROM b UNION ALL SELECT 0, '| status | n |' UNION ALL SELECT 1, '| --- | --- |'")
 def M14_markdown(spark, d):
     small = A.table(spark, d, "orders").groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("n"))

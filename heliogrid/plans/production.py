@@ -114,6 +114,37 @@ def F01_canonical_grid(spark, d):
     return rounded(_canonical(spark, d).drop("capacity_mw", "source"))
 
 
+def _instants(spark, d):
+    """Readings of users at a site's own minute of the quarter hour; a few are off it or can't be read."""
+    e = A.table(spark, d, "events")
+    at = F.expr("unix_micros(ts) div 900000000 * 900000000 + user_id % 7 * 60000000 + if(event_id % 10 = 3, 30000000, 0)")
+    ts = F.when(F.col("event_id") % 13 != 5, F.timestamp_micros(at))
+    return e.groupBy(F.col("user_id").alias("site_id"), ts.alias("ts")).agg(F.round(F.sum("value"), 6).alias("energy_mwh"))
+
+
+INSTANTS = """
+WITH o AS (SELECT user_id AS site_id, CASE WHEN event_id % 13 <> 5 THEN epoch_us(ts) // 900000000 * 900000000 + user_id % 7 * 60000000 + CASE WHEN event_id % 10 = 3 THEN 30000000 ELSE 0 END END AS us, round(sum(value), 6) AS energy_mwh FROM events GROUP BY ALL),
+f AS (SELECT site_id, min(us) AS first FROM o GROUP BY site_id),
+r AS (SELECT o.*, first, CASE WHEN us IS NULL THEN 'malformed_timestamp' WHEN (us - first) % 900000000 <> 0 THEN 'off_grid' END AS reason FROM o JOIN f USING (site_id))
+"""
+
+
+@query(INSTANTS + """, k AS (SELECT * FROM r WHERE reason IS NULL), g AS (SELECT site_id, unnest(range(min(us), max(us) + 1, 900000000)) AS us FROM k GROUP BY site_id)
+SELECT g.site_id, g.us, k.energy_mwh, k.energy_mwh IS NOT NULL AS observation_available FROM g LEFT JOIN k USING (site_id, us)
+""")
+def F01_canonical_series(spark, d):
+    o = _instants(spark, d)
+    sites = o.select("site_id").distinct().withColumn("capacity_mw", F.lit(1.0))
+    return grid.canonical_series(o, sites)[0].select("site_id", F.unix_micros("ts").alias("us"), "energy_mwh", "observation_available")
+
+
+@query(INSTANTS + "SELECT site_id, us, reason FROM r WHERE reason IS NOT NULL")
+def F01_exclusions(spark, d):
+    o = _instants(spark, d)
+    sites = o.select("site_id").distinct().withColumn("capacity_mw", F.lit(1.0))
+    return grid.canonical_series(o, sites)[1].select("site_id", F.unix_micros("ts").alias("us"), "reason")
+
+
 @query(CANONICAL + """
 SELECT site_id, count(*) AS rows, count(energy_mwh) AS observed, count(*) - count(energy_mwh) AS gaps, min(time_idx) AS first_idx, max(time_idx) AS last_idx,
   min(capacity_factor) AS cf_min, max(capacity_factor) AS cf_max, count(*) FILTER (capacity_factor > 1) AS above_one, count(*) FILTER (capacity_factor < 0) AS below_zero

@@ -28,6 +28,18 @@ def T01_ingest_once(spark, d):
     return _run(e.select("event_id", "user_id", "event_type"), "ingest")
 
 
+@query("SELECT event_id, user_id, event_type, CASE WHEN event_type = 'click' THEN 'first' ELSE 'second' END AS run FROM events")
+def T01_ingest_across_restarts(spark, d):
+    """A run over some events, and one from the start over all of them that knows nothing of the first's checkpoint."""
+    folder = shared_folder(spark, "landed")
+    write = streams.land_once(folder, "event_id")
+    for run, some in (("first", "event_type = 'click'"), ("second", "true")):
+        rows = _events(spark, d).where(some).select("event_id", "user_id", "event_type")
+        q = rows.writeStream.foreachBatch(lambda b, n, run=run: write(b, n, run)).option("checkpointLocation", shared_folder(spark, f"landed-{run}")).trigger(availableNow=True).start()
+        q.awaitTermination()
+    return spark.read.parquet(folder).select("event_id", "user_id", "event_type", F.split("batch", "-")[0].alias("run"))
+
+
 @query("SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id")
 def T02_upsert_state(spark, d):
     folder = shared_folder(spark, "upsert")

@@ -84,6 +84,25 @@ def finished_folds(spark: SparkSession, state: str, identity: str) -> DataFrame:
     return rows.where(same).select("fold").distinct()
 
 
+def provenance(rows: DataFrame, columns: list[str]) -> str:
+    """A digest of rows that doesn't depend on their order: the sum of 60 bits of each row's SHA-256."""
+    line = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in columns]), 256)
+    total = rows.agg(F.sum(F.conv(F.substring(line, 1, 15), 16, 10).cast("decimal(38,0)")).alias("s")).first().s
+    return str(total or 0)
+
+
+def write_new(rows: DataFrame, path: str, source: str) -> None:
+    """rows as Parquet in a folder that must not be their source, nor hold anything yet."""
+    if path.rstrip("/") == source.rstrip("/"):
+        raise ValueError("the destination is the source")
+    rows.write.mode("error").parquet(path)
+
+
+def record_folds(folds: DataFrame, state: str, identity: str) -> None:
+    """Appends finished folds (fold) to a run's state, after their results are written."""
+    folds.select("fold", F.lit(identity).alias("identity")).write.mode("append").json(state)
+
+
 def write_patches(patches: DataFrame, path: str) -> None:
     """Arrays and their metadata struct, by day."""
     patches.write.mode("append").partitionBy("day").parquet(path)
