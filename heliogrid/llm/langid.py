@@ -131,13 +131,18 @@ def fit(rows: DataFrame, per_class: int, bits: int, epochs: int, batch: int, see
     the driver.
     """
     spark = rows.sparkSession
-    langs = sorted(r.lang for r in rows.select("lang").distinct().collect())
+    by_lang = {r.lang: r.n for r in rows.groupBy("lang").agg(F.approx_count_distinct("id").alias("n")).collect()}
+    langs = sorted(by_lang)
     if not langs:
         return None
     df, docs = document_frequency(rows.select("text"), bits)
     idf = np.log((1 + docs) / (1 + df)) + 1
-    first = F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))  # cut down in each partition before the shuffle
-    ids = rows.select("id", "lang", F.xxhash64("id").alias("h")).distinct().withColumn("r", first).where(F.col("r") <= per_class)
+    # ids with hashes up to where 2.5 times per_class are expected: few, whatever the corpus' size, and sure to hold the smallest per_class
+    shares = spark.createDataFrame([(lang, 2.5 * per_class / n + 1e-9) for lang, n in by_lang.items()], "lang string, share double")
+    h = F.shiftrightunsigned(F.xxhash64("id"), 11)
+    near = rows.select("id", "lang", h.alias("h")).join(F.broadcast(shares), "lang").where(F.col("h") <= F.col("share") * float(1 << 53))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))
+    ids = near.select("id", "lang", "h").distinct().withColumn("r", first).where(F.col("r") <= per_class)
     picked = spark.createDataFrame([(r.id, r.lang) for r in ids.collect()], "id long, lang string")
     texts = rows.join(F.broadcast(picked), ["id", "lang"]).groupBy("id", "lang").agg(F.max("text").alias("text"))
 
