@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import clip
 from .checks import unique
+from .heads import dot, fit_heads
 
 
 def horizons(rows: DataFrame, h: int, issue: str = "time_idx") -> DataFrame:
@@ -39,47 +39,38 @@ def last_value(series: DataFrame, h: int, by: str, order: str, value: str) -> Da
     return last.select(by, F.explode(F.sequence(F.lit(1).cast("long"), F.lit(h).cast("long"))).alias("horizon"), "forecast")
 
 
-def fit_quantile(rows: DataFrame, features: list[str], target: str, q: float, steps: int = 60, weight: str | None = None) -> list[float]:
-    """Coefficients [intercept, features...] of a linear quantile regression.
-
-    Majorise-minimise: each step is a weighted least squares of which Spark sums
-    the normal equations over all rows; only those few sums reach the driver.
-    """
-    names = ["__one", *features]
-    data = rows.select(F.lit(1.0).alias("__one"), *[F.col(f).cast("double") for f in features], F.col(target).cast("double").alias("__y"), (F.col(weight) if weight else F.lit(1.0)).alias("__c")).dropna().persist()
-    k = len(names)
-    pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    beta, eps = np.zeros(k), 1e-2
-    try:
-        for step in range(steps):
-            fit = sum((F.col(n) * float(b) for n, b in zip(names, beta)), F.lit(0.0))
-            w = F.col("__c") / (F.lit(eps) + F.abs(F.col("__y") - fit)) if step else F.col("__c")
-            sums = data.select("*", w.alias("__w")).agg(
-                *[F.sum(F.col("__w") * F.col(names[i]) * F.col(names[j])) for i, j in pairs],
-                *[F.sum(F.col("__w") * F.col(n) * F.col("__y")) for n in names],
-                *[F.sum(F.col("__c") * F.col(n)) for n in names],
-            ).first()
-            if sums[0] is None:
-                raise ValueError("no row to fit")
-            a = np.zeros((k, k))
-            for (i, j), v in zip(pairs, sums):
-                a[i, j] = a[j, i] = v
-            b = np.array(sums[len(pairs) : len(pairs) + k])
-            if step:
-                b = b + (2 * q - 1) * np.array(sums[len(pairs) + k :])
-            beta = np.linalg.solve(a + 1e-10 * np.eye(k), b)
-            eps = max(1e-6, eps * 0.9)
-    finally:
-        data.unpersist()
-    return beta.tolist()
+def fit_quantile(rows: DataFrame, features: list[str], target: str, q: float, steps: int = 40, weight: str | None = None) -> list[float]:
+    """Coefficients [intercept, features...] of a linear quantile regression over all rows."""
+    fitted = fit_heads(rows.withColumn("__all", F.lit(0)), ["__all"], features, target, (q,), steps, weight)
+    return fitted.first()["heads"][0]
 
 
 def linear(coefficients: list[float], features: list[str]) -> Column:
     return sum((F.col(f) * float(b) for f, b in zip(features, coefficients[1:])), F.lit(float(coefficients[0])))
 
 
-def harmonic_persistence(history: DataFrame, train: DataFrame, h: int, features: list[str], by: str = "site_id", order: str = "time_idx", actual: str = "cf", q: float = 0.99, steps: int = 60) -> DataFrame:
+def harmonic_persistence(history: DataFrame, train: DataFrame, h: int, features: list[str], by: str = "site_id", order: str = "time_idx", actual: str = "cf", q: float = 0.99, steps: int = 40) -> DataFrame:
     """smart_persistence on a clear-sky curve fitted, on train rows only, as the q quantile of the actual by harmonics."""
     coefficients = fit_quantile(train, features, actual, q, steps)
     curve = history.withColumn("__curve", clip(linear(coefficients, features), 0, 1))
     return smart_persistence(curve, h, by, order, actual, "__curve")
+
+
+def fold_baselines(predictions: DataFrame, train: DataFrame, history: DataFrame, features: list[str], version: str, by: str = "site_id", order: str = "time_idx", actual: str = "cf", sky: str = "cs", q: float = 0.99, steps: int = 40) -> DataFrame:
+    """predictions (fold, by, issue_idx, target_idx, ...) with each fold's baselines.
+
+    The harmonic curve is fitted on the fold's train rows only, all folds in one fit. Version v1 names its
+    persistence smart_persistence; v2 names it legacy_harmonic_smart_persistence and has the physical one
+    as smart_persistence. A pair without history on either end has NULL.
+    """
+    if version not in ("v1", "v2"):
+        raise ValueError(f"unknown version {version}")
+    curves = fit_heads(train, ["fold"], features, actual, (q,), steps).select("fold", F.get("heads", 0).alias("__curve"))
+    side = lambda name: history.select(by, F.col(order).alias(f"{name}_idx"), F.struct(actual, sky, *features).alias(f"__{name}"))
+    out = predictions.join(side("issue"), [by, "issue_idx"], "left").join(side("target"), [by, "target_idx"], "left").join(F.broadcast(curves), "fold", "left")
+    curve = {e: clip(dot(F.col("__curve"), [f"__{e}.{f}" for f in features]), 0, 1) for e in ("issue", "target")}
+    out = out.withColumns({f"__{e}_curve": c for e, c in curve.items()})
+    persist = lambda at, to: F.when(F.col("__issue").isNotNull(), clip(clear_sky_index(f"__issue.{actual}", at) * F.col(to), 0, 1))
+    harmonic, physical = persist("__issue_curve", "__target_curve"), persist(f"__issue.{sky}", f"__target.{sky}")
+    named = {"smart_persistence": harmonic} if version == "v1" else {"legacy_harmonic_smart_persistence": harmonic, "smart_persistence": physical}
+    return out.withColumns(named).drop("__issue", "__target", "__curve", "__issue_curve", "__target_curve")

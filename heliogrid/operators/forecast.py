@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import QUANTILES, clip, monotone_quantiles, quantile_name
-from .baselines import fit_quantile, linear, smart_persistence
+from .baselines import smart_persistence
+from .heads import dot, fit_heads
+from .windows import stretches
 
 
 class Forecaster(Protocol):
@@ -53,34 +55,59 @@ def mask_future(frame: DataFrame, ts: str, issue: str, columns: list[str], missi
     return frame.withColumns({c: F.when(future, F.lit(0.0)).otherwise(F.col(c)) for c in columns} | {missing: F.when(future, F.lit(1.0)).otherwise(F.col(missing))})
 
 
-def fit_forecaster(rows: DataFrame, features: list[str], target: str, quantiles=QUANTILES, steps: int = 20, weight: str | None = None) -> dict:
-    """Pooled over sites: a least-squares point head and a pinball head for each quantile."""
-    point = fit_quantile(rows, features, target, 0.5, steps=1, weight=weight)
-    return {"features": features, "point": point, "quantiles": {q: fit_quantile(rows, features, target, q, steps, weight) for q in quantiles}}
+def horizon_rows(dense: DataFrame, by: str, order: str, x: str, known: list[str], static: list[str], weight: str, back: int = 8, ahead: int = 8) -> tuple[DataFrame, list[str]]:
+    """Rows (by, issue_idx, horizon, target_idx, features, target, weight) of a dense grid, and the features' names.
 
+    Features are the `back` values of x up to the issue, the static columns, and the known ones at the
+    target; x is never read past the issue but as the target. Issues without a full encoder are left
+    out. Series are cut in stretches with what they need of their neighbours, so a long one is many groups.
+    """
+    s = stretches(dense, order, 16 * (back + ahead), before=ahead, after=back - 1)
+    w = Window.partitionBy(by, "__stretch").orderBy(order)
+    lags = {f"{x}_lag_{k}": F.lag(x, k).over(w) for k in range(1, back)}
+    later = F.struct(F.col(order).alias("target_idx"), F.col(x).alias("target"), F.col(weight).alias("weight"), *known)
+    out = s.withColumns(lags | {"__later": F.array(*[F.lead(later, h).over(w) for h in range(1, ahead + 1)])}).where("__own")
+    out = out.where(F.col(f"{x}_lag_{back - 1}").isNotNull() if back > 1 else F.lit(True))
+    flat = out.select(by, F.col(order).alias("issue_idx"), x, *lags, *static, F.posexplode("__later").alias("__h", "__r")).where("__r IS NOT NULL")
+    return flat.select(by, "issue_idx", (F.col("__h") + 1).cast("long").alias("horizon"), x, *lags, *static, "__r.*"), [x, *lags, *static, *known]
 
-def predict(model: dict, rows: DataFrame) -> DataFrame:
-    """rows with point and q02..q98 in [0, 1], the latter in order."""
-    f, names = model["features"], [quantile_name(q) for q in model["quantiles"]]
-    heads = F.array(*[linear(b, f) for b in model["quantiles"].values()])
-    out = rows.withColumn("__q", monotone_quantiles(heads)).withColumn("point", clip(linear(model["point"], f), 0, 1))
-    return out.withColumns({n: F.col("__q")[i] for i, n in enumerate(names)}).drop("__q")
 
+def fit_forecaster(rows: DataFrame, by: list[str], features: list[str], target: str = "target", quantiles=QUANTILES, steps: int = 20, weight: str | None = "weight") -> dict:
+    """Direct forecaster, pooled over sites: for each group of by (horizon, say) a point head and a head for each quantile."""
+    return {"by": by, "features": features, "quantiles": quantiles, "heads": fit_heads(rows, by, features, target, quantiles, steps, weight)}
 
-def fit_transfer(source: dict, rows: DataFrame, features: list[str], target: str, weight: str | None = None) -> dict:
-    """A source model and a least-squares correction of its residual on the target site; the site's name isn't a feature."""
-    r = rows.withColumn("__residual", F.col(target) - linear(source["point"], source["features"]))
-    return {"source": source, "features": features, "residual": fit_quantile(r, features, "__residual", 0.5, steps=1, weight=weight)}
+
+def predict(model: dict, rows: DataFrame, offset: Column | None = None) -> DataFrame:
+    """rows with point and q02..q98 in [0, 1], the latter in order; offset is added to each head."""
+    base = F.lit(0.0) if offset is None else offset
+    out = rows.join(F.broadcast(model["heads"].withColumnsRenamed({"point": "__point", "heads": "__heads"})), model["by"])
+    out = out.withColumn("point", clip(base + dot(F.col("__point"), model["features"]), 0, 1))
+    if model["quantiles"]:
+        heads = F.array(*[base + dot(F.get("__heads", i), model["features"]) for i in range(len(model["quantiles"]))])
+        out = out.withColumn("__q", monotone_quantiles(heads)).withColumns({quantile_name(q): F.col("__q")[i] for i, q in enumerate(model["quantiles"])}).drop("__q")
+    return out.drop("__point", "__heads")
+
+
+def source_point(source: dict, rows: DataFrame) -> DataFrame:
+    """rows with source_point, the source model's point before it is held in [0, 1]."""
+    out = rows.join(F.broadcast(source["heads"].select(*source["by"], F.col("point").alias("__point"))), source["by"])
+    return out.withColumn("source_point", dot(F.col("__point"), source["features"])).drop("__point")
+
+
+def fit_transfer(source: dict, rows: DataFrame, by: list[str], features: list[str], target: str = "target", quantiles=QUANTILES, steps: int = 20, weight: str | None = "weight") -> dict:
+    """A source model and heads of its residual on the target site; the site's name isn't a feature."""
+    r = source_point(source, rows).withColumn("__residual", F.col(target) - F.col("source_point"))
+    return {"source": source, "residual": fit_forecaster(r, by, features, "__residual", quantiles, steps, weight)}
 
 
 def predict_transfer(model: dict, rows: DataFrame) -> DataFrame:
-    s = model["source"]
-    return rows.withColumn("point", clip(linear(s["point"], s["features"]) + linear(model["residual"], model["features"]), 0, 1))
+    return predict(model["residual"], source_point(model["source"], rows), F.col("source_point"))
 
 
-def last_days(rows: DataFrame, by: list[str], order: str, span: int) -> Column:
-    """Whether a row is within span of its series' end."""
-    return F.col(order) > F.max(order).over(Window.partitionBy(*by)) - span
+def last_days(rows: DataFrame, order: str, days: int = 30, per_day: int = 96) -> DataFrame:
+    """rows with `valid`, whether order is within so many days of the last one: the validation rows of pretraining."""
+    end = rows.agg((F.max(order) - days * per_day).alias("__end"))
+    return rows.crossJoin(F.broadcast(end)).withColumn("valid", F.col(order) > F.col("__end")).drop("__end")
 
 
 def rolling_folds(spark: SparkSession, start: str, end: str, train: int, validation: int = 1, test: int = 1) -> DataFrame:

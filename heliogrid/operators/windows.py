@@ -47,6 +47,14 @@ def interpolate_time(grid: DataFrame, source: DataFrame, by: list[str], ts: str,
     return both.where("__grid = 1").select(*by, ts, *[value(c) for c in linear], *[F.col(f"__f_{c}").alias(c) for c in filled])
 
 
+def stretches(df: DataFrame, order: str, length: int, before: int = 0, after: int = 0) -> DataFrame:
+    """df with __stretch, the number of a piece of `length` of order, and __own; rows that a piece needs of
+    the others, those up to `before` past its end or `after` ahead of its begin, are repeated there with __own
+    false. Windows by (series, __stretch) then see what windows by series would, if they reach no farther."""
+    piece = lambda k: F.floor((F.col(order) + k) / length).cast("long")
+    return df.withColumn("__stretch", F.explode(F.sequence(piece(-before), piece(after)))).withColumn("__own", F.col("__stretch") == piece(0))
+
+
 def lagged(df: DataFrame, columns: list[str], steps: int, by: list[str], order: str) -> DataFrame:
     """df with column_lag_1 .. column_lag_steps."""
     w = over(by, order)

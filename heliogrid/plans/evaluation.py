@@ -289,50 +289,74 @@ def F16_checkpoint_fields(spark, d):
     return A.table(spark, d, "part").withColumn("path", path).select("p_partkey", *[c.alias(n) for n, c in forecast.checkpoint_fields("path").items()])
 
 
-FEATURES = ["day_sin_1", "day_cos_1", "day_sin_2", "day_cos_2"]
+FEATURES = [f"{p}_{f}_{k}" for p in ("year", "day") for k in (1, 2) for f in ("sin", "cos")]
+START = 1893408  # the slot of 2024-01-01
 
 
 def _harmonic(spark, d):
-    s = A.sky(spark, d).withColumn("ts", fx.slot_start("time_idx"))
-    return s.withColumns({k: v for k, v in fx.harmonics("ts").items() if k in FEATURES})
+    """sky with the harmonics of the site's local time."""
+    zone = A.site(spark, d).select("site_id", "lat", "capacity_mw", "timezone")
+    s = A.sky(spark, d).join(F.broadcast(zone), "site_id").withColumn("local", fx.local_time(fx.slot_start("time_idx"), F.col("timezone")))
+    return s.withColumns(fx.harmonics("local"))
+
+
+def _folds(spark, train: int, validation: int, test: int, count: int):
+    """Windows of days that move on by the test's length: the events cover 30 days, not the months of real folds."""
+    day = lambda n: F.lit(START).cast("long") + (F.col("fold") * test + n) * 96
+    parts = [("train", 0, train), ("validation", train, train + validation), ("test", train + validation, train + validation + test)]
+    f = spark.range(count).select(F.col("id").alias("fold"))
+    return f.select("fold", F.explode(F.array(*[F.struct(F.lit(p).alias("part"), day(a).alias("start"), day(b).alias("end")) for p, a, b in parts])).alias("r")).select("fold", "r.*")
 
 
 @query()
-def M02_M03_harmonic_persistence(spark, d):
+def M02_harmonic_persistence(spark, d):
     s = _harmonic(spark, d)
-    train = s.where((F.col("cs") > 0) & F.col("cf").isNotNull() & (F.col("time_idx") < 1893408 + 96 * 20))
-    return baselines.harmonic_persistence(s.where(F.col("time_idx") >= 1893408 + 96 * 20), train, 8, FEATURES, steps=25)
+    train = s.where((F.col("cs") > 0) & F.col("cf").isNotNull() & (F.col("time_idx") < START + 96 * 20))
+    return baselines.harmonic_persistence(s.where(F.col("time_idx") >= START + 96 * 20), train, 8, FEATURES)
 
 
-LAGS = [f"x_lag_{k}" for k in range(1, 5)]
+@query()
+def M03_fold_baselines(spark, d):
+    """Both baselines of every fold's test targets, by the names of version 2."""
+    s = _harmonic(spark, d)
+    in_fold = joins.assign_folds(s.select("site_id", "time_idx", "cs", "cf", *FEATURES), _folds(spark, 15, 3, 3, 5), "time_idx")
+    train = in_fold.where("part = 'train' AND cs > 0 AND cf IS NOT NULL")
+    tests = in_fold.where("part = 'test'").select("fold", "site_id", F.col("time_idx").alias("target_idx"), F.explode(F.sequence(F.lit(1).cast("long"), F.lit(8).cast("long"))).alias("horizon"))
+    return baselines.fold_baselines(tests.withColumn("issue_idx", F.col("target_idx") - F.col("horizon")), train, s, FEATURES, "v2", steps=25)
 
 
 def _supervised(spark, d):
+    """Rows of eight horizons: an encoder of eight values, what is known of the target's time, the site's latitude and capacity."""
     s = _harmonic(spark, d).withColumn("x", F.coalesce("cf", F.lit(0.0)))
-    s = windows.lagged(s, ["x"], 4, ["site_id"], "time_idx").withColumn("last", F.col("x"))
-    target = F.lead("x").over(Window.partitionBy("site_id").orderBy("time_idx"))
     weight = F.when(F.col("cf").isNull(), 0.0).when(F.col("cs") > 0, 1.0).otherwise(0.1)
-    return s.withColumns({"target": target, "weight": weight, "valid": forecast.last_days(s, ["site_id"], "time_idx", 96 * 6)})
+    return forecast.horizon_rows(s.withColumn("weight", weight), "site_id", "time_idx", "x", [*FEATURES, "cs"], ["lat", "capacity_mw"], "weight")
+
+
+def _pretrained(spark, d, days: int = 6):
+    """(model, rows, features): fitted on the source sites but for their last days (30 where data cover more than these 30)."""
+    rows, features = _supervised(spark, d)
+    rows = forecast.last_days(rows, "target_idx", days)
+    return forecast.fit_forecaster(rows.where("site_id <> 'view' AND NOT valid"), ["horizon"], features, steps=12), rows, features
 
 
 @query()
 def M04_M05_pooled_forecaster(spark, d):
-    s = _supervised(spark, d)
-    model = forecast.fit_forecaster(s.where("NOT valid AND site_id <> 'view'"), [*FEATURES, *LAGS, "x"], "target", quantiles=(0.1, 0.5, 0.9), steps=8, weight="weight")
-    return forecast.predict(model, s.where("valid").dropna(subset=[*LAGS, "target"])).select("site_id", "time_idx", "target", "point", "q10", "q50", "q90")
+    """Eight horizons with a point and seven quantiles each, on the source sites' last days and on a site never seen."""
+    model, rows, _ = _pretrained(spark, d)
+    return forecast.predict(model, rows.where("valid")).select("site_id", "issue_idx", "target_idx", "horizon", "target", "point", *[quantile_name(q) for q in QUANTILES])
 
 
 @query()
 def M06_transfer_vs_scratch(spark, d):
-    s, f = _supervised(spark, d), [*FEATURES, *LAGS, "x"]
-    source = forecast.fit_forecaster(s.where("site_id <> 'view'"), f, "target", quantiles=(), weight="weight")
-    own = s.where("site_id = 'view' AND NOT valid")
-    transfer = forecast.fit_transfer(source, own, f, "target", "weight")
-    scratch = forecast.fit_forecaster(own, f, "target", quantiles=(), weight="weight")
-    test = s.where("site_id = 'view' AND valid").dropna(subset=[*LAGS, "target"])
-    both = forecast.predict_transfer(transfer, test).select("time_idx", "target", F.col("point").alias("transfer"))
-    scored = forecast.predict({**scratch, "quantiles": {0.5: scratch["point"]}}, test).select("time_idx", F.col("point").alias("scratch"))
-    return both.join(scored, "time_idx").agg(F.count("*").alias("count"), metrics.mse("target", "transfer").alias("transfer_mse"), metrics.mse("target", "scratch").alias("scratch_mse"))
+    """On each fold of the target site: the source model with a fitted residual, against one fitted on the fold alone."""
+    source, rows, features = _pretrained(spark, d)
+    own = joins.assign_folds(rows.where("site_id = 'view'").drop("valid"), _folds(spark, 15, 3, 3, 4), "target_idx")
+    train, by = own.where("part = 'train'"), ["fold", "horizon"]
+    transfer = forecast.fit_transfer(source, train, by, features, steps=12)
+    scratch = forecast.fit_forecaster(train, by, features, quantiles=())
+    scored = forecast.predict(scratch, own.where("part <> 'train'").where("weight > 0")).withColumnRenamed("point", "scratch")
+    scored = forecast.predict_transfer(transfer, scored)
+    return scored.groupBy(*by, "part").agg(F.count("*").alias("count"), metrics.mse("target", "point").alias("transfer_mse"), metrics.mse("target", "scratch").alias("scratch_mse"), metrics.mse("target", "source_point").alias("source_mse"), metrics.mean_pinball("target").alias("pinball"))
 
 
 def rolling_evaluation(rows, folder: str, identity: str):
