@@ -83,12 +83,18 @@ def fingerprint(columns: list[str]) -> Column:
     return F.sha2(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}), 256)
 
 
-def inventory_hash(files: DataFrame, by: list[str], order: list[str], columns: list[str]) -> DataFrame:
-    """(by, digest) over one line for each file in order. Lines are hashed first, so a group's list holds digests of fixed size."""
+def inventory_hash(files: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
+    """(by, digest) over one line for each file, whatever their order.
+
+    Lines are hashed, dealt over 4096 buckets by the first three digits of their digest, and each bucket's
+    sorted digests are hashed; the group's digest is that of its buckets' in order. A list thus holds a
+    4096th of a group, or 4096 digests.
+    """
     line = F.sha2(F.concat_ws("|", *[F.col(c).cast("string") for c in columns]), 256)
-    rows = files.select(*by, *order, line.alias("__line"))
-    listed = F.array_sort(F.collect_list(F.struct(*order, "__line")))
-    return rows.groupBy(*by).agg(F.sha2(F.array_join(F.transform(listed, lambda x: x["__line"]), "\n"), 256).alias("digest"))
+    rows = files.select(*by, line.alias("__line")).withColumn("__bucket", F.substring("__line", 1, 3))
+    buckets = rows.groupBy(*by, "__bucket").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("__line")), "\n"), 256).alias("__digest"))
+    listed = F.array_sort(F.collect_list(F.struct("__bucket", "__digest")))
+    return buckets.groupBy(*by).agg(F.sha2(F.array_join(F.transform(listed, lambda x: x["__digest"]), "\n"), 256).alias("digest"))
 
 
 def content_hash(files: DataFrame) -> DataFrame:

@@ -116,8 +116,8 @@ def _number(c: str) -> Column:
     return F.expr(f"try_cast({c} AS double)")
 
 
-def parse_sheets(rows: DataFrame, timezone: str) -> tuple[DataFrame, DataFrame]:
-    """(records, exclusions) of sheet rows (source_sheet, source_row, a..g as text).
+def parse_sheets(rows: DataFrame, timezone: str, by: list[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """(records, exclusions) of sheet rows (by, source_sheet, source_row, a..g as text); by names whose sheets they are.
 
     Sheets are named like Q1_25. The first quarter has the date in a (text or a
     spreadsheet's day number), an interval that begins HH.MM.SS in b, plan in c,
@@ -145,13 +145,22 @@ def parse_sheets(rows: DataFrame, timezone: str) -> tuple[DataFrame, DataFrame]:
             "actual": F.when(first, _number("d")).otherwise(_number("g")),
         }
     ).where("planned IS NOT NULL OR actual IS NOT NULL")
-    exclusions = r.where("local IS NULL").select("source_sheet", "source_row", F.lit("malformed_timestamp").alias("reason"))
-    nth = F.row_number().over(Window.partitionBy("source_sheet", "local").orderBy("source_row")) - 1
+    exclusions = r.where("local IS NULL").select(*by, "source_sheet", "source_row", F.lit("malformed_timestamp").alias("reason"))
+    nth = F.row_number().over(Window.partitionBy(*by, "source_sheet", "local").orderBy("source_row")) - 1
     good = r.where("local IS NOT NULL").withColumn("__nth", nth)
-    records = good.select("source_sheet", "source_row", fx.local_to_utc("local", F.lit(timezone), "__nth").alias("timestamp_utc"), "planned", "actual")
+    records = good.select(*by, "source_sheet", "source_row", fx.local_to_utc("local", F.lit(timezone), "__nth").alias("timestamp_utc"), "planned", "actual")
     return records, exclusions
 
 
+def production_dataset(sheets: DataFrame, sites: DataFrame, timezone: str) -> tuple[DataFrame, DataFrame]:
+    """(canonical series, exclusions (site_id, reason)) of the sites' sheets: the actual is the energy, and rows
+    whose time can't be read or is off the grid of the site are exclusions."""
+    records, malformed = parse_sheets(sheets, timezone, ["site_id"])
+    o = records.select("site_id", F.col("timestamp_utc").alias("ts"), F.col("actual").alias("energy_mwh"))
+    series, dropped = canonical_series(o, sites, source="sheets")
+    return series, malformed.select("site_id", "reason").unionByName(dropped.select("site_id", "reason"))
+
+
 def sheet_summary(rows: DataFrame) -> DataFrame:
     """(source_sheet, rows, last_row, columns): columns counts those with any value."""
     cells = sum((F.max(F.col(c).isNotNull().cast("long")) for c in "bcdefg"), F.max(F.col("a").isNotNull().cast("long")))

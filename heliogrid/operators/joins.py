@@ -16,13 +16,18 @@ def asof_backward(left: DataFrame, right: DataFrame, by: str, ts: str, columns:
     cutoff, a column of left, right rows after it don't count either. Of right
     rows at one time the last by their columns wins. Both sides go through one
     shuffle as a union; a window carries the latest right row along, so the work
-    grows with the rows and not with pairs of them.
+    grows with the rows and not with pairs of them. Time is cut in stretches of 16
+    tolerances and right rows are repeated in the next one that they reach, so that
+    one long series is many groups.
     """
+    length = max(16 * tolerance, 1)
+    piece = lambda c: F.floor(c / length).cast("long")
     at = F.least(F.col(ts), F.col(cutoff)) if cutoff else F.col(ts)
-    l = left.select(F.col(by).alias("__by"), at.alias("__at"), F.lit(1).alias("__side"), F.struct(*left.columns).alias("__left"))
+    l = left.select(F.col(by).alias("__by"), piece(at).alias("__piece"), at.alias("__at"), F.lit(1).alias("__side"), F.struct(*left.columns).alias("__left"))
     payload = F.struct(F.col(ts).alias("matched_ts"), *columns)
-    r = right.select(F.col(by).alias("__by"), F.col(ts).alias("__at"), F.lit(0).alias("__side"), payload.alias("__right"))
-    w = Window.partitionBy("__by").orderBy("__at", "__side", "__right").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    reach = F.explode(F.sequence(piece(F.col(ts)), piece(F.col(ts) + tolerance)))
+    r = right.select(F.col(by).alias("__by"), reach.alias("__piece"), F.col(ts).alias("__at"), F.lit(0).alias("__side"), payload.alias("__right"))
+    w = Window.partitionBy("__by", "__piece").orderBy("__at", "__side", "__right").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     both = l.unionByName(r, allowMissingColumns=True).withColumn("__hit", F.last("__right", ignorenulls=True).over(w)).where("__side = 1")
     near = F.when(F.col(f"__left.{ts}") - F.col("__hit.matched_ts") <= tolerance, F.col("__hit"))
     out = both.select("__left.*", near.alias("__hit"))
@@ -54,6 +59,12 @@ def newest_run(values: DataFrame, keys: list[str], delay: int, horizon: int, eve
     return best.select(*keys, "target", "r.issue", "r.value")
 
 
+def exact_run(values: DataFrame, keys: list[str], every: int) -> DataFrame:
+    """(keys, target, issue, value): values of the runs at multiples of `every`, each serving the targets up to the next run."""
+    serves = (F.col("issue") % every == 0) & (F.col("target") > F.col("issue")) & (F.col("target") <= F.col("issue") + every)
+    return values.where(serves).select(*keys, "target", "issue", "value")
+
+
 def nearest_point(sites: DataFrame, points: DataFrame, cell: float = 5.0) -> DataFrame:
     """(site_id, point_id, d2): the nearest grid point by squared degrees; of equals the smallest point_id.
 

@@ -115,6 +115,38 @@ def patch_status(pixels: str, expected: int) -> dict[str, Column]:
     return {"missing_fraction": share, "status": status}
 
 
+def nearest_pixel(lats: str, lons: str, lat, lon) -> Column:
+    """Flat index of the pixel nearest to a place by squared degrees, the first of equals; NULL where the place isn't known."""
+    square = lambda x: x * x
+    d = F.zip_with(lats, lons, lambda a, b: square(a - F.col(lat)) + square(b - F.col(lon)))
+    return F.array_position(d, F.array_min(d)) - 1
+
+
+def site_features(products: DataFrame, channels: int, height: int, width: int, size: int, visible: tuple[int, int], infrared: tuple[int, int], variant: str = "physical") -> DataFrame:
+    """The site's patch of each product, checked, with its features and where it came from.
+
+    products: (product_id, ts as text, pixels, lats, lons for each pixel, lat, lon of the site, and for the
+    variant `normalised` means and scales by channel). The window lies around the pixel nearest to the site,
+    or in the middle of the image if the place isn't known. A product whose time isn't UTC or whose image has
+    another shape fails: status `failed`, a reason, NULL features; nothing is raised.
+    """
+    if variant not in ("physical", "normalised"):
+        raise ValueError(f"unknown variant {variant}")
+    pixel = F.coalesce(nearest_pixel("lats", "lons", "lat", "lon"), F.lit(height // 2 * width + width // 2))
+    utc = F.coalesce(F.col("ts").rlike(r"(Z|[+]00:00)$"), F.lit(False))
+    shaped = F.coalesce(F.size("pixels") == channels * height * width, F.lit(False))
+    reason = F.when(~utc, "time is not UTC").when(~shaped, "wrong shape")
+    p = products.withColumns({"pixel": pixel.cast("long"), "reason": reason})
+    window = F.when(F.col("reason").isNull(), centre("pixels", channels, height, width, F.floor(F.col("pixel") / width), F.col("pixel") % width, size))
+    p = p.withColumn("pixels", window)
+    status = F.when(F.col("reason").isNotNull(), "failed").otherwise(patch_status("pixels", channels * size * size)["status"])
+    p = p.withColumn("status", status)
+    if variant == "normalised":
+        p = p.withColumn("pixels", normalise("pixels", "means", "scales", size * size))
+    origin = F.struct(F.col("product_id").alias("product"), F.col("pixel"), F.lit(variant).alias("variant"))
+    return patch_features(p, channels, size * size, visible, infrared).withColumn("provenance", origin)
+
+
 def projection_matrix(inputs: int, outputs: int, seed: int = 7) -> list[list[float]]:
     """A fixed random matrix by a seed."""
     return (np.random.default_rng(seed).standard_normal((inputs, outputs)) / np.sqrt(inputs)).tolist()

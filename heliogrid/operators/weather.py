@@ -79,6 +79,15 @@ def attach(frame: DataFrame, weather: DataFrame, keys: list[str]) -> DataFrame:
     return frame.join(weather, keys, "left")
 
 
+def materialise(frame: DataFrame, runs: list[DataFrame], keys: list[str], variables: list[str]) -> DataFrame:
+    """frame with the weather of the runs, each of its own sites: issue, the variables and a mask for each.
+    What no run serves has zeros, masks 0 and no issue."""
+    served = reduce(DataFrame.unionByName, runs)
+    out = attach(frame, served.select(*keys, "issue", *variables), keys)
+    masks = {f"{v}_available": F.col(v).isNotNull().cast("double") for v in variables}
+    return out.withColumns(masks).withColumns({v: F.coalesce(F.col(v), F.lit(0.0)) for v in variables})
+
+
 def masked_rows(targets: DataFrame, variables: list[str]) -> DataFrame:
     """Placeholder weather for sites without runs: zeros, masks 0, no issue."""
     zero = F.lit(0.0)

@@ -295,6 +295,34 @@ def M12_weather_materialisation(spark, d):
     return weather.coverage(weather.attach(A.pv(spark, d), w, ["site_id", "time_idx"]), ["site_id"], ["value"])
 
 
+MATERIALISED = """
+WITH v AS (SELECT variable AS site_id, issue, step, issue + step AS target, value FROM nwp),
+b AS (SELECT site_id, target, max(issue) AS issue, arg_max(value, issue) AS value FROM v WHERE site_id IN ('click', 'view') AND step BETWEEN 6 AND 12 GROUP BY ALL
+  UNION ALL SELECT site_id, target, issue, value FROM v WHERE site_id = 'purchase' AND issue % 12 = 0 AND step BETWEEN 1 AND 12),
+m AS (SELECT p.site_id, p.time_idx, b.issue, coalesce(b.value, 0e0) AS value, (b.value IS NOT NULL)::INT::DOUBLE AS value_available FROM pv p LEFT JOIN b ON b.site_id = p.site_id AND b.target = p.time_idx // 4)
+"""
+
+
+def _materialised(spark, d):
+    """Newest runs for two source sites, exact ones for a target site, masks for the others."""
+    n = A.nwp(spark, d).select(F.col("variable").alias("site_id"), "issue", (F.col("issue") + F.col("step")).alias("target"), "value")
+    newest = joins.newest_run(n.where("site_id IN ('click', 'view')"), ["site_id"], delay=6, horizon=12)
+    exact = joins.exact_run(n.where("site_id = 'purchase'"), ["site_id"], 12)
+    frame = A.pv(spark, d).select("site_id", "time_idx", F.floor(F.col("time_idx") / 4).alias("target"))
+    return weather.materialise(frame, [newest, exact], ["site_id", "target"], ["value"])
+
+
+@query(MATERIALISED + "SELECT * FROM m", ("nwp", "pv"))
+def M12_materialised_weather(spark, d):
+    return _materialised(spark, d).drop("target")
+
+
+@query(MATERIALISED + "SELECT site_id, count(*) AS rows, count(issue) AS served, count(*) - count(issue) AS masked, count(DISTINCT issue) AS runs FROM m GROUP BY ROLLUP (site_id)", ("nwp", "pv"))
+def M12_weather_manifest(spark, d):
+    masked = (F.count("*") - F.count("issue")).alias("masked")
+    return _materialised(spark, d).rollup("site_id").agg(F.count("*").alias("rows"), F.count("issue").alias("served"), masked, F.countDistinct("issue").alias("runs"))
+
+
 # --- satellite -------------------------------------------------------------------
 
 
@@ -467,3 +495,28 @@ SELECT product_id, 1 - len(k) / 16e0 AS missing_fraction, CASE WHEN len(k) = 0 T
 def M16_product_to_patch(spark, d):
     p = A.patch(spark, d).withColumn("pixels", satellite.centre("pixels", 4, 4, 4, F.col("site_id") % 3, F.col("site_id") % 4, 2))
     return p.withColumns(satellite.patch_status("pixels", 16)).select("product_id", "missing_fraction", "status")
+
+
+@query(CHANNELS + """, s AS (SELECT c, avg(v) AS m, greatest(stddev_pop(v), 1e-6) AS s FROM x GROUP BY c),
+g AS (SELECT *, CASE WHEN product_id % 7 <> 0 THEN list_transform(range(16), lambda k: power(k // 4 + product_id % 3 * 0.25e0 - site_id % 4 - 0.5e0, 2) + power(k % 4 - site_id % 5, 2)) END AS d, CASE WHEN product_id % 11 = 4 THEN 'time is not UTC' WHEN product_id % 13 = 6 THEN 'wrong shape' END AS reason FROM patch),
+p AS (SELECT product_id, pixels, reason, coalesce(list_position(d, list_min(d)) - 1, 10)::BIGINT AS pixel FROM g),
+i AS (SELECT *, unnest(range(16)) AS i FROM p),
+y AS (SELECT *, i // 4 AS c, pixel // 4 + i % 4 // 2 - 1 AS r, pixel % 4 + i % 2 - 1 AS q FROM i),
+w AS (SELECT *, CASE WHEN r BETWEEN 0 AND 3 AND q BETWEEN 0 AND 3 THEN pixels[CAST(c * 16 + r * 4 + q + 1 AS BIGINT)] END AS v FROM y)
+SELECT product_id, pixel, reason, CASE WHEN reason IS NOT NULL THEN 'failed' WHEN count(v) = 0 THEN 'missing' WHEN count(v) < 16 THEN 'degraded' ELSE 'ok' END AS status, CASE WHEN reason IS NULL THEN 1 - count(v) / 16e0 END AS missing_fraction,
+  CASE WHEN reason IS NULL THEN round(avg((v - m) / s) FILTER (w.c = 0), 6) END AS mean_0, CASE WHEN reason IS NULL THEN round(max((v - m) / s) FILTER (w.c = 3), 6) END AS max_3, product_id || ':' || pixel || ':normalised' AS origin
+FROM w JOIN s ON s.c = w.c GROUP BY product_id, pixel, reason
+""", ("patch",))
+def M16_product_to_features(spark, d):
+    """Nearest pixel, window, normalisation, check, features and provenance; some products fail."""
+    p = A.patch(spark, d)
+    v = satellite.as_vectors(satellite.channel_stats(p, 4, 16))  # one row
+    n, at = F.col("product_id"), F.sequence(F.lit(0), F.lit(15))
+    made = p.withColumns({
+        "ts": F.concat(F.lit("2024-01-01T00:00:00"), F.when(n % 11 == 4, "+02:00").otherwise("Z")), "pixels": F.when((n % 13 == 6) & (n % 11 != 4), F.slice("pixels", 1, 63)).otherwise(F.col("pixels")),
+        "lats": F.transform(at, lambda k: F.lit(40.0) + F.floor(k / 4) + n % 3 * 0.25), "lons": F.transform(at, lambda k: F.lit(5.0) + k % 4),
+        "lat": F.when(n % 7 != 0, F.lit(40.5) + F.col("site_id") % 4), "lon": F.lit(5.0) + F.col("site_id") % 5,
+    })
+    f = satellite.site_features(made.crossJoin(F.broadcast(v)), 4, 4, 4, 2, (0, 2), (2, 4), "normalised")
+    origin = F.concat_ws(":", F.col("provenance.product").cast("string"), F.col("provenance.pixel").cast("string"), "provenance.variant")
+    return rounded(f.select("product_id", "pixel", "reason", "status", "missing_fraction", "mean_0", "max_3", origin.alias("origin")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import columns as fx
-from ..operators import catalog, checks, joins, windows
+from ..operators import catalog, checks, grid, joins, windows
 from ..session import shared_folder
 from ..sources import io
 from . import adapters as A
@@ -190,9 +190,14 @@ def S19_content_hash(spark, d):
     return catalog.content_hash(files)
 
 
-@query("SELECT o_orderstatus, sha256(array_to_string(list(sha256(o_orderkey::VARCHAR || '|' || o_custkey::VARCHAR || '|' || o_orderpriority) ORDER BY o_orderkey), chr(10))) AS digest FROM orders GROUP BY o_orderstatus")
+def _digest(rows: str, by: str) -> str:
+    """SQL of a group's digest over lines h."""
+    return f"SELECT {by}, sha256(string_agg(d, chr(10) ORDER BY k)) AS digest FROM (SELECT {by}, substr(h, 1, 3) AS k, sha256(string_agg(h, chr(10) ORDER BY h)) AS d FROM ({rows}) GROUP BY ALL) GROUP BY {by}"
+
+
+@query(_digest("SELECT o_orderstatus, sha256(o_orderkey::VARCHAR || '|' || o_custkey::VARCHAR || '|' || o_orderpriority) AS h FROM orders", "o_orderstatus"))
 def S20_inventory_hash(spark, d):
-    return catalog.inventory_hash(A.table(spark, d, "orders"), ["o_orderstatus"], ["o_orderkey"], ["o_orderkey", "o_custkey", "o_orderpriority"])
+    return catalog.inventory_hash(A.table(spark, d, "orders"), ["o_orderstatus"], ["o_orderkey", "o_custkey", "o_orderpriority"])
 
 
 @query("""SELECT c_custkey, sha256('{"c_custkey":' || c_custkey || ',"c_mktsegment":"' || c_mktsegment || '","c_nationkey":' || c_nationkey || '}') AS fingerprint FROM customer""")
@@ -275,3 +280,44 @@ def L01_stable_order(spark, d):
 @query("SELECT c_custkey, round(c_acctbal, 2) AS c_acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 100")
 def L06_limit(spark, d):
     return A.table(spark, d, "customer").orderBy(F.desc("c_acctbal"), "c_custkey").limit(100).select("c_custkey", F.round("c_acctbal", 2).alias("c_acctbal"))
+
+
+SHEETS = """
+WITH o AS (SELECT site_id, CASE WHEN time_idx % 97 <> 5 THEN time_idx * 900000000 + CASE WHEN time_idx % 89 = 3 THEN 420000000 ELSE 0 END END AS us, energy FROM pv),
+f AS (SELECT site_id, min(us) AS first FROM o GROUP BY site_id),
+r AS (SELECT o.*, CASE WHEN us IS NULL THEN 'malformed_timestamp' WHEN (us - first) % 900000000 <> 0 THEN 'off_grid' END AS reason FROM o JOIN f USING (site_id)),
+k AS (SELECT * FROM r WHERE reason IS NULL), g AS (SELECT site_id, unnest(range(min(us), max(us) + 1, 900000000)) AS us FROM k GROUP BY site_id),
+c AS (SELECT g.site_id, g.us, k.energy FROM g LEFT JOIN k USING (site_id, us)),
+n AS (SELECT site_id, count(*) AS rows, count(energy) AS observed FROM c GROUP BY site_id),
+x AS (SELECT site_id, count(*) FILTER (reason = 'malformed_timestamp') AS malformed, count(*) FILTER (reason = 'off_grid') AS off_grid FROM r GROUP BY site_id),
+"""
+
+
+def _production_sheets(spark, d):
+    """pv as sheets of local time: the first quarter's layout for even slots, the other one for odd ones."""
+    first, t = F.col("time_idx") % 2 == 0, F.col("time_idx")
+    local = F.timestamp_micros(t * 900_000_000 + F.when(t % 89 == 3, 420_000_000).otherwise(0) + 7_200_000_000)
+    value = F.col("energy").cast("string")
+    return A.pv(spark, d).select(
+        "site_id", F.when(first, "Q1_24").otherwise("Q2_24").alias("source_sheet"), (t - 1_893_400).alias("source_row"),
+        F.when(t % 97 == 5, "bad").when(first, F.date_format(local, "yyyy-MM-dd")).otherwise(F.date_format(local, "yyyy-MM-dd HH:mm:ss")).alias("a"),
+        F.when(first, F.date_format(local, "HH.mm.ss")).alias("b"), F.lit(None).cast("string").alias("c"), F.when(first, value).alias("d"),
+        F.lit(None).cast("string").alias("e"), F.lit(None).cast("string").alias("f"), F.when(~first, value).alias("g"),
+    )
+
+
+@query(SHEETS + "h AS (" + _digest("SELECT site_id, sha256(us || '|' || coalesce(round(energy * 1000000)::BIGINT::VARCHAR, '')) AS h FROM c", "site_id") + ") SELECT n.*, malformed, off_grid, digest, true AS same FROM n JOIN x USING (site_id) JOIN h USING (site_id)", ("pv",))
+def M15_production_dataset(spark, d):
+    """Sheets to the canonical data set: exclusions and digests go into its manifest, and what is read back has the same digests."""
+    sites = A.site(spark, d).select("site_id", "capacity_mw")
+    series, excluded = grid.production_dataset(_production_sheets(spark, d), sites, "Europe/Helsinki")
+    line = lambda df: df.select("site_id", F.unix_micros("ts").alias("us"), F.coalesce(F.round(F.col("energy_mwh") * 1_000_000).cast("long").cast("string"), F.lit("")).alias("e"))
+    count = lambda r: F.count(F.when(F.col("reason") == r, 1))
+    n = series.groupBy("site_id").agg(F.count("*").alias("rows"), F.count("energy_mwh").alias("observed"))
+    x = excluded.groupBy("site_id").agg(count("malformed_timestamp").alias("malformed"), count("off_grid").alias("off_grid"))
+    manifest = n.join(x, "site_id", "left").fillna(0, ["malformed", "off_grid"]).join(catalog.inventory_hash(line(series), ["site_id"], ["us", "e"]), "site_id")
+    folder = shared_folder(spark, "production")
+    io.write_canonical(series, manifest, folder)
+    data, stored = io.read_canonical(spark, folder)
+    again = catalog.inventory_hash(line(data), ["site_id"], ["us", "e"]).withColumnRenamed("digest", "again")
+    return stored.join(again, "site_id").withColumn("same", F.col("digest") == F.col("again")).drop("again")
