@@ -41,16 +41,13 @@ def purge(features: DataFrame, ids: DataFrame, key: str) -> DataFrame:
 
 
 def coverage_report(observed: DataFrame, expected: DataFrame, key: str, slot: str) -> DataFrame:
-    """One row: expected and observed slots, those missing, keys and slots that repeat."""
-    e, o = expected.select(slot).distinct(), observed.select(slot).where(F.col(slot).isNotNull()).distinct()
-    count = lambda df, name: df.agg(F.count("*").alias(name))
-    return (
-        count(e, "expected")
-        .crossJoin(count(e.join(o, slot, "left_semi"), "observed"))
-        .crossJoin(count(e.join(o, slot, "left_anti"), "missing"))
-        .crossJoin(count(observed.groupBy(key).count().where("count > 1"), "repeated_ids"))
-        .crossJoin(count(observed.groupBy(slot).count().where("count > 1"), "repeated_slots"))
-    )
+    """One row: expected and observed slots, those missing, keys and slots that repeat. One aggregate over slots, one over keys."""
+    e, o = expected.select(slot).distinct().withColumn("__e", F.lit(1)), observed.groupBy(slot).agg(F.count("*").alias("__n"))
+    n = lambda c, name: F.count(F.when(c, 1)).alias(name)
+    wanted, seen = F.col("__e").isNotNull(), F.col("__n").isNotNull()
+    slots = e.join(o, slot, "full_outer").agg(n(wanted, "expected"), n(wanted & seen, "observed"), n(wanted & ~seen, "missing"), n(F.col("__n") > 1, "repeated_slots"))
+    keys = observed.groupBy(key).agg(F.count("*").alias("__n")).agg(n(F.col("__n") > 1, "repeated_ids"))
+    return slots.crossJoin(F.broadcast(keys)).select("expected", "observed", "missing", "repeated_ids", "repeated_slots")
 
 
 def chunks(ranges: DataFrame, by: list[str], step: int) -> DataFrame:

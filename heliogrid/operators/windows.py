@@ -206,11 +206,13 @@ def sample_with_replacement(rows: DataFrame, order: list[str], n: int, seed: int
 
 
 def sequences(dense: DataFrame, by: list[str], order: str, columns: list[str], back: int, ahead: int) -> DataFrame:
-    """Rows of a dense grid with a full encoder (the `back` rows up to this one) and decoder (the `ahead` rows after it), as arrays of structs."""
-    w = over(by, order)
+    """Rows of a dense grid with a full encoder (the `back` rows up to this one) and decoder (the `ahead` rows after it), as arrays of structs.
+    A long series is cut in stretches, so that it is many groups."""
+    s = stretches(dense, order, 16 * (back + ahead), before=ahead, after=back - 1)
+    w = over([*by, "__stretch"], order)
     row = F.struct(order, *columns)
-    out = dense.select(*by, order, F.collect_list(row).over(w.rowsBetween(-(back - 1), 0)).alias("encoder"), F.collect_list(row).over(w.rowsBetween(1, ahead)).alias("decoder"))
-    return out.where((F.size("encoder") == back) & (F.size("decoder") == ahead))
+    out = s.select(*by, order, "__own", F.collect_list(row).over(w.rowsBetween(-(back - 1), 0)).alias("encoder"), F.collect_list(row).over(w.rowsBetween(1, ahead)).alias("decoder"))
+    return out.where(F.col("__own") & (F.size("encoder") == back) & (F.size("decoder") == ahead)).drop("__own")
 
 
 def latest(df: DataFrame, keys: list[str], order: Column | str) -> DataFrame:

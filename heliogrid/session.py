@@ -26,10 +26,12 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a local one only where none is set."""
+    """The folder of spark.checkpoint.dir; where none is set, a local one in local mode and an error elsewhere."""
     sc = spark.sparkContext
     where = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not where:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="heliogrid-"))
         where = sc.getCheckpointDir()
     return where.rstrip("/")
