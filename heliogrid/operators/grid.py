@@ -156,7 +156,7 @@ def production_dataset(sheets: DataFrame, sites: DataFrame, timezone: str) -> tu
     """(canonical series, exclusions (site_id, reason)) of the sites' sheets: the actual is the energy, and rows
     whose time can't be read or is off the grid of the site are exclusions."""
     records, malformed = parse_sheets(sheets, timezone, ["site_id"])
-    o = records.select("site_id", F.col("timestamp_utc").alias("ts"), F.col("actual").alias("energy_mwh"))
+    o = settled(records.select("site_id", F.col("timestamp_utc").alias("ts"), F.col("actual").alias("energy_mwh")))  # parsed once
     series, dropped = canonical_series(o, sites, source="sheets")
     return series, malformed.select("site_id", "reason").unionByName(dropped.select("site_id", "reason"))
 

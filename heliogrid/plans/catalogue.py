@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as fx
 from ..operators import catalog, checks, grid, joins, windows
-from ..session import shared_folder
+from ..session import settled, shared_folder
 from ..sources import io
 from . import adapters as A
 from .production import CANONICAL, _canonical, rounded
@@ -311,6 +311,7 @@ def M15_production_dataset(spark, d):
     """Sheets to the canonical data set: exclusions and digests go into its manifest, and what is read back has the same digests."""
     sites = A.site(spark, d).select("site_id", "capacity_mw")
     series, excluded = grid.production_dataset(_production_sheets(spark, d), sites, "Europe/Helsinki")
+    series = settled(series)  # read by the manifest's parts and the writer
     line = lambda df: df.select("site_id", F.unix_micros("ts").alias("us"), F.coalesce(F.round(F.col("energy_mwh") * 1_000_000).cast("long").cast("string"), F.lit("")).alias("e"))
     count = lambda r: F.count(F.when(F.col("reason") == r, 1))
     n = series.groupBy("site_id").agg(F.count("*").alias("rows"), F.count("energy_mwh").alias("observed"))
