@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import settled
+from .scans import WIDTH, known_around
 
 
 def asof_backward(left: DataFrame, right: DataFrame, by: str, ts: str, columns: list[str], tolerance: int, cutoff: str | None = None) -> DataFrame:
@@ -97,10 +98,18 @@ def assign_folds(rows: DataFrame, folds: DataFrame, ts: str) -> DataFrame:
     return rows.join(F.broadcast(folds), (F.col(ts) >= F.col("start")) & (F.col(ts) < F.col("end"))).drop("start", "end")
 
 
-def covered(chunks: DataFrame, merged: DataFrame, by: str, kind: str = "left_semi") -> DataFrame:
-    """chunks [lo, hi) that lie within one merged interval of their group; with left_anti, those that don't."""
-    m = merged.select(F.col(by).alias("__by"), F.col("lo").alias("__lo"), F.col("hi").alias("__hi"))
-    return chunks.join(m, (F.col(by) == F.col("__by")) & (F.col("__lo") <= F.col("lo")) & (F.col("hi") <= F.col("__hi")), kind)
+def covered(chunks: DataFrame, merged: DataFrame, by: str, kind: str = "left_semi", width: float = WIDTH) -> DataFrame:
+    """chunks [lo, hi) that lie within one merged interval of their group; with left_anti, those that don't.
+
+    merged intervals of a group don't overlap, so only the last one that begins at or before a chunk
+    can hold it: one sorted scan over chunks and intervals together, cut in stretches of `width` of lo, finds
+    it. The work grows with the rows of a group, not with pairs of them. A NULL group or bound is in none.
+    """
+    c = chunks.select(F.col(by).alias("__by"), F.col("lo").alias("__at"), F.lit(1).alias("__side"), F.struct(*chunks.columns).alias("__chunk"))
+    m = merged.select(F.col(by).alias("__by"), F.col("lo").alias("__at"), F.lit(0).alias("__side"), F.col("hi").alias("__hi")).where("__by is not null and __at is not null and __hi is not null")
+    both = known_around(c.unionByName(m, allowMissingColumns=True), ["__by"], "__at", {"__end": F.col("__hi")}, width=width, ties=["__side"])
+    inside = F.coalesce(F.col("__end") >= F.col("__chunk.hi"), F.lit(False)) & F.col("__at").isNotNull()
+    return both.where("__side = 1").where(inside if kind == "left_semi" else ~inside).select("__chunk.*")
 
 
 def merge_records(known: DataFrame, found: DataFrame, key: str, fields: list[str], terminal: Column) -> DataFrame:

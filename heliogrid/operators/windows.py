@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import settled
+from .scans import WIDTH, known_around, placed, running_sums
 
 BEFORE = Window.unboundedPreceding
 
@@ -14,30 +15,31 @@ def over(by: list[str], order: str | list[str]):
     return Window.partitionBy(*by).orderBy(*([order] if isinstance(order, str) else order))
 
 
-def deaccumulate(value: str, by: list[str], order: str) -> Column:
-    """Steps of an accumulated series, at least 0; the first is the value itself. A
+def deaccumulated(df: DataFrame, value: str, by: list[str], order: str, name: str, width: float = WIDTH) -> DataFrame:
+    """df with the steps of an accumulated series, at least 0; the first is the value itself. A
     missing value stays missing, and the step after it counts from the last one known."""
-    last = F.last(value, ignorenulls=True).over(over(by, order).rowsBetween(BEFORE, -1))
-    return F.when(F.col(value).isNotNull(), F.greatest(F.col(value) - F.coalesce(last, F.lit(0.0)), F.lit(0.0)))
+    out = known_around(df, by, order, {"__last": F.col(value)}, width=width, strict=True)
+    return out.withColumn(name, F.when(F.col(value).isNotNull(), F.greatest(F.col(value) - F.coalesce("__last", F.lit(0.0)), F.lit(0.0)))).drop("__last")
 
 
-def interval_mean(value: str, by: list[str], order: str, per_hour: float) -> Column:
-    """Accumulated J/m2 as the mean W/m2 since the previous row, missing or not (1 hour for the first); order counts per_hour to the hour."""
-    hours = (F.col(order) - F.lag(order).over(over(by, order))) / per_hour
-    return deaccumulate(value, by, order) / (F.greatest(F.coalesce(hours, F.lit(1.0)), F.lit(1e-9)) * 3600.0)
+def interval_means(df: DataFrame, value: str, by: list[str], order: str, per_hour: float, name: str, width: float = WIDTH) -> DataFrame:
+    """df with accumulated J/m2 as the mean W/m2 since the previous row, missing or not (1 hour for the first); order counts per_hour to the hour."""
+    out = known_around(df, by, order, {"__before": F.col(order)}, width=width, strict=True)
+    out = deaccumulated(out, value, by, order, name, width)
+    hours = (F.col(order) - F.col("__before")) / per_hour
+    return out.withColumn(name, F.col(name) / (F.greatest(F.coalesce(hours, F.lit(1.0)), F.lit(1e-9)) * 3600.0)).drop("__before")
 
 
-def interpolate_time(grid: DataFrame, source: DataFrame, by: list[str], ts: str, linear: list[str], filled: list[str] = ()) -> DataFrame:
+def interpolate_time(grid: DataFrame, source: DataFrame, by: list[str], ts: str, linear: list[str], filled: list[str] = (), width: float = WIDTH) -> DataFrame:
     """grid rows with source columns interpolated linearly in time, within what is known only,
     and the `filled` ones carried forward. Of source rows at one time the first counts
-    (the smallest by their columns). All columns share one sort."""
+    (the smallest by their columns). All columns share one sort; a series is cut in stretches of
+    `width`, across whose borders known values are carried."""
     s = source.select(*by, ts, *linear, *filled, F.lit(0).alias("__grid"))
     s = s.withColumn("__n", F.row_number().over(Window.partitionBy(*by, ts).orderBy(*linear, *filled))).where("__n = 1").drop("__n")
     both = s.unionByName(grid.select(*by, ts, F.lit(1).alias("__grid")), allowMissingColumns=True)
-    w = over(by, ts)
-    back, ahead = w.rangeBetween(BEFORE, 0), w.rangeBetween(0, Window.unboundedFollowing)
     known = {c: F.when(F.col(c).isNotNull(), F.struct(F.col(ts).alias("t"), F.col(c).alias("v"))) for c in linear}
-    both = both.withColumns({f"__a_{c}": F.last(k, ignorenulls=True).over(back) for c, k in known.items()} | {f"__b_{c}": F.first(k, ignorenulls=True).over(ahead) for c, k in known.items()} | {f"__f_{c}": F.last(c, ignorenulls=True).over(back) for c in filled})
+    both = known_around(both, by, ts, {f"__a_{c}": k for c, k in known.items()} | {f"__f_{c}": F.col(c) for c in filled}, {f"__b_{c}": k for c, k in known.items()}, width)
 
     def value(c):
         a, b = F.col(f"__a_{c}"), F.col(f"__b_{c}")
@@ -55,19 +57,28 @@ def stretches(df: DataFrame, order: str, length: int, before: int = 0, after: in
     return df.withColumn("__stretch", F.explode(F.sequence(piece(-before), piece(after)))).withColumn("__own", F.col("__stretch") == piece(0))
 
 
+def by_places(df: DataFrame, by: list[str], order: str, columns, back: int = 0, ahead: int = 0, length: int = 0, width: float = WIDTH) -> DataFrame:
+    """df with columns(w), a dict of window expressions that reach `back` rows before and `ahead` rows after a row
+    of its series, w being a window by order. Rows are numbered along their series first; stretches of that number,
+    with the rows that they need of their neighbours, are the windows, so a long or sparse series is many groups."""
+    s = stretches(placed(df, by, order, "__place", width), "__place", length or 16 * max(back + ahead, 256), before=ahead, after=back)
+    return s.withColumns(columns(over([*by, "__stretch"], order))).where("__own").drop("__stretch", "__own", "__place")
+
+
 def lagged(df: DataFrame, columns: list[str], steps: int, by: list[str], order: str) -> DataFrame:
     """df with column_lag_1 .. column_lag_steps."""
-    w = over(by, order)
-    return df.withColumns({f"{c}_lag_{k}": F.lag(c, k).over(w) for c in columns for k in range(1, steps + 1)})
+    return by_places(df, by, order, lambda w: {f"{c}_lag_{k}": F.lag(c, k).over(w) for c in columns for k in range(1, steps + 1)}, back=steps)
 
 
-def rolling_mean(value: str, rows: int, by: list[str], order: str) -> Column:
-    return F.avg(value).over(over(by, order).rowsBetween(-(rows - 1), 0))
+def rolling_means(df: DataFrame, columns: dict[str, str], rows: int, by: list[str], order: str) -> DataFrame:
+    """df with the mean of each column (name: column) over a row and the rows - 1 before it."""
+    return by_places(df, by, order, lambda w: {n: F.avg(c).over(w.rowsBetween(-(rows - 1), 0)) for n, c in columns.items()}, back=rows - 1)
 
 
-def clear_sky_persistence(value: str, sky: str, lag: int, by: list[str], order: str, ahead: int = 0, floor: bool = True) -> Column:
-    """The clear-sky index `lag` rows back times the clear sky `ahead` rows on; NULL where the index divides by 0."""
-    w = over(by, order)
+def clear_sky_persistence(value: str, sky: str, lag: int, by: list[str], order: str, ahead: int = 0, floor: bool = True, w=None) -> Column:
+    """The clear-sky index `lag` rows back times the clear sky `ahead` rows on; NULL where the index divides by 0. w: a window
+    of by_places, else one over the whole series."""
+    w = w or over(by, order)
     now = F.lead(sky, ahead).over(w) if ahead else F.col(sky)
     out = F.try_divide(F.lag(value, lag).over(w), F.lag(sky, lag).over(w)) * now
     return F.when(out.isNotNull(), F.greatest(out, F.lit(0.0))) if floor else out

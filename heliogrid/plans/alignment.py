@@ -246,7 +246,8 @@ SELECT variable, issue, step, CASE WHEN v IS NOT NULL THEN greatest(v - coalesce
 """, ("nwp",))
 def W01_W02_deaccumulate(spark, d):
     a = _accumulated(spark, d)
-    return a.select("variable", "issue", "step", windows.deaccumulate("v", ["variable", "issue"], "step").alias("deaccumulated"), F.round(windows.interval_mean("v", ["variable", "issue"], "step", 1.0), 9).alias("watts"))
+    steps = windows.deaccumulated(a, "v", ["variable", "issue"], "step", "deaccumulated")
+    return windows.interval_means(steps, "v", ["variable", "issue"], "step", 1.0, "watts").select("variable", "issue", "step", "deaccumulated", F.round("watts", 9).alias("watts"))
 
 
 @query("""

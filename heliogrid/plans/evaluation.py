@@ -10,7 +10,7 @@ from ..functions.columns import QUANTILES, quantile_name
 from ..operators import baselines, catalog, forecast, joins, metrics, windows
 from ..session import settled, shared_folder
 from ..sources import io
-from ..streaming.streams import exists
+from ..sources.files import exists
 from . import adapters as A
 from .production import r6, rounded
 from .registry import query

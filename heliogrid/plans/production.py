@@ -259,7 +259,7 @@ def W05_W06_lags(spark, d):
 @query("SELECT site_id, time_idx, avg(CAST(round(cf * 1e6) AS BIGINT)) OVER (PARTITION BY site_id ORDER BY time_idx ROWS BETWEEN 95 PRECEDING AND CURRENT ROW) AS climatology_ppm FROM production", ("production",))
 def W07_climatology(spark, d):
     p = A.production(spark, d).withColumn("ppm", F.round(F.col("cf") * 1e6).cast("long"))  # whole numbers, whose mean is exact
-    return p.select("site_id", "time_idx", windows.rolling_mean("ppm", 96, ["site_id"], "time_idx").alias("climatology_ppm"))
+    return windows.rolling_means(p, {"climatology_ppm": "ppm"}, 96, ["site_id"], "time_idx").select("site_id", "time_idx", "climatology_ppm")
 
 
 @query("""
@@ -267,8 +267,9 @@ WITH l AS (SELECT *, lag(cf, 96) OVER w AS y, lag(cs, 96) OVER w AS c, lag(cf, 1
 SELECT site_id, time_idx, round(CASE WHEN c <> 0 AND y IS NOT NULL THEN greatest(y / c * cs, 0e0) END, 6) AS day_before, round(CASE WHEN c1 <> 0 AND y1 IS NOT NULL THEN greatest(y1 / c1 * cs, 0e0) END, 6) AS horizon_1, round(CASE WHEN c1 <> 0 AND y1 IS NOT NULL AND ahead IS NOT NULL THEN greatest(y1 / c1 * ahead, 0e0) END, 6) AS horizon_2 FROM l
 """, ("sky",))
 def W08_W09_clear_sky_persistence(spark, d):
-    p = lambda lag, ahead=0: r6(windows.clear_sky_persistence("cf", "cs", lag, ["site_id"], "time_idx", ahead))
-    return A.sky(spark, d).select("site_id", "time_idx", p(96).alias("day_before"), p(1).alias("horizon_1"), p(1, 1).alias("horizon_2"))
+    p = lambda w, lag, ahead=0: r6(windows.clear_sky_persistence("cf", "cs", lag, ["site_id"], "time_idx", ahead, w=w))
+    named = lambda w: {"day_before": p(w, 96), "horizon_1": p(w, 1), "horizon_2": p(w, 1, 1)}
+    return windows.by_places(A.sky(spark, d), ["site_id"], "time_idx", named, back=96, ahead=1).drop("energy", "cf", "cs")
 
 
 @query("""
@@ -283,8 +284,8 @@ GAPS = "SELECT site_id, time_idx, (time_idx - lag(time_idx) OVER (PARTITION BY s
 
 
 def _gaps(spark, d):
-    w = Window.partitionBy("site_id").orderBy("time_idx")
-    return A.pv_user(spark, d).select("site_id", "time_idx", ((F.col("time_idx") - F.lag("time_idx").over(w)) * 15).alias("gap"))
+    rows = windows.lagged(A.pv_user(spark, d), ["time_idx"], 1, ["site_id"], "time_idx")
+    return rows.select("site_id", "time_idx", ((F.col("time_idx") - F.col("time_idx_lag_1")) * 15).alias("gap"))
 
 
 @query(GAPS, ("pv_user",))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import SLOT_MICROS
 from ..session import shared_folder
 from ..sources import io
-from ..streaming import streams
+from ..streaming import landing, streams
 from . import adapters as A
 from .registry import query
 
@@ -32,21 +32,21 @@ def T01_ingest_once(spark, d):
 def T01_ingest_across_restarts(spark, d):
     """A run over some events, and one from the start over all of them that knows nothing of the first's checkpoint."""
     folder = shared_folder(spark, "landed")
-    write = streams.land_once(folder, "event_id")
+    write = landing.land_once(folder, "event_id")
     for run, some in (("first", "event_type = 'click'"), ("second", "true")):
         rows = _events(spark, d).where(some).select("event_id", "user_id", "event_type")
         q = rows.writeStream.foreachBatch(lambda b, n, run=run: write(b, n, run)).option("checkpointLocation", shared_folder(spark, f"landed-{run}")).trigger(availableNow=True).start()
         q.awaitTermination()
-    return spark.read.parquet(folder).select("event_id", "user_id", "event_type", F.split("batch", "-")[0].alias("run"))
+    return landing.landed(spark, folder).select("event_id", "user_id", "event_type", F.split("batch", "-")[0].alias("run"))
 
 
 @query("SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id")
 def T02_upsert_state(spark, d):
     folder = shared_folder(spark, "upsert")
     rows = _events(spark, d).select("user_id", "event_id", "event_type")
-    q = rows.writeStream.foreachBatch(streams.upsert_to(folder, "user_id", "event_id")).option("checkpointLocation", shared_folder(spark, "upsert-state")).trigger(availableNow=True).start()
+    q = rows.writeStream.foreachBatch(landing.upsert_to(folder, "user_id", "event_id")).option("checkpointLocation", shared_folder(spark, "upsert-state")).trigger(availableNow=True).start()
     q.awaitTermination()
-    return streams.snapshot(spark, folder, "user_id", "event_id")
+    return landing.snapshot(spark, folder, "user_id", "event_id")
 
 
 @query("""

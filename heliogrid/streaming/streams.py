@@ -9,11 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.catalog import compact
-
-
-LAND_BUCKETS = 16
-
 
 def source(spark: SparkSession, path: str, schema, max_files: int = 64) -> DataFrame:
     """A file source over Parquet; each file is read once, also across restarts."""
@@ -66,42 +61,6 @@ def lifecycle(stream: DataFrame, key: str, order: str, outcome: str) -> DataFram
     return known.groupBy(key).applyInPandasWithState(step, f"{key} long, status string, attempts long", "status string, attempts long", "update", GroupStateTimeout.NoTimeout)
 
 
-def upsert_to(path: str, key: str, order: str):
-    """For foreachBatch: keeps the latest row of each key. A batch is a folder of its own,
-    named by its number, so that one that runs again replaces itself; read by `snapshot`."""
-
-    def write(batch: DataFrame, number: int) -> None:
-        compact(batch, key, order).write.mode("overwrite").parquet(f"{path}/batch={number}")
-
-    return write
-
-
-def land_once(path: str, key: str):
-    """For foreachBatch: lands rows of keys that no other batch has landed, whatever the time between,
-    also under a new checkpoint. Keys are hashed into folders, so a batch reads the keys of its own
-    folders only; a batch that runs again replaces what it wrote."""
-
-    def write(batch: DataFrame, number: int, run: str = "0") -> None:
-        spark, name = batch.sparkSession, f"{run}-{number}"
-        fresh = batch.dropDuplicates([key]).withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(LAND_BUCKETS)).cast("int"))
-        if exists(spark, path):
-            known = spark.read.parquet(path).where(F.col("batch") != name)
-            fresh = fresh.join(known.select(key, "bucket"), [key, "bucket"], "left_anti")
-        fresh.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/batch={name}")
-
-    return write
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    """Whether Spark's file system has something at path."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
-
-
-def snapshot(spark: SparkSession, path: str, key: str, order: str) -> DataFrame:
-    return compact(spark.read.parquet(path).drop("batch"), key, order)
-
-
 def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Runs a query over what there is, to Parquet, and reads the result."""
     spark = stream.sparkSession

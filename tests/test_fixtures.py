@@ -97,7 +97,7 @@ def test_interpolation(spark):
 
 def test_deaccumulation(spark):
     df = spark.createDataFrame([("a", k, v) for k, v in enumerate([0.0, 2.0, None, 5.0])] + [("b", 0, 0.0), ("b", 1, 3.0)], "g string, t long, v double")
-    assert [r[0] for r in df.select(windows.deaccumulate("v", ["g"], "t")).collect()] == [0.0, 2.0, None, 3.0, 0.0, 3.0]
+    assert [r.s for r in windows.deaccumulated(df, "v", ["g"], "t", "s").orderBy("g", "t").collect()] == [0.0, 2.0, None, 3.0, 0.0, 3.0]
 
 
 def test_issue_selection(spark):
