@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import QUANTILES, clip, monotone_quantiles, quantile_name
 from .baselines import smart_persistence
 from .heads import dot, fit_heads
+from .selection import percentiles
 from .windows import stretches
 
 
@@ -128,9 +129,10 @@ def expanding_folds(spark: SparkSession, year: int, timezone: str = "UTC") -> Da
     return f.select("fold", F.explode(F.array(*[F.struct(F.lit(p).alias("part"), first(a).alias("start"), first(b).alias("end")) for p, a, b in parts])).alias("r")).select("fold", "r.*")
 
 
-def final_epochs(epoch: str) -> Column:
-    """max(1, floor(median + 0.5))."""
-    return F.greatest(F.lit(1), F.floor(F.percentile(epoch, F.lit(0.5)) + 0.5)).cast("long")
+def final_epochs(rows: DataFrame, by: list[str], epoch: str) -> DataFrame:
+    """(by, epochs): max(1, floor(median + 0.5)) of the epochs of each group."""
+    median = percentiles(rows, by, F.col(epoch), {"__median": 0.5})
+    return median.select(*by, F.greatest(F.lit(1), F.floor(F.col("__median") + 0.5)).cast("long").alias("epochs"))
 
 
 def checkpoint_fields(path: str) -> dict[str, Column]:

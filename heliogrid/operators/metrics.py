@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import QUANTILES, pinball, quantile_name
+from .selection import percentiles
+from .windows import by_places
 
 
 def _e(actual: str, forecast: str) -> Column:
@@ -111,19 +113,20 @@ def acceptance(skill_col: Column, low_col: Column, threshold: float) -> tuple[Co
 
 
 def diagnostics(rows: DataFrame, by: list[str], order: str, actual: str, forecast: str, sky: str) -> DataFrame:
-    """Distribution of a forecast, its bias, ramps and night values, by series."""
-    w = Window.partitionBy(*by).orderBy(order)
-    r = rows.where(F.col(actual).isNotNull() & F.col(forecast).isNotNull()).withColumn("__ramp", F.abs(F.col(forecast) - F.lag(forecast).over(w)))
+    """Distribution of a forecast, its bias, ramps and night values, by series (rows of which are known; the order is unique)."""
+    known = rows.where(F.col(actual).isNotNull() & F.col(forecast).isNotNull())
+    r = by_places(known, by, order, lambda w: {"__ramp": F.abs(F.col(forecast) - F.lag(forecast).over(w))}, back=1)
     f = F.col(forecast)
-    p = lambda c, q: F.percentile(c, F.lit(q))
     share = lambda c: F.avg(c.cast("double"))
-    return r.groupBy(*by).agg(
+    out = r.groupBy(*by).agg(
         F.count("*").alias("count"), F.min(f).alias("min"), F.max(f).alias("max"), F.avg(f).alias("mean"), F.stddev_pop(f).alias("std"),
-        *[p(f, q).alias(f"p{round(q * 100):02d}") for q in (0.01, 0.05, 0.5, 0.95, 0.99)],
         F.sum(f).alias("sum"), share(F.abs(f) <= 1e-9).alias("zero_share"), mbe(actual, forecast).alias("bias_mean"), F.sum(_e(actual, forecast)).alias("bias_sum"),
-        F.corr(actual, forecast).alias("corr"), F.sum((f < 0).cast("long")).alias("negatives"), F.avg("__ramp").alias("ramp_mean"), p(F.col("__ramp"), 0.95).alias("ramp_p95"),
+        F.corr(actual, forecast).alias("corr"), F.sum((f < 0).cast("long")).alias("negatives"), F.avg("__ramp").alias("ramp_mean"),
         F.avg(F.when(F.col(sky) <= 1, (f > 1e-6).cast("double"))).alias("night_positive_share"),
     )
+    own = percentiles(r, by, f, {f"p{round(q * 100):02d}": q for q in (0.01, 0.05, 0.5, 0.95, 0.99)})
+    ramps = percentiles(r, by, F.col("__ramp"), {"ramp_p95": 0.95})  # a series of one row has no ramp
+    return out.join(own, by).join(ramps, by, "left")
 
 
 def interval_diagnostics(actual: str, low: str, high: str) -> list[Column]:

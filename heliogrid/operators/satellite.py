@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scans import WIDTH, known_around
+
 THERMAL_BASE, THERMAL_SPAN = 180.0, 150.0
 
 
@@ -160,11 +162,18 @@ def project(means: Column, matrix: list[list[float]]) -> Column:
     return F.array(*[dot(w) for w in columns])
 
 
-def nearest_axis(target: DataFrame, source: DataFrame, value: str) -> DataFrame:
-    """(t, s): for each target axis index the source index whose mean coordinate is nearest, the lowest of equals.
-    Axes are as long as an image's side, so their join is bounded and broadcast."""
-    a, b = target.select(F.col("k").alias("t"), F.col(value).alias("x")), source.select(F.col("k").alias("s"), F.col(value).alias("y"))
-    return a.crossJoin(F.broadcast(b)).groupBy("t").agg(F.min_by("s", F.struct(F.abs(F.col("x") - F.col("y")), "s")).alias("s"))
+def nearest_axis(target: DataFrame, source: DataFrame, value: str, width: float = WIDTH) -> DataFrame:
+    """(t, s): for each target axis index the source index whose mean coordinate is nearest, the lowest of equals;
+    NULL for a target without a coordinate. One sorted scan over both axes finds the source coordinates next to a
+    target on either side, so no pairs are made; axes are cut in stretches of `width` of the coordinate."""
+    own = F.struct(F.col("y"), F.col("s"))
+    y = source.select(F.col("k").alias("s"), F.col(value).cast("double").alias("y")).where("y is not null").groupBy("y").agg(F.min("s").alias("s"))
+    x = target.select(F.col("k").alias("t"), F.col(value).cast("double").alias("at"), F.lit(True).alias("asks"))
+    both = x.unionByName(y.select(F.col("y").alias("at"), own.alias("own")), allowMissingColumns=True).withColumn("all", F.lit(0))
+    near = known_around(both, ["all"], "at", {"below": F.col("own")}, {"above": F.col("own")}, width).where("asks and at is not null")
+    off = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col("at") - F.col(f"{c}.y")).alias("d"), F.col(f"{c}.s").alias("s")))
+    found = near.select("t", F.least(off("below"), off("above")).getField("s").alias("s"))
+    return found.unionByName(x.where("at is null").select("t", F.lit(None).cast(found.schema["s"].dataType).alias("s")))
 
 
 def fill_missing(frame: DataFrame, defaults: dict[str, float]) -> DataFrame:

@@ -158,14 +158,26 @@ def _blocks(each: DataFrame, by: list[str], names: list[str], length: int) -> Da
 
 
 def draws(blocks: DataFrame, total: int, replicates: int, choose: Column) -> DataFrame:
-    """(replicate, place, block): as many draws for each replicate as give `total` rows. choose is the
-    block as a function of replicate, place and k, the number of blocks."""
-    k, least = blocks.agg(F.count("*"), F.min("n")).first()
-    if not k:
-        return blocks.sparkSession.createDataFrame([], "replicate long, place long, block long")
-    most = -(-total // max(1, least))
-    table = blocks.sparkSession.range(replicates).select(F.col("id").alias("replicate"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(most - 1).cast("long"))).alias("place"))
-    return table.withColumn("k", F.lit(k)).select("replicate", "place", choose.cast("long").alias("block"))
+    """(replicate, place, block, n, ...): of blocks (block, n, ...), as many draws for each replicate as give `total`
+    rows, and few more. choose is the block as a function of replicate, place and k, the number of blocks.
+
+    As many blocks are drawn as their mean size asks for, and those replicates that still lack rows draw again for
+    what they lack, until all have enough. A block far smaller than the others costs nothing.
+    """
+    spark = blocks.sparkSession
+    k, mean = blocks.agg(F.count("*"), F.avg("n")).first()
+    left = spark.range(replicates if k else 0).select(F.col("id").alias("replicate"), F.lit(0).cast("long").alias("next"), F.lit(total).cast("long").alias("need"))
+    out = None
+    while True:
+        more = F.ceil(F.col("need") / F.lit(float(mean or 1)))
+        more = (more + F.floor(F.sqrt(more) / 2) + 1).cast("long")  # a little more, as sizes vary
+        table = left.withColumn("place", F.explode(F.sequence("next", F.col("next") + more - 1))).withColumn("k", F.lit(k))
+        drawn = settled(table.select("replicate", "place", choose.cast("long").alias("block")).join(blocks, "block"))
+        out = drawn if out is None else out.unionByName(drawn)
+        got = drawn.groupBy("replicate").agg(F.sum("n").alias("__n"), F.count("*").alias("__k"))
+        left = settled(left.join(got, "replicate").select("replicate", (F.col("next") + F.col("__k")).alias("next"), (F.col("need") - F.col("__n")).alias("need")).where("need > 0"))
+        if left.isEmpty():
+            return out
 
 
 def moving_block_bootstrap(rows: DataFrame, order: list[str], within: list[str], sums: dict[str, Column], length: int, replicates: int, seed: int = 42, choose: Column | None = None) -> DataFrame:
@@ -184,9 +196,8 @@ def moving_block_bootstrap(rows: DataFrame, order: list[str], within: list[str],
     total, k = each.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     size = min(length, k)
     pick = choose if choose is not None else F.pmod(F.xxhash64(F.lit(seed), "replicate", "place"), F.col("k"))
-    drawn = draws(blocks, total, replicates, pick).join(blocks, "block")
-    before = F.coalesce(F.sum("n").over(over(["replicate"], "place").rowsBetween(BEFORE, -1)), F.lit(0))
-    drawn = settled(drawn.withColumn("need", F.lit(total) - before).where("need > 0"))
+    drawn = running_sums(draws(blocks, total, replicates, pick), ["replicate"], "place", {"__upto": F.col("n")})
+    drawn = settled(drawn.withColumn("need", F.lit(total) - F.col("__upto") + F.col("n")).where("need > 0").drop("__upto"))
     whole = drawn.where("n <= need").select("replicate", *names)
 
     cut = drawn.where("n > need").select("replicate", "block", "need")  # at most one a replicate

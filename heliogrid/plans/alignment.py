@@ -14,9 +14,10 @@ from .registry import query
 START = 1893408  # the slot of 2024-01-01
 
 
-@query("SELECT p.site_id, p.time_idx, p.energy, w.value FROM production p LEFT JOIN (SELECT variable AS site_id, issue * 4 + step * 4 AS time_idx, value FROM nwp WHERE step < 6) w USING (site_id, time_idx)", ("production", "nwp"))
+@query("SELECT p.site_id, p.time_idx, p.energy, w.value FROM production p LEFT JOIN (SELECT variable AS site_id, (issue + step) * 4 AS time_idx, arg_max(value, issue) AS value FROM nwp GROUP BY ALL) w USING (site_id, time_idx)", ("production", "nwp"))
 def J01_attach_weather(spark, d):
-    w = A.nwp(spark, d).where("step < 6").select(F.col("variable").alias("site_id"), (F.col("issue") * 4 + F.col("step") * 4).alias("time_idx"), "value")
+    """The newest run's value for each target."""
+    w = A.nwp(spark, d).groupBy(F.col("variable").alias("site_id"), ((F.col("issue") + F.col("step")) * 4).alias("time_idx")).agg(F.max_by("value", "issue").alias("value"))
     return weather.attach(A.production(spark, d).drop("cf"), w, ["site_id", "time_idx"])
 
 

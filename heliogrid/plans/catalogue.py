@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as fx
 from ..operators import catalog, checks, grid, joins, windows
 from ..session import settled, shared_folder
-from ..sources import io
+from ..sources import files, io
 from . import adapters as A
 from .production import CANONICAL, _canonical, rounded
 from .registry import query
@@ -120,6 +120,19 @@ def S14_compact_parts(spark, d):
     return catalog.compact(io.read_parts(spark, folder).drop("chunk_id"), "o_custkey", "o_orderkey")
 
 
+@query("SELECT k::VARCHAR AS chunk, count(DISTINCT o_custkey) AS rows, 'read' AS state FROM (SELECT o_orderkey % 3 AS k, o_custkey FROM orders) GROUP BY k UNION ALL SELECT 'broken', 0, 'unreadable'")
+def S14_unreadable_parts(spark, d):
+    """Parts of orders, and one that isn't Parquet: it is skipped, and reported."""
+    folder = shared_folder(spark, "parts")
+    o = A.table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
+    for k in range(3):
+        io.append_part(o.where(F.col("o_orderkey") % 3 == k), folder, str(k), "o_custkey", "o_orderkey")
+    o.limit(1).select(F.col("o_orderkey").cast("string")).coalesce(1).write.text(f"{folder}/chunk_id=broken", lineSep="\n")
+    files.rename_suffix(spark, f"{folder}/chunk_id=broken", ".txt", ".parquet")
+    report = io.part_report(spark, folder).where("state <> 'empty'").withColumn("chunk", F.regexp_extract("path", "chunk_id=([^/]+)", 1))
+    return report.groupBy("chunk", "state").agg(F.sum("rows").alias("rows")).select("chunk", "rows", "state")
+
+
 @query("SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
 def S15_purge(spark, d):
     gone = A.table(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
@@ -136,14 +149,18 @@ def S16_manifest_json(spark, d):
     return both.select("product_id", "kind", F.col("kind").eqNullSafe(F.col("viewed")).alias("same"))
 
 
-@query(CANONICAL + "SELECT site_id, count(*) AS rows, count(capacity_factor) AS observed FROM c GROUP BY site_id", ("pv_user",))
+@query(CANONICAL + "SELECT site_id, count(*) AS rows, count(capacity_factor) AS observed, true AS as_listed FROM c GROUP BY site_id", ("pv_user",))
 def S06_M15_canonical_roundtrip(spark, d):
     from ..operators.grid import manifest
 
     folder, c = shared_folder(spark, "canonical"), _canonical(spark, d)
     io.write_canonical(c, manifest(c), folder)
-    data, _ = io.read_canonical(spark, folder)
-    return data.groupBy(F.col("site_id").cast("long").alias("site_id")).agg(F.count("*").alias("rows"), F.count("capacity_factor").alias("observed"))
+    data, listed = io.read_canonical(spark, folder)
+    site = F.col("site_id").cast("long").alias("site_id")
+    found = data.groupBy(site).agg(F.count("*").alias("rows"), F.count("capacity_factor").alias("observed"))
+    listed = listed.where("site_id IS NOT NULL").select(site, F.struct("rows", "observed").alias("listed"))
+    same = F.struct("rows", "observed").eqNullSafe(F.struct("listed.rows", "listed.observed"))
+    return found.join(listed, "site_id", "full_outer").select("site_id", "rows", "observed", same.alias("as_listed"))
 
 
 @query("SELECT site_id, count(*) AS rows, round(sum(energy), 4) AS energy FROM pv GROUP BY site_id", ("pv",))

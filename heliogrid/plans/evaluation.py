@@ -10,7 +10,7 @@ from ..functions.columns import QUANTILES, quantile_name
 from ..operators import baselines, catalog, forecast, joins, metrics, windows
 from ..session import settled, shared_folder
 from ..sources import io
-from ..sources.files import exists
+from ..sources.runs import FoldRun
 from . import adapters as A
 from .production import r6, rounded
 from .registry import query
@@ -221,22 +221,29 @@ def _loss_sums():
     return {"sse": e * e, "sae": F.abs(e), "se": e, "ref": r * r}
 
 
-@query("""
-WITH d AS (""" + DAY + """), i AS (SELECT fold, issue_idx, count(*) AS n, row_number() OVER (ORDER BY fold, issue_idx) - 1 AS pos FROM d GROUP BY fold, issue_idx),
+#: Common table expressions of the replicates' metrics m, and of their intervals ci.
+BOOTSTRAP = """
+d AS (""" + DAY + """), i AS (SELECT fold, issue_idx, count(*) AS n, row_number() OVER (ORDER BY fold, issue_idx) - 1 AS pos FROM d GROUP BY fold, issue_idx),
 s AS (SELECT count(*) AS issues, sum(n) AS total, least(15, count(*)) AS size FROM i),
 b AS (SELECT pos AS block, sum(n) OVER (ORDER BY pos ROWS BETWEEN CURRENT ROW AND 14 FOLLOWING) AS n FROM i QUALIFY pos <= (SELECT issues - size FROM s)),
 w AS (SELECT r AS replicate, p AS place, (r * 31 + p * 17 + r * p * 7) % (SELECT count(*) FROM b) AS block FROM range(0, 20) t(r), range(0, (SELECT ceil(total / (SELECT min(n) FROM b))::BIGINT FROM s)) u(p)),
 c AS (SELECT w.*, coalesce(sum(b.n) OVER (PARTITION BY replicate ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM w JOIN b USING (block)),
 x AS (SELECT c.replicate, c.place, i.pos, d.* FROM c JOIN i ON i.pos BETWEEN c.block AND c.block + (SELECT size FROM s) - 1 JOIN d ON d.fold = i.fold AND d.issue_idx = i.issue_idx WHERE c.before < (SELECT total FROM s)),
 y AS (SELECT *, row_number() OVER (PARTITION BY replicate ORDER BY place, pos, site_id, horizon) AS k FROM x),
-m AS (SELECT replicate, """ + _summary("point").replace("count(*) AS count, ", "") + """ FROM y WHERE k <= (SELECT total FROM s) GROUP BY replicate)
-SELECT metric, round(quantile_cont(v, 0.025), 7) AS ci_low, round(quantile_cont(v, 0.975), 7) AS ci_high FROM (UNPIVOT (SELECT mse, rmse, mae, mbe, skill FROM m) ON mse, rmse, mae, mbe, skill INTO NAME metric VALUE v) GROUP BY metric
-""", ("forecasts",))
+m AS (SELECT replicate, """ + _summary("point").replace("count(*) AS count, ", "") + """ FROM y WHERE k <= (SELECT total FROM s) GROUP BY replicate),
+ci AS (SELECT metric, round(quantile_cont(v, 0.025), 7) AS ci_low, round(quantile_cont(v, 0.975), 7) AS ci_high FROM (UNPIVOT (SELECT mse, rmse, mae, mbe, skill FROM m) ON mse, rmse, mae, mbe, skill INTO NAME metric VALUE v) GROUP BY metric)
+"""
+
+
+@query(f"WITH {BOOTSTRAP} SELECT * FROM ci", ("forecasts",))
 def W18_block_bootstrap(spark, d):
     """Draws by a formula that SQL has as well; `choose` is left out for draws by a hash."""
+    return rounded(_intervals(_replicates(_day(spark, d))), places=7)
+
+
+def _replicates(rows):
     choose = F.expr("(replicate * 31 + place * 17 + replicate * place * 7) % k")
-    b = windows.moving_block_bootstrap(_day(spark, d), ["fold", "issue_idx"], ["site_id", "horizon"], _loss_sums(), 15, 20, choose=choose)
-    return rounded(_intervals(b), places=7)
+    return windows.moving_block_bootstrap(rows, ["fold", "issue_idx"], ["site_id", "horizon"], _loss_sums(), 15, 20, choose=choose)
 
 
 @query("""
@@ -280,7 +287,7 @@ def F18_expanding_folds(spark, d):
 @query("SELECT o_custkey, greatest(1, floor(quantile_cont(o_orderkey % 37, 0.5) + 0.5e0))::BIGINT AS epochs FROM orders GROUP BY o_custkey")
 def A29_final_epochs(spark, d):
     o = A.table(spark, d, "orders").withColumn("epoch", F.col("o_orderkey") % 37)
-    return o.groupBy("o_custkey").agg(forecast.final_epochs("epoch").alias("epochs"))
+    return forecast.final_epochs(o, ["o_custkey"], "epoch")
 
 
 @query("SELECT p_partkey, CASE WHEN p_partkey % 5 <> 0 THEN p_size::BIGINT END AS epoch, p_partkey / 100 AS val_loss FROM part")
@@ -359,26 +366,35 @@ def M06_transfer_vs_scratch(spark, d):
     return scored.groupBy(*by, "part").agg(F.count("*").alias("count"), metrics.mse("target", "point").alias("transfer_mse"), metrics.mse("target", "scratch").alias("scratch_mse"), metrics.mse("target", "source_point").alias("source_mse"), metrics.mean_pinball("target").alias("pinball"))
 
 
-def rolling_evaluation(rows, folder: str, identity: str):
-    """Evaluates the folds of rows that the state in folder doesn't list, writes their metrics by fold and
-    then lists them. A state of another identity is an error."""
-    spark, state = rows.sparkSession, f"{folder}/state"
-    if exists(spark, state):
-        rows = rows.join(io.finished_folds(spark, state, identity), "fold", "left_anti")
-    scored = settled(rounded(rows.groupBy("fold").agg(*metrics.summary("actual", "point", "smart")), places=9))
-    scored.write.mode("append").partitionBy("fold").parquet(f"{folder}/metrics")
-    io.record_folds(scored, state, identity)
-    return scored
+def _rolling(spark, d):
+    """(run, folds by run): a run that ends before the last fold; one that writes the last fold, badly, and breaks off
+    before it is committed; and one that goes on from the state that these left."""
+    f, folder = _day(spark, d), shared_folder(spark, "rolling")
+    identity = io.provenance(f, KEY) + ":smart:v2"  # data set, configuration, schema
+    last = f.agg(F.max("fold")).first()[0]
+    first = FoldRun(spark, folder, identity).evaluate(f.where(F.col("fold") < last))
+    FoldRun(spark, folder, identity).write(f.where(F.col("fold") == last).withColumn("point", F.lit(0.0)))
+    resumed = FoldRun(spark, folder, identity)
+    second = resumed.evaluate(f)
+    return resumed, first, second
 
 
 @query("SELECT fold, CASE WHEN fold < (SELECT max(fold) FROM forecasts WHERE elev > 0 AND actual IS NOT NULL) THEN 1 ELSE 2 END AS run, " + _summary("point") + " FROM (" + DAY + ") GROUP BY fold", ("forecasts",))
 def M07_resumed_rolling_evaluation(spark, d):
-    """A run that ends before the last fold, and one that goes on from the state it left."""
-    f, folder = _day(spark, d), shared_folder(spark, "rolling")
-    identity = io.provenance(f, KEY) + ":smart:v2"  # data set, configuration, schema
-    last = f.agg(F.max("fold")).first()[0]
-    runs = [rolling_evaluation(rows, folder, identity).select("fold", F.lit(n).alias("run")) for n, rows in ((1, f.where(F.col("fold") < last)), (2, f))]
-    return spark.read.parquet(f"{folder}/metrics").join(runs[0].unionByName(runs[1]), "fold").withColumn("fold", F.col("fold").cast("long"))
+    """Metrics of each fold from the stored predictions, and the run that finished it."""
+    run, first, second = _rolling(spark, d)
+    by = spark.createDataFrame([(k, n) for n, folds in ((1, first), (2, second)) for k in folds], "fold long, run int")
+    scored = rounded(run.predictions().groupBy("fold").agg(*metrics.summary("actual", "point", "smart")), places=9)
+    return scored.join(F.broadcast(by), "fold")
+
+
+@query(f"WITH {BOOTSTRAP}, p AS (SELECT {_summary('point').replace('count(*) AS count, ', '')} FROM d), v AS (UNPIVOT p ON mse, rmse, mae, mbe, skill INTO NAME metric VALUE value) SELECT metric, value, ci_low, ci_high FROM v JOIN ci USING (metric)", ("forecasts",))
+def M07_pooled_intervals(spark, d):
+    """Pooled metrics over the stored folds of all runs, with the intervals of a block bootstrap."""
+    run, _, _ = _rolling(spark, d)
+    stored = run.predictions()
+    pooled = rounded(stored.agg(*metrics.summary("actual", "point", "smart")).drop("count"), places=9)
+    return pooled.unpivot([], pooled.columns, "metric", "value").join(rounded(_intervals(_replicates(stored)), places=7), "metric")
 
 
 KEY = ["site_id", "issue_idx", "time_idx", "horizon", "fold"]
@@ -417,6 +433,23 @@ def M13_plan_comparison(spark, d):
     return rounded(metrics.point_metrics(s, ["split"], "cf", ["plan"], "smart").drop("model"), places=9)
 
 
+SCALED = [f"greatest(least(plan * {0.6 + 0.8 * q:.3f}e0, 1e0), 0e0)" for q in QUANTILES]
+LOSS = [f"avg(greatest({q}e0 * (actual - {x}), ({q}e0 - 1e0) * (actual - {x})))" for q, x in zip(QUANTILES, SCALED)]
+
+
+@query("""
+WITH k AS (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY time_idx) AS k, count(*) OVER (PARTITION BY site_id) AS n, lag(cf, 96) OVER (PARTITION BY site_id ORDER BY time_idx) AS plan FROM sky),
+s AS (SELECT CASE WHEN k <= floor(n * 0.6e0) THEN 'train' WHEN k <= floor(n * 0.6e0) + floor(n * 0.2e0) THEN 'validation' ELSE 'test' END AS split, cf AS actual, plan FROM k)
+SELECT split, count(*) AS count, """ + ", ".join(f"round({x}, 9) AS {quantile_name(q)}" for q, x in zip(QUANTILES, LOSS)) + ", round((" + " + ".join(LOSS) + ") / 7e0, 9) AS pinball FROM s WHERE actual IS NOT NULL AND plan IS NOT NULL GROUP BY split", ("sky",))
+def M13_plan_quantile_loss(spark, d):
+    """The comparison's quantile loss: of a band about the plan, each quantile's and the mean, by split."""
+    s = A.sky(spark, d).withColumn("split", windows.split_by_rank(["site_id"], "time_idx", 0.6, 0.2))
+    s = windows.lagged(s, ["cf"], 96, ["site_id"], "time_idx").withColumn("plan", F.col("cf_lag_96")).where("cf IS NOT NULL AND plan IS NOT NULL")
+    s = s.withColumns({quantile_name(q): fx.clip(F.col("plan") * float(f"{0.6 + 0.8 * q:.3f}"), 0, 1) for q in QUANTILES})
+    each = [F.avg(fx.pinball(q, quantile_name(q), "cf")).alias(quantile_name(q)) for q in QUANTILES]
+    return rounded(s.groupBy("split").agg(F.count("*").alias("count"), *each, metrics.mean_pinball("cf").alias("pinball")), places=9)
+
+
 LONG_PLAN = "p AS (SELECT site_id, time_idx, cf AS actual, cs, lag(cf, 96) OVER (PARTITION BY site_id ORDER BY time_idx) AS plan FROM sky), r AS (SELECT *, abs(plan - lag(plan) OVER (PARTITION BY site_id ORDER BY time_idx)) AS ramp FROM p WHERE actual IS NOT NULL AND plan IS NOT NULL)"
 
 

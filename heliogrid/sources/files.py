@@ -42,6 +42,14 @@ def move(spark: SparkSession, source: str, destination: str) -> None:
         raise OSError(f"{source} could not be moved to {destination}")
 
 
+def rename_suffix(spark: SparkSession, folder: str, old: str, new: str) -> None:
+    """Renames the files of a folder that end in old."""
+    for name in names(spark, folder):
+        if name.endswith(old):
+            fs, where = _at(spark, f"{folder}/{name}")
+            fs.rename(where, _at(spark, f"{folder}/{name.removesuffix(old)}{new}")[1])
+
+
 class State:
     """A folder's state as a small JSON document in numbered files, of which the last one counts.
 

@@ -65,10 +65,28 @@ def append_part(rows: DataFrame, path: str, chunk_id: str, key: str, order: str)
 
 
 def read_parts(spark: SparkSession, path: str) -> DataFrame:
-    """All parts; files that can't be read are skipped."""
+    """All parts; files that can't be read are skipped, and listed by `part_report`."""
     return spark.read.option("ignoreCorruptFiles", True).option("mergeSchema", True).parquet(path)
 
 
+def part_report(spark: SparkSession, path: str) -> DataFrame:
+    """(path, bytes, rows, state) of each file of the parts: `read`, `empty`, or `unreadable` (skipped by read_parts).
+
+    Rows are counted by the file that they come from. Only of files that gave no row the content is read: a
+    Parquet file begins and ends with the same four bytes. A file of no bytes has nothing to lose; Spark doesn't list it.
+    """
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).load(path)
+    counted = read_parts(spark, path).groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count("*").alias("rows"))
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "/")  # noqa: E731  the two readers write local paths differently
+    files = listed.select(plain("path").alias("path"), F.col("length").alias("bytes")).join(counted.withColumn("path", plain("path")), "path", "left")
+    silent = files.where("rows is null").select("path")
+    magic = F.lit(bytearray(b"PAR1"))
+    whole = (F.col("length") >= 12) & (F.substring("content", 1, 4) == magic) & (F.expr("substring(content, -4, 4)") == magic)
+    looked = listed.withColumn("path", plain("path")).join(silent, "path", "left_semi").select("path", whole.alias("whole"))
+    state = F.when(F.col("rows").isNotNull(), "read").when(F.col("whole"), "empty").otherwise("unreadable")
+    return files.join(looked, "path", "left").select("path", "bytes", F.coalesce("rows", F.lit(0)).alias("rows"), state.alias("state"))
+
+
 def write_predictions(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").partitionBy("fold").option("header", True).csv(path)
 
@@ -77,13 +95,6 @@ def read_predictions(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.option("header", True).schema(schema).csv(path)
 
 
-def finished_folds(spark: SparkSession, state: str, identity: str) -> DataFrame:
-    """Folds that are done; a state of another data set, configuration or schema is an error."""
-    rows = spark.read.schema("fold long, identity string").json(state)
-    same = F.when(F.col("identity") == identity, True).otherwise(F.raise_error(F.lit("the run state belongs to another run")).cast("boolean"))
-    return rows.where(same).select("fold").distinct()
-
-
 def provenance(rows: DataFrame, columns: list[str]) -> str:
     """A digest of rows that doesn't depend on their order: the sum of 60 bits of each row's SHA-256."""
     line = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in columns]), 256)
@@ -98,11 +109,6 @@ def write_new(rows: DataFrame, path: str, source: str) -> None:
     rows.write.mode("error").parquet(path)
 
 
-def record_folds(folds: DataFrame, state: str, identity: str) -> None:
-    """Appends finished folds (fold) to a run's state, after their results are written."""
-    folds.select("fold", F.lit(identity).alias("identity")).write.mode("append").json(state)
-
-
 def write_patches(patches: DataFrame, path: str) -> None:
     """Arrays and their metadata struct, by day."""
     patches.write.mode("append").partitionBy("day").parquet(path)

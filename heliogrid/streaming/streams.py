@@ -43,22 +43,35 @@ def causal_candidates(slots: DataFrame, products: DataFrame, by: str, slot_at: s
     return s.join(p, (F.col(f"s.{by}") == F.col(f"p.{by}")) & near)
 
 
-def lifecycle(stream: DataFrame, key: str, order: str, outcome: str) -> DataFrame:
-    """(key, status, attempts) whenever a product's state changes: the batch operator of this name, with the state kept by Spark."""
+def lifecycle(stream: DataFrame, key: str, order: str, outcome: str, at: str = "at", delay: str = "30 days", retention: str = "90 days", idle: str = "365 days") -> DataFrame:
+    """(key, status, attempts) whenever a product's state changes: the batch operator of this name, with the state kept by Spark.
+
+    Outcomes may come `delay` late by their time `at`. A product that has ended is forgotten once the watermark is
+    `retention` past its last outcome, any other `idle` past it, so the state is bounded by what happens in these
+    times. Until then nothing reopens a product that has ended; a forgotten one begins anew.
+    """
+    done = ("processed", "unavailable_source")
+    kept, waits = (int(pd.Timedelta(x).total_seconds() * 1000) for x in (retention, idle))
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        status, attempts = state.get if state.exists else (None, 0)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        status, attempts = before = tuple(state.get) if state.exists else (None, 0)
         rows = pd.concat(list(batches)).sort_values(order)
         for result in rows[outcome]:
-            if status in ("processed", "unavailable_source"):
+            if status in done:
                 break
             attempts += 1
             status = "processed" if result == "ok" else "unavailable_source" if result == "empty" and attempts > 1 else "failed"
+        last = max(int(rows["__ms"].max()), state.getCurrentWatermarkMs())
         state.update((status, attempts))
-        yield pd.DataFrame({key: [k[0]], "status": [status], "attempts": [attempts]})
+        state.setTimeoutTimestamp(last + 1 + (kept if status in done else waits))
+        if (status, attempts) != before:
+            yield pd.DataFrame({key: [k[0]], "status": [status], "attempts": [attempts]})
 
-    known = stream.where(F.col(outcome).isin("ok", "empty", "error")).select(key, order, outcome)
-    return known.groupBy(key).applyInPandasWithState(step, f"{key} long, status string, attempts long", "status string, attempts long", "update", GroupStateTimeout.NoTimeout)
+    known = stream.withWatermark(at, delay).where(F.col(outcome).isin("ok", "empty", "error")).select(key, order, outcome, at, F.unix_millis(at).alias("__ms"))
+    return known.groupBy(key).applyInPandasWithState(step, f"{key} long, status string, attempts long", "status string, attempts long", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
