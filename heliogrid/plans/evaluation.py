@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as fx
 from ..functions.columns import QUANTILES, quantile_name
-from ..operators import baselines, catalog, forecast, joins, metrics, windows
+from ..operators import baselines, catalog, forecast, joins, metrics, trees, windows
 from ..session import settled, shared_folder
 from ..sources import io
 from ..sources.runs import FoldRun
@@ -353,6 +353,20 @@ def M04_M05_pooled_forecaster(spark, d):
     return forecast.predict(model, rows.where("valid")).select("site_id", "issue_idx", "target_idx", "horizon", "target", "point", *[quantile_name(q) for q in QUANTILES])
 
 
+@query()
+def M04_boosted_forecaster(spark, d):
+    """Boosted trees beside the linear heads, fitted on the same rows: errors and quantile loss on the days held out, by
+    horizon, of the source sites and of the site never seen."""
+    linear, rows, features = _pretrained(spark, d)
+    train = rows.where("site_id <> 'view' AND NOT valid")
+    model = trees.fit_trees(train, ["horizon"], features, "target", QUANTILES, trees=12, weight="weight")
+    held = forecast.predict(linear, rows.where("valid AND weight > 0")).withColumnRenamed("point", "linear")
+    names = [quantile_name(q) for q in QUANTILES]
+    held = held.withColumn("linear_pinball", sum((fx.pinball(q, n, "target") for q, n in zip(QUANTILES, names)), F.lit(0.0)) / len(QUANTILES)).drop(*names)
+    scored = trees.predict_trees(model, held).withColumn("seen", F.col("site_id") != "view")
+    return scored.groupBy("horizon", "seen").agg(F.count("*").alias("count"), metrics.mse("target", "point").alias("trees_mse"), metrics.mse("target", "linear").alias("linear_mse"), metrics.mean_pinball("target").alias("trees_pinball"), F.avg("linear_pinball").alias("linear_pinball"))
+
+
 @query()
 def M06_transfer_vs_scratch(spark, d):
     """On each fold of the target site: the source model with a fitted residual, against one fitted on the fold alone."""
