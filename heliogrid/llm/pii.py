@@ -98,6 +98,16 @@ def terms(text: bytes):
     return h, s, e, kind
 
 
+def valid(raw: bytes | None) -> tuple[str, bytes]:
+    """A text and its UTF-8 bytes; what isn't valid UTF-8 becomes U+FFFD in both, a null is empty."""
+    raw = raw or b""
+    try:
+        return raw.decode(), raw
+    except UnicodeDecodeError:
+        text = raw.decode("utf-8", "replace")
+        return text, text.encode()
+
+
 def _outside(s: np.ndarray, e: np.ndarray, spans) -> np.ndarray:
     free = np.ones(len(s), bool)
     for _, a, b in spans:
@@ -114,15 +124,15 @@ def weighted(docs: DataFrame, text_col: str, max_rows: int) -> DataFrame:
     return keyed.join(F.broadcast(copies) if few else copies, ["key", "key2"], "left").select("text", (F.lit(1.0) / F.coalesce("n", F.lit(1))).alias("weight"))
 
 
-def contexts(texts: DataFrame, window: int) -> DataFrame:
+def contexts(texts: DataFrame, window: int | None) -> DataFrame:
     """(entity, term, weight) of texts (text, weight): for each entity of a text a row without a term,
-    and one for each term within `window` terms of it and for each of their classes."""
+    and one for each term of the text, or within `window` terms of it, and for each of their classes."""
 
     def run(batches):
         for batch in slices(batches):
             es, ts, ws = [], [], []
             for raw, weight in zip(binaries(batch.column(0)), batch.column(1).to_pylist()):
-                text = (raw or b"").decode()
+                text, raw = valid(raw)
                 spans = base_spans(text)
                 if not spans:
                     continue
@@ -132,7 +142,7 @@ def contexts(texts: DataFrame, window: int) -> DataFrame:
                 near: dict[int, set] = {}
                 for k, a, b in spans:
                     at = int(np.searchsorted(s, a))
-                    lo, hi = max(0, at - window), at + window
+                    lo, hi = (0, len(s)) if window is None else (max(0, at - window), at + window)
                     near.setdefault(entity(k, text[a:b]), set()).update(h[lo:hi].tolist(), kind[lo:hi].tolist())
                 for k, found in near.items():
                     es += [k] * (len(found) + 1)
@@ -156,7 +166,7 @@ def term_frequency(texts: DataFrame, held: int = 1 << 20) -> DataFrame:
         for batch in slices(batches):
             for raw, weight in zip(binaries(batch.column(0)), batch.column(1).to_pylist()):
                 if raw:
-                    h, _, _, kind = terms(raw)
+                    h, _, _, kind = terms(valid(raw)[1])
                     found = np.unique(np.concatenate([h, _CLASS_KEYS[kind]]))
                     keys.append(found)
                     weights.append(np.full(len(found), weight))
@@ -174,7 +184,7 @@ def term_frequency(texts: DataFrame, held: int = 1 << 20) -> DataFrame:
     return texts.mapInArrow(run, "term long, n double").groupBy("term").agg(F.round(F.sum("n")).alias("n"))
 
 
-def disclosing_terms(docs: DataFrame, text_col: str, window: int, min_texts: int, threshold: float, max_rows: int) -> DataFrame:
+def disclosing_terms(docs: DataFrame, text_col: str, window: int | None, min_texts: int, threshold: float, max_rows: int, salts: int = 64) -> DataFrame:
     """(term, disclosure): the largest PMI(entity, term) / IC(entity) of each term (or class) at or above the threshold."""
     texts = weighted(docs, text_col, max_rows)
     pairs = contexts(texts, window).groupBy("entity", "term").agg(F.round(F.sum("weight")).alias("both"))
@@ -185,7 +195,12 @@ def disclosing_terms(docs: DataFrame, text_col: str, window: int, min_texts: int
     ic = F.log2(F.lit(n) / F.col("n_entity"))
     pmi = F.log2(F.lit(n) * F.col("both") / (F.col("n") * F.col("n_entity")))
     # an entity that every text has discloses nothing
-    known = near.join(entities, "entity").join(term_frequency(texts), "term").withColumn("disclosure", F.when(ic > 0, pmi / ic))
+    # every entity has the same few classes near it: their rows are dealt over salts, those of terms are not
+    classes = F.col("term").isin(*_CLASS_KEYS.view(np.int64).tolist())
+    near = near.withColumn("salt", F.when(classes, F.pmod(F.xxhash64("entity"), F.lit(salts))).otherwise(0).cast("int"))
+    every = F.explode(F.when(classes, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))
+    known = near.join(entities, "entity").join(term_frequency(texts).withColumn("salt", every), ["term", "salt"])
+    known = known.withColumn("disclosure", F.when(ic > 0, pmi / ic))
     return settle(known.groupBy("term").agg(F.max("disclosure").alias("disclosure")).where(F.col("disclosure") >= threshold))
 
 
@@ -206,7 +221,7 @@ def _own_terms(docs: DataFrame, id_col: str, text_col: str, listed: DataFrame, s
         for batch in slices(batches):
             keys, keys2, ts = [], [], [np.zeros(0, U64)]
             for key, key2, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), binaries(batch.column(2))):
-                h, _, _, kind = terms(raw or b"")
+                h, _, _, kind = terms(valid(raw)[1])
                 ts.append(np.unique(np.concatenate([h, _CLASS_KEYS[kind]])))
                 keys += [key] * len(ts[-1])
                 keys2 += [key2] * len(ts[-1])
@@ -226,9 +241,9 @@ def sanitise(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
-    window: int = 10,
-    min_texts: int = 2,
-    generalise_at: float = 0.95,
+    window: int | None = None,
+    min_texts: int = 1,
+    generalise_at: float = 0.9,
     remove_at: float = 0.99,
     max_rows: int = 500_000,
     salts: int = 16,
@@ -237,19 +252,21 @@ def sanitise(
 
     Spans are kind:start:end in code points, end exclusive, by kind (email, ip,
     card, phone, then generalised and removed terms) and start; base_sha256 is the
-    digest of the base ones. A term is protected if it stands within `window` terms
-    of an entity in min_texts distinct texts or more (of a single text, every term
-    would do), and discloses at least generalise_at of it; then each of its
+    digest of the base ones. A term is protected if it stands in a text with an
+    entity (with a window: within so many terms of it), in min_texts distinct texts
+    or more, and discloses at least generalise_at of it; then each of its
     occurrences outside base spans is replaced by its class, as [NAME], or taken
     out from remove_at on, or where the class itself is protected. Base spans
-    become [EMAIL], [IP], [CARD], [PHONE].
+    become [EMAIL], [IP], [CARD], [PHONE]. Of an entity in one of N texts a term in
+    n texts discloses 1 - log(n) / log(N), so rarity alone bounds what is protected.
 
     A null text counts as empty; copies of a text count as one in all statistics,
     and each row has its result. Ids play no part: null and repeated ones go
     through. Terms of one letter count too, texts of any length as a whole. Of
     entities that a term discloses, the one disclosed most counts. An empty table
     gives no rows; other columns are not read. Up to max_rows protected terms are
-    broadcast; more meet the texts in a shuffle, with the same result.
+    broadcast; more meet the texts in a shuffle, with the same result. Bytes that
+    aren't valid UTF-8 count as U+FFFD, one code point for each run that is replaced.
     """
     listed = disclosing_terms(docs, text_col, window, min_texts, generalise_at, max_rows)
     docs = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias(text_col))
@@ -270,8 +287,7 @@ def sanitise(
             out = [[] for _ in names]
             lists = batch.column(2).to_pylist() if shared is None else [None] * batch.num_rows
             for i, raw, own in zip(batch.column(0).to_pylist(), binaries(batch.column(1)), lists):
-                raw = raw or b""
-                text = raw.decode()
+                text, raw = valid(raw)
                 base = base_spans(text)
                 if shared is not None:
                     keys, disclosure = shared.value

@@ -175,6 +175,25 @@ def brute_disclosure(all_texts, window, min_texts):
     return best
 
 
+def hold_against_brute_force(rows, got, best, generalise_at):
+    """How many terms were generalised and removed, each asserted."""
+    by, some = dict(rows), Counter()
+    assert len(got) == len(rows)
+    for r in got:
+        t = by[r.doc_id] or ""
+        base = brute_pii(t)
+        want = {"generalised": [], "removed": []}
+        for word, s, e, raw in term_list(t):
+            d = best.get(word, -9)
+            if d >= generalise_at - 1e-12 and not any(a < e and s < b for _, a, b in base):
+                gone = d >= 0.99 or best.get(("class", class_of(raw)), -9) >= generalise_at
+                want["removed" if gone else "generalised"].append(f"{'removed' if gone else 'generalised'}:{s}:{e}")
+        spans = [f"{pii.KINDS[k]}:{s}:{e}" for k, s, e in base] + want["generalised"] + want["removed"]
+        assert r.spans == ",".join(spans) and (r.n_generalised, r.n_removed) == tuple(map(len, want.values()))
+        some.update({k: len(v) for k, v in want.items()})
+    return some
+
+
 def test_op5_disclosure_against_brute_force(spark, texts):
     """Which terms are generalised and removed, over sf0.001 with planted people, broadcast and shuffled."""
     rng = random.Random(3)
@@ -186,25 +205,26 @@ def test_op5_disclosure_against_brute_force(spark, texts):
     best = brute_disclosure([t for _, t in rows], 10, 2)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     for max_rows in (500_000, 0):
-        got = pii.sanitise(df, max_rows=max_rows).collect()
-        assert len(got) == len(rows)
-        by = dict(rows)
-        some = Counter()
-        for r in got:
-            t = by[r.doc_id] or ""
-            base = brute_pii(t)
-            want = {"generalised": [], "removed": []}
-            for word, s, e, raw in term_list(t):
-                d = best.get(word, -9)
-                if d >= 0.95 - 1e-12 and not any(a < e and s < b for _, a, b in base):
-                    gone = d >= 0.99 or best.get(("class", class_of(raw)), -9) >= 0.95
-                    want["removed" if gone else "generalised"].append(f"{'removed' if gone else 'generalised'}:{s}:{e}")
-            spans = [f"{pii.KINDS[k]}:{s}:{e}" for k, s, e in base] + want["generalised"] + want["removed"]
-            assert r.spans == ",".join(spans) and (r.n_generalised, r.n_removed) == tuple(map(len, want.values()))
-            some.update({k: len(v) for k, v in want.items()})
+        some = hold_against_brute_force(rows, pii.sanitise(df, window=10, min_texts=2, generalise_at=0.95, max_rows=max_rows).collect(), best, 0.95)
         assert some["removed"] > 30
 
 
+@pytest.mark.parametrize("generalise_at", [0.9, 0.8])
+def test_op5_disclosure_on_the_table_as_it_is(spark, texts, generalise_at):
+    """Nothing planted, whole texts: terms of entities that one text has."""
+    rows = list(texts.items())
+    best = brute_disclosure([t for _, t in rows], 10**9, 1)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    some = hold_against_brute_force(rows, pii.sanitise(df, generalise_at=generalise_at).collect(), best, generalise_at)
+    assert some["removed"] > 0 and (generalise_at > 0.86 or some["generalised"] > 0)
+
+
+def test_op5_reads_invalid_utf8(spark):
+    df = spark.sql("select 1L as doc_id, cast(unhex('C3A9FF20') || cast('a@b.org now' as binary) as string) as text")
+    (row,) = pii.sanitise(df).collect()
+    assert row.n_email == 1 and row.spans.startswith("email:3:10") and "[EMAIL]" in row.sanitised
+
+
 def test_op5_cases(spark):
     rows = [(i, f"über Zorro Vega writes zv@x.org today number {i}", 1) for i in range(6)]
     rows += [(100 + i, f"Quiet today the number {i} writes nothing", 1) for i in range(60)] + [(300, "a Vega of 1", 1)]
