@@ -187,12 +187,12 @@ def identify(
     of any length count as a whole. Rows of train_rows with a null id, text or
     language teach nothing. Repeated rows give repeated results; repeated training
     rows count each for IDF and once for the weights (of texts that share an id and
-    a language, the greatest). An empty table of docs gives no rows. Other columns
-    of docs are not read.
+    a language, the greatest). Bytes that aren't valid UTF-8 count as U+FFFD. An
+    empty table of docs gives no rows. Other columns of docs are not read.
     """
-    rows = train_rows.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).dropna()
+    rows = train_rows.select(F.col(id_col).cast("long").alias("id"), F.make_valid_utf8(F.col(text_col)).alias("text"), F.make_valid_utf8(F.col(lang_col)).alias("lang")).dropna()
     model = fit(rows, per_class, bits, epochs, batch)
-    picked = docs.select(F.col(id_col).cast("long").alias("id"), F.when(F.col(text_col).rlike(r"\p{L}"), F.col(text_col)).alias("text"))
+    picked = docs.select(F.col(id_col).cast("long").alias("id"), F.make_valid_utf8(F.when(F.col(text_col).rlike(r"\p{L}"), F.col(text_col))).alias("text"))
     if model is None:
         return picked.select(F.col("id").alias(id_col), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -101,7 +101,7 @@ def verify(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int
 def meetings(rows: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
     """Two sides of rows (band, rep, ...) that meet on (band, i, j): a band of n rows is dealt in
     ceil(n / block) blocks, and every two of its blocks meet under a key of their own, so that no
-    task gets more than two blocks of a band."""
+    task gets more than two blocks of a band. A row is sent about n / block / 2 times to either side."""
     n = rows.groupBy("band").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).where("blocks > 1")
     own = F.pmod(F.xxhash64("rep"), F.coalesce("blocks", F.lit(1))).cast("int")
     dealt = rows.join(n, "band", "left").withColumn("own", own).withColumn("last", F.coalesce("blocks", F.lit(1)) - 1).drop("blocks")
@@ -110,7 +110,7 @@ def meetings(rows: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
     return left.drop("own", "last"), right.drop("own", "last")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold_percent: int = 80, k: int = 5, miss: float = 1e-6, block: int = 256) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold_percent: int = 80, k: int = 5, miss: float = 1e-6, block: int = 8192) -> DataFrame:
     """(id_col, n_shingles, component_id, kept) for every row of docs.
 
     Two texts are linked if 100 * |A & B| >= threshold_percent * |A | B| on their

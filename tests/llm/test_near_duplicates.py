@@ -55,6 +55,14 @@ def test_blocks_of_a_bucket_meet_once(spark):
     assert got == [(b, p, q) for b, n in ((1, 1), (2, 30), (3, 5)) for p in range(n) for q in range(p + 1, n)]
 
 
+def test_a_band_of_many_classes_makes_few_rows(spark):
+    import inspect
+
+    block = inspect.signature(minhash.near_duplicates).parameters["block"].default
+    for side in minhash.meetings(spark.range(20_000).selectExpr("1L as band", "id as rep"), block):
+        assert side.count() <= 3 * 20_000
+
+
 def test_repeated_rows_null_ids_and_empty_tables(spark):
     df = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (0, "a b c d e f")], "doc_id long, text string")
     rows = sorted(minhash.near_duplicates(df).collect(), key=str)
