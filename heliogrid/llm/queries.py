@@ -1,4 +1,4 @@
-"""The queries opN_<name> and pipeline over whole tables, with production parameters."""
+"""The queries opN_<name> over whole tables, with production parameters."""
 
 from __future__ import annotations
 
@@ -94,12 +94,6 @@ def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", centroid.alias("centroid_sha256"))
 
 
-def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline  # it imports this subpackage
-
-    return corpus_pipeline.run(spark, sf_dir)
-
-
 QUERIES = {
     f.__name__: f
     for f in (
@@ -116,7 +110,6 @@ QUERIES = {
         op11_voronoi_topk,
         op12_periodic_runs,
         op13_centroid_clustering,
-        pipeline,
     )
 }
 ORACLES: dict[str, str] = {
