@@ -283,6 +283,7 @@ def sanitise(
     schema = ", ".join(f"`{n}` {'long' if t == pa.int64() else 'string'}" for n, t in zip(names, kinds))
 
     def run(batches):
+        hidden = np.isin(_CLASS_KEYS, shared.value[0]) if shared is not None else None  # classes that disclose as much themselves
         for batch in slices(batches, 256):
             out = [[] for _ in names]
             lists = batch.column(2).to_pylist() if shared is None else [None] * batch.num_rows
@@ -300,7 +301,7 @@ def sanitise(
                     at = np.searchsorted(keys, h)
                     at[at == len(keys)] = 0
                     hit = np.flatnonzero((keys[at] == h) & _outside(s, e, base))
-                    gone = (disclosure[at[hit]] >= remove_at) | np.isin(_CLASS_KEYS[kind[hit]], keys)
+                    gone = (disclosure[at[hit]] >= remove_at) | (np.isin(_CLASS_KEYS, keys) if hidden is None else hidden)[kind[hit]]
                     found = sorted((int(s[k]), int(e[k]), "" if g else f"[{CLASSES[kind[k]].upper()}]") for k, g in zip(hit, gone))
                 named = ",".join(f"{KINDS[k]}:{s}:{e}" for k, s, e in base)
                 n = [sum(k == j for k, _, _ in base) for j in range(4)]
