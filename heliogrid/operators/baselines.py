@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import clip
+from .certified import fit_certified
 from .checks import unique
-from .heads import dot, fit_heads
+from .heads import dot
 
 
 def horizons(rows: DataFrame, h: int, issue: str = "time_idx") -> DataFrame:
@@ -39,24 +40,24 @@ def last_value(series: DataFrame, h: int, by: str, order: str, value: str) -> Da
     return last.select(by, F.explode(F.sequence(F.lit(1).cast("long"), F.lit(h).cast("long"))).alias("horizon"), "forecast")
 
 
-def fit_quantile(rows: DataFrame, features: list[str], target: str, q: float, steps: int = 40, weight: str | None = None) -> list[float]:
-    """Coefficients [intercept, features...] of a linear quantile regression over all rows."""
-    fitted = fit_heads(rows.withColumn("__all", F.lit(0)), ["__all"], features, target, (q,), steps, weight)
-    return fitted.first()["heads"][0]
+def fit_quantile(rows: DataFrame, features: list[str], target: str, q: float, steps: int = 80, weight: str | None = None) -> list[float]:
+    """Coefficients [intercept, features...] of a linear quantile regression over all rows, whose loss is the least."""
+    fitted = fit_certified(rows.withColumn("__all", F.lit(0)), ["__all"], features, target, q, steps=steps, weight=weight)
+    return fitted.first()["coefficients"]
 
 
 def linear(coefficients: list[float], features: list[str]) -> Column:
     return sum((F.col(f) * float(b) for f, b in zip(features, coefficients[1:])), F.lit(float(coefficients[0])))
 
 
-def harmonic_persistence(history: DataFrame, train: DataFrame, h: int, features: list[str], by: str = "site_id", order: str = "time_idx", actual: str = "cf", q: float = 0.99, steps: int = 40) -> DataFrame:
+def harmonic_persistence(history: DataFrame, train: DataFrame, h: int, features: list[str], by: str = "site_id", order: str = "time_idx", actual: str = "cf", q: float = 0.99, steps: int = 80) -> DataFrame:
     """smart_persistence on a clear-sky curve fitted, on train rows only, as the q quantile of the actual by harmonics."""
     coefficients = fit_quantile(train, features, actual, q, steps)
     curve = history.withColumn("__curve", clip(linear(coefficients, features), 0, 1))
     return smart_persistence(curve, h, by, order, actual, "__curve")
 
 
-def fold_baselines(predictions: DataFrame, train: DataFrame, history: DataFrame, features: list[str], version: str, by: str = "site_id", order: str = "time_idx", actual: str = "cf", sky: str = "cs", q: float = 0.99, steps: int = 40) -> DataFrame:
+def fold_baselines(predictions: DataFrame, train: DataFrame, history: DataFrame, features: list[str], version: str, by: str = "site_id", order: str = "time_idx", actual: str = "cf", sky: str = "cs", q: float = 0.99, steps: int = 80) -> DataFrame:
     """predictions (fold, by, issue_idx, target_idx, ...) with each fold's baselines.
 
     The harmonic curve is fitted on the fold's train rows only, all folds in one fit. Version v1 names its
@@ -65,7 +66,7 @@ def fold_baselines(predictions: DataFrame, train: DataFrame, history: DataFrame,
     """
     if version not in ("v1", "v2"):
         raise ValueError(f"unknown version {version}")
-    curves = fit_heads(train, ["fold"], features, actual, (q,), steps).select("fold", F.get("heads", 0).alias("__curve"))
+    curves = fit_certified(train, ["fold"], features, actual, q, steps=steps).select("fold", F.col("coefficients").alias("__curve"))
     side = lambda name: history.select(by, F.col(order).alias(f"{name}_idx"), F.struct(actual, sky, *features).alias(f"__{name}"))
     out = predictions.join(side("issue"), [by, "issue_idx"], "left").join(side("target"), [by, "target_idx"], "left").join(F.broadcast(curves), "fold", "left")
     curve = {e: clip(dot(F.col("__curve"), [f"__{e}.{f}" for f in features]), 0, 1) for e in ("issue", "target")}

@@ -56,10 +56,10 @@ def fit_heads(rows: DataFrame, by: list[str], features: list[str], target: str,
     keys = known.select(*by).distinct().limit(MOST_GROUPS + 1).collect()
     if not keys or len(keys) > MOST_GROUPS:
         raise ValueError("no row to fit" if not keys else "too many groups")
-    ids = spark.createDataFrame([(*k, g) for g, k in enumerate(keys)], rows.select(*by).schema.add("g", "long"))
+    ids = spark.createDataFrame([(*k, g) for g, k in enumerate(keys)], rows.select(*by).schema.add("__g", "long"))
     y, c = F.col(target).cast("double").alias("y"), (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("c")
     x = F.array(F.lit(1.0), *[F.col(f).cast("double") for f in features]).alias("x")
-    data = known.join(F.broadcast(ids), by).select("g", x, y, c).persist()
+    data = known.join(F.broadcast(ids), by).select(F.col("__g").alias("g"), x, y, c).persist()
     betas, eps = np.zeros((len(keys), 1, width)), 1e-2
     point = None
     try:

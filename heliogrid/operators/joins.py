@@ -90,12 +90,21 @@ def nearest_point(sites: DataFrame, points: DataFrame, cell: float = 5.0) -> Dat
         width *= 4
 
 
-def assign_folds(rows: DataFrame, folds: DataFrame, ts: str) -> DataFrame:
-    """rows in each fold's part whose half-open window [start, end) holds ts; folds (fold, part, start,
-    end) are broadcast, and more of them than could be are an error."""
-    if folds.count() > 100_000:
-        raise ValueError("too many folds to broadcast")
-    return rows.join(F.broadcast(folds), (F.col(ts) >= F.col("start")) & (F.col(ts) < F.col("end"))).drop("start", "end")
+def assign_folds(rows: DataFrame, folds: DataFrame, ts: str, most: int = 1000) -> DataFrame:
+    """rows in each fold's part whose half-open window [start, end) holds ts; folds are (fold, part, start, end).
+
+    Up to `most` windows are broadcast and tried row by row. More meet the rows on buckets of time as long as a
+    window is on average: a window is in each bucket that it touches, so the join is by equality.
+    """
+    inside = (F.col(ts) >= F.col("start")) & (F.col(ts) < F.col("end"))
+    if folds.limit(most + 1).count() <= most:
+        return rows.join(F.broadcast(folds), inside).drop("start", "end")
+    kinds = dict(folds.dtypes) | {ts: dict(rows.dtypes)[ts]}
+    number = lambda c: F.unix_micros(F.col(c).cast("timestamp")) if kinds[c].startswith(("timestamp", "date")) else F.col(c)
+    width = float(folds.agg(F.avg(number("end") - number("start"))).first()[0] or 1.0)
+    bucket = lambda c: F.floor(number(c) / width).cast("long")
+    spread = folds.where(number("start") < number("end")).withColumn("__bucket", F.explode(F.sequence(bucket("start"), bucket("end"))))
+    return rows.withColumn("__bucket", bucket(ts)).join(spread, "__bucket").where(inside).drop("start", "end", "__bucket")
 
 
 def covered(chunks: DataFrame, merged: DataFrame, by: str, kind: str = "left_semi", width: float = WIDTH) -> DataFrame:

@@ -109,7 +109,7 @@ def fit_trees(rows: DataFrame, by: list[str], features: list[str], target: str,
     keys = sorted(known.select(*by).distinct().limit(MOST_GROUPS + 1).collect())
     if not keys or len(keys) > MOST_GROUPS:
         raise ValueError("no row to fit" if not keys else "too many groups")
-    ids = spark.createDataFrame([(*k, g) for g, k in enumerate(keys)], rows.select(*by).schema.add("g", "integer"))
+    ids = spark.createDataFrame([(*k, g) for g, k in enumerate(keys)], rows.select(*by).schema.add("__g", "integer"))
     shares = [k / bins for k in range(1, bins)]
     cut_at = known.agg(*[F.percentile_approx(F.col(f).cast("double"), shares, 10_000).alias(f"e{i}") for i, f in enumerate(features)]).first()
     edges = [np.unique(np.array(e, float)) for e in cut_at]
@@ -121,7 +121,7 @@ def fit_trees(rows: DataFrame, by: list[str], features: list[str], target: str,
             raw = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, n_features)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in _codes(raw, edges)], pa.binary()), b.column(2), b.column(3)], ["g", "x", "y", "c"])
 
-    picked = known.join(F.broadcast(ids), by).select("g", x, F.col(target).cast("double").alias("y"), c)
+    picked = known.join(F.broadcast(ids), by).select(F.col("__g").alias("g"), x, F.col(target).cast("double").alias("y"), c)
     data = picked.mapInArrow(code, "g int, x binary, y double, c double").persist()
     try:
         ends = data.agg(F.min("y"), F.max("y")).first()
@@ -206,7 +206,7 @@ def predict_trees(model: dict, rows: DataFrame) -> DataFrame:
 
     whole = F.greatest(*[F.col(f).isNull() for f in model["features"]], F.lit(False))
     x = F.array(*[F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in model["features"]])
-    out = rows.join(F.broadcast(model["keys"]), model["by"]).withColumn("__v", F.when(~whole, run("g", x))).drop("g")
+    out = rows.join(F.broadcast(model["keys"]), model["by"]).withColumn("__v", F.when(~whole, run("__g", x))).drop("__g")
     out = out.withColumn("point", clip(F.get("__v", 0), 0, 1))
     if model["quantiles"]:
         ordered = monotone_quantiles(F.slice("__v", 2, heads - 1))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as fx
 from ..operators import baselines, checks, grid, joins, satellite, weather, windows
+from ..session import few
 from . import adapters as A
 from .production import r6, rounded
 from .registry import query
@@ -99,8 +100,7 @@ def J07_nearest_axis(spark, d):
 @query("SELECT p.product_id, s.site_id FROM patch p, (SELECT DISTINCT site_id FROM pv) s", ("patch", "pv"))
 def J08_fan_out(spark, d):
     sites = A.pv(spark, d).select("site_id").distinct()
-    few = sites.count() <= 10_000
-    return A.patch(spark, d).select("product_id").crossJoin(F.broadcast(sites) if few else sites)
+    return A.patch(spark, d).select("product_id").crossJoin(few(sites, 10_000))
 
 
 @query("SELECT o_orderkey, o_custkey, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey")
@@ -121,7 +121,7 @@ def J10_ablation_join(spark, d):
 @query("SELECT f.site_id, f.time_idx, f.horizon, round(p.energy / (s.capacity_mw * 0.25e0), 6) AS plan FROM forecasts f JOIN site s ON s.site_id = f.site_id LEFT JOIN production p ON p.site_id = f.site_id AND p.time_idx = f.time_idx - 96", ("forecasts", "site"))
 def J11_P15_plan_at_target(spark, d):
     plan = A.production(spark, d).select("site_id", (F.col("time_idx") + 96).alias("time_idx"), F.col("energy").alias("planned"))
-    f = A.forecasts(spark, d).select("site_id", "time_idx", "horizon").join(F.broadcast(A.site(spark, d).select("site_id", "capacity_mw")), "site_id")
+    f = A.forecasts(spark, d).select("site_id", "time_idx", "horizon").join(few(A.site(spark, d).select("site_id", "capacity_mw")), "site_id")
     return f.join(plan, ["site_id", "time_idx"], "left").select("site_id", "time_idx", "horizon", r6(fx.capacity_factor("planned", "capacity_mw")).alias("plan"))
 
 

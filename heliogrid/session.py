@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -46,3 +47,8 @@ def settled(df: DataFrame) -> DataFrame:
     """df with its lineage cut by a reliable checkpoint, for loops that build on it."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def few(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """df to be broadcast if it has `most` rows or fewer, which are counted; else as it is, for a shuffled join."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

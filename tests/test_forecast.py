@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from heliogrid.operators import baselines, forecast, heads
+from heliogrid.operators import baselines, certified, forecast, heads
 
 
 def test_heads_and_transfer_against_least_squares(spark):
@@ -66,7 +66,7 @@ def test_fold_baselines(spark, version):
     pairs = spark.createDataFrame([(f, "s", i, i + k, k) for f in (0, 1) for i in (41, 45, 58) for k in (1, 2)], "fold long, site_id string, issue_idx long, target_idx long, horizon long")
     out = baselines.fold_baselines(pairs, train, h, ["a"], version, q=0.5, steps=40).collect()
     legacy = "smart_persistence" if version == "v1" else "legacy_harmonic_smart_persistence"
-    curves = {r.fold: r.heads[0] for r in heads.fit_heads(train, ["fold"], ["a"], "cf", (0.5,), 40).collect()}
+    curves = {r.fold: r.coefficients for r in certified.fit_certified(train, ["fold"], ["a"], "cf", 0.5, steps=40).collect()}
     assert curves[0] != curves[1] and len(out) == 12
     hold = lambda v, top: min(max(v, 0.0), top)
     for r in out:

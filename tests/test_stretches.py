@@ -46,3 +46,18 @@ def test_exact_runs(spark):
     v = spark.createDataFrame([("a", 0, 0, 1.0), ("a", 0, 1, 2.0), ("a", 0, 12, 3.0), ("a", 6, 8, 4.0), ("a", 12, 13, 5.0)], "site_id string, issue long, target long, value double")
     got = joins.exact_run(v, ["site_id"], 12).orderBy("target").select("target", "issue", F.col("value")).collect()
     assert [tuple(r) for r in got] == [(1, 0, 2.0), (12, 0, 3.0), (13, 12, 5.0)]
+
+
+@pytest.mark.parametrize("dates", [False, True])
+def test_many_folds_meet_rows_on_buckets(spark, dates):
+    rng = random.Random(5)
+    folds = [(f, p, a, a + rng.choice([0, 3, 40])) for f in range(30) for p in ("train", "test") for a in [rng.randrange(-50, 300)]]
+    rows = [(k, rng.randrange(-60, 400)) for k in range(300)] + [(999, None)]
+    r, f = spark.createDataFrame(rows, "k long, t long"), spark.createDataFrame(folds, "fold long, part string, start long, end long")
+    if dates:
+        day = lambda c: F.date_add(F.lit("2024-01-01").cast("date"), F.col(c).cast("int"))
+        r, f = r.withColumn("t", F.timestamp_seconds(F.unix_seconds(day("t").cast("timestamp")) + 3600)), f.withColumns({"start": day("start"), "end": day("end")})
+    want = {(k, f, p) for k, t in rows if t is not None for f, p, a, b in folds if a <= t < b}
+    for most in (1000, 5):
+        got = [(x.k, x.fold, x.part) for x in joins.assign_folds(r, f, "t", most).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
