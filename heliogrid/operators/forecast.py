@@ -111,6 +111,12 @@ def last_days(rows: DataFrame, order: str, days: int = 30, per_day: int = 96) ->
     return rows.crossJoin(F.broadcast(end)).withColumn("valid", F.col(order) > F.col("__end")).drop("__end")
 
 
+def validation_days(rows: DataFrame, order: str, most: int = 30, share: float = 0.2, per_day: int = 96) -> int:
+    """Days of validation for `last_days`: `most`, or a share of the days that rows cover where that is less."""
+    lo, hi = rows.agg(F.min(order), F.max(order)).first()
+    return 0 if lo is None else min(most, int((hi - lo + 1) / per_day * share))
+
+
 def rolling_folds(spark: SparkSession, start: str, end: str, train: int, validation: int = 1, test: int = 1) -> DataFrame:
     """(fold, part, start, end): month windows that move on by a month while the test ends within [start, end]; ends are exclusive dates."""
     months = spark.sql(f"SELECT explode(sequence(date'{start}', date'{end}', interval 1 month)) AS m")

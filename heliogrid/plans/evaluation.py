@@ -357,13 +357,25 @@ def _supervised(spark, d):
     return forecast.horizon_rows(s.withColumn("weight", weight), "site_id", "time_idx", "x", [*FEATURES, "cs"], ["lat", "capacity_mw"], "weight")
 
 
-def _pretrained(spark, d, days: int = 6):
-    """(model, rows, features): fitted on the source sites but for their last days (30 where data cover more than these 30)."""
+def _pretrained(spark, d):
+    """(model, rows, features): fitted on the source sites but for their last 30 days, or the last fifth of shorter data."""
     rows, features = _supervised(spark, d)
-    rows = forecast.last_days(rows, "target_idx", days)
+    rows = forecast.last_days(rows, "target_idx", forecast.validation_days(A.sky(spark, d), "time_idx"))
     return forecast.fit_forecaster(rows.where("site_id <> 'view' AND NOT valid"), ["horizon"], features, steps=12), rows, features
 
 
+@query("""
+WITH e AS (SELECT min(time_idx) AS lo, max(time_idx) AS hi FROM sky), v AS (SELECT hi, least(30, floor((hi - lo + 1) / 96e0 * 0.2e0))::BIGINT AS days FROM e)
+SELECT site_id, time_idx > hi - days * 96 AS valid, days, count(*) AS rows, min(time_idx) AS first_idx, max(time_idx) AS last_idx FROM sky, v WHERE site_id <> 'view' GROUP BY ALL
+""", ("sky",))
+def M05_pretraining_split(spark, d):
+    """What pretraining fits and validates on: the source sites, the last 30 days (a fifth of shorter data) held out."""
+    s = A.sky(spark, d)
+    days = forecast.validation_days(s, "time_idx")
+    split = forecast.last_days(s.where("site_id <> 'view'"), "time_idx", days)
+    return split.groupBy("site_id", "valid").agg(F.count("*").alias("rows"), F.min("time_idx").alias("first_idx"), F.max("time_idx").alias("last_idx")).withColumn("days", F.lit(days).cast("long"))
+
+
 @query()
 def M04_M05_pooled_forecaster(spark, d):
     """Eight horizons with a point and seven quantiles each, on the source sites' last days and on a site never seen."""

@@ -57,6 +57,11 @@ def test_last_days(spark):
     assert [r.t for r in forecast.last_days(rows, "t", 1, 3).where("valid").orderBy("t").collect()] == [7, 8, 9]
 
 
+def test_validation_days(spark):
+    rows = lambda days: spark.range(days * 4).withColumnRenamed("id", "t")
+    assert [forecast.validation_days(rows(n), "t", per_day=4) for n in (0, 10, 30, 150, 400)] == [0, 2, 6, 30, 30]
+
+
 @pytest.mark.parametrize("version", ["v1", "v2"])
 def test_fold_baselines(spark, version):
     rng = np.random.default_rng(1)
