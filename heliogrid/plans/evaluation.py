@@ -365,7 +365,7 @@ def _pretrained(spark, d):
 
 
 @query("""
-WITH e AS (SELECT min(time_idx) AS lo, max(time_idx) AS hi FROM sky), v AS (SELECT hi, least(30, floor((hi - lo + 1) / 96e0 * 0.2e0))::BIGINT AS days FROM e)
+WITH e AS (SELECT min(time_idx) AS lo, max(time_idx) AS hi FROM sky), v AS (SELECT (SELECT max(time_idx) FROM sky WHERE site_id <> 'view') AS hi, least(30, floor((hi - lo + 1) / 96e0 * 0.2e0))::BIGINT AS days FROM e)
 SELECT site_id, time_idx > hi - days * 96 AS valid, days, count(*) AS rows, min(time_idx) AS first_idx, max(time_idx) AS last_idx FROM sky, v WHERE site_id <> 'view' GROUP BY ALL
 """, ("sky",))
 def M05_pretraining_split(spark, d):
