@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import QUANTILES, pinball, quantile_name
+from ..session import settled
 from .selection import percentiles
 from .windows import by_places
 
@@ -116,6 +117,7 @@ def diagnostics(rows: DataFrame, by: list[str], order: str, actual: str, forecas
     """Distribution of a forecast, its bias, ramps and night values, by series (rows of which are known; the order is unique)."""
     known = rows.where(F.col(actual).isNotNull() & F.col(forecast).isNotNull())
     r = by_places(known, by, order, lambda w: {"__ramp": F.abs(F.col(forecast) - F.lag(forecast).over(w))}, back=1)
+    r = settled(r.select(*dict.fromkeys([*by, actual, forecast, sky, "__ramp"])))  # read by several aggregates
     f = F.col(forecast)
     share = lambda c: F.avg(c.cast("double"))
     out = r.groupBy(*by).agg(

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import settled
+
 #: A sketch's ranks are off by a share of 1 / ACCURACY at most.
 ACCURACY = 10_000
 
@@ -31,7 +33,7 @@ def percentiles(rows: DataFrame, by: list[str], value: Column, shares: dict[str,
             out.append(F.struct(F.lit(k).alias("k"), lo.alias("lo"), hi.alias("hi"), F.floor(at).alias("first"), F.ceil(at).alias("second"), (at - F.floor(at)).alias("w")))
         return F.array(*out)
 
-    near = sketch.select(*by, "__n", "__lo", "__hi", ranges([(F.get("__e", 2 * k), F.get("__e", 2 * k + 1)) for k in range(len(names))]).alias("__r"))
+    near = settled(sketch.select(*by, "__n", "__lo", "__hi", ranges([(F.get("__e", 2 * k), F.get("__e", 2 * k + 1)) for k in range(len(names))]).alias("__r")))  # a row for each group
 
     def met(table: DataFrame) -> DataFrame:
         few = table.count() <= max_rows
@@ -47,11 +49,12 @@ def percentiles(rows: DataFrame, by: list[str], value: Column, shares: dict[str,
         *by,
         F.array(*[F.struct(F.lit(k).alias("k"), F.when(ok, entry(k)["lo"]).otherwise(F.col("__lo")).alias("lo"), F.when(ok, entry(k)["hi"]).otherwise(F.col("__hi")).alias("hi"), F.when(ok, F.col(f"b{k}")).otherwise(0).alias("below"), entry(k)["first"].alias("first"), entry(k)["second"].alias("second"), entry(k)["w"].alias("w")) for k, ok in enumerate(held)]).alias("__r"),
     )
-    inside = met(checked).withColumn("r", F.explode(F.filter("__r", lambda r: (F.col("__v") >= r["lo"]) & (F.col("__v") <= r["hi"]))))
-    equal = inside.groupBy(*by, "r.k", "r.below", "r.first", "r.second", "r.w", "__v").agg(F.count("*").alias("n"))
-    upto = equal.withColumn("upto", F.sum("n").over(Window.partitionBy(*by, "k").orderBy("__v")))
-    last, before = F.col("below") + F.col("upto"), F.col("below") + F.col("upto") - F.col("n")
+    inside = met(settled(checked)).withColumn("__one", F.explode(F.filter("__r", lambda r: (F.col("__v") >= r["lo"]) & (F.col("__v") <= r["hi"]))))
+    facts = [F.col(f"__one.{c}").alias(f"__{c}") for c in ("k", "below", "first", "second", "w")]
+    equal = inside.groupBy(*by, *facts, "__v").agg(F.count("*").alias("__times"))
+    upto = equal.withColumn("__upto", F.sum("__times").over(Window.partitionBy(*by, "__k").orderBy("__v")))
+    last, before = F.col("__below") + F.col("__upto"), F.col("__below") + F.col("__upto") - F.col("__times")
     at = lambda rank: F.max(F.when((before <= F.col(rank)) & (F.col(rank) < last), F.col("__v")))
-    ranked = upto.groupBy(*by, "k", "w").agg(at("first").alias("x"), at("second").alias("y"))
-    ranked = ranked.withColumn("p", F.col("x") + (F.col("y") - F.col("x")) * F.col("w"))
-    return ranked.groupBy(*by).agg(*[F.max(F.when(F.col("k") == k, F.col("p"))).alias(n) for k, n in enumerate(names)])
+    ranked = upto.groupBy(*by, "__k", "__w").agg(at("__first").alias("__x"), at("__second").alias("__y"))
+    ranked = ranked.withColumn("__p", F.col("__x") + (F.col("__y") - F.col("__x")) * F.col("__w"))
+    return ranked.groupBy(*by).agg(*[F.max(F.when(F.col("__k") == k, F.col("__p"))).alias(n) for k, n in enumerate(names)])
