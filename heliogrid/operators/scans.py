@@ -67,7 +67,22 @@ def running_sums(df: DataFrame, by: list[str], order: str, sums: dict[str, Colum
     return out.withColumns({n: zero(f"__l_{n}") + zero(f"__c_{n}") for n in sums}).drop("__stretch", *[f"__{k}_{n}" for k in "vlc" for n in sums])
 
 
-def placed(df: DataFrame, by: list[str], order: str, name: str, width: float = WIDTH) -> DataFrame:
-    """df with each row's place in its series, from 0; the order has to be unique in a series."""
-    out = running_sums(df, by, order, {name: F.lit(1).cast("long")}, width)
-    return out.withColumn(name, F.col(name) - 1)
+def running_greatest(df: DataFrame, by: list[str], order: str, values: dict[str, Column], width: float = WIDTH) -> DataFrame:
+    """df with a column for each name: the greatest value of the series' rows before this one, NULL where none is known; the order
+    has to be unique in a series."""
+    rows = _stretched(df, order, width).withColumns({f"__v_{n}": c for n, c in values.items()})
+    up = Window.partitionBy(*by, "__stretch").orderBy(order).rowsBetween(BEFORE, -1)
+    series = Window.partitionBy(*by).orderBy("__stretch").rowsBetween(BEFORE, -1)
+    local = {f"__l_{n}": F.max(f"__v_{n}").over(up) for n in values}
+    out = _carried(rows.withColumns(local), by, order, {f"__c_{n}": F.max(f"__v_{n}") for n in values}, {f"__c_{n}": F.max(f"__c_{n}").over(series) for n in values})
+    return out.withColumns({n: F.greatest(f"__l_{n}", f"__c_{n}") for n in values}).drop("__stretch", *[f"__{k}_{n}" for k in "vlc" for n in values])
+
+
+def placed(df: DataFrame, by: list[str], order: str, name: str, width: float = WIDTH, size: str | None = None) -> DataFrame:
+    """df with each row's place in its series, from 0, and as `size` the rows of the series; the order has to be unique in a series."""
+    series = Window.partitionBy(*by)
+    number = {name: F.row_number().over(Window.partitionBy(*by, "__stretch").orderBy(order))}
+    counts = {"__before": F.sum("__before").over(series.orderBy("__stretch").rowsBetween(BEFORE, -1)), "__size": F.sum("__size").over(series)}
+    out = _carried(_stretched(df, order, width).withColumns(number), by, order, dict.fromkeys(counts, F.count("*")), counts)
+    out = out.withColumn(name, F.col(name) - 1 + F.coalesce("__before", F.lit(0)))
+    return (out.withColumn(size, F.col("__size")) if size else out).drop("__stretch", "__before", "__size")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import settled
-from .scans import WIDTH, known_around, placed, running_sums
+from .scans import WIDTH, known_around, placed, running_greatest, running_sums
 
 BEFORE = Window.unboundedPreceding
 
@@ -92,12 +92,25 @@ def split_by_rank(by: list[str], order: str, train: float, validation: float) ->
     return F.when(k <= a, "train").when(k <= b, "validation").otherwise("test")
 
 
-def merge_intervals(intervals: DataFrame, by: list[str]) -> DataFrame:
-    """(by, lo, hi): half-open intervals joined where they overlap or touch; empty ones are dropped."""
-    w = over(by, ["lo", "hi"])
-    i = intervals.where("lo < hi").select(*by, "lo", "hi").withColumn("__reach", F.max("hi").over(w.rowsBetween(BEFORE, -1)))
-    i = i.withColumn("__new", F.when(F.col("lo") <= F.col("__reach"), 0).otherwise(1)).withColumn("__island", F.sum("__new").over(w))
-    return i.groupBy(*by, "__island").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("__island")
+def chronological_split(df: DataFrame, by: list[str], order: str, train: float, validation: float, name: str = "split", width: float = WIDTH) -> DataFrame:
+    """df with split_by_rank as a column, rows numbered in stretches of their series, so that no task orders a whole one."""
+    out = placed(df, by, order, "__place", width, "__rows")
+    a, b = F.floor(F.col("__rows") * F.lit(train)), F.floor(F.col("__rows") * F.lit(validation))
+    split = F.when(F.col("__place") < a, "train").when(F.col("__place") < a + b, "validation").otherwise("test")
+    return out.withColumn(name, split).drop("__place", "__rows")
+
+
+def merge_intervals(intervals: DataFrame, by: list[str], width: float = WIDTH) -> DataFrame:
+    """(by, lo, hi): half-open intervals joined where they overlap or touch; empty ones are dropped, and those with a NULL bound.
+
+    Intervals of one begin become one first. How far those before reach, and which begin an interval
+    belongs to, is carried over stretches of `width` of lo; no task orders a whole group. lo and hi are numbers.
+    """
+    i = intervals.where("lo < hi").groupBy(*by, "lo").agg(F.max("hi").alias("hi"))
+    i = running_greatest(i, by, "lo", {"__reach": F.col("hi")}, width)
+    begins = F.when(F.col("lo") <= F.col("__reach"), F.lit(None)).otherwise(F.col("lo"))
+    i = known_around(i, by, "lo", {"__begin": begins}, width=width)
+    return i.groupBy(*by, "__begin").agg(F.max("hi").alias("hi")).select(*by, F.col("__begin").alias("lo"), "hi")
 
 
 def coverage_end(intervals: DataFrame, by: list[str], start: int) -> DataFrame:
@@ -106,13 +119,13 @@ def coverage_end(intervals: DataFrame, by: list[str], start: int) -> DataFrame:
     return merge_intervals(intervals, by).groupBy(*by).agg(F.coalesce(F.max(inside), F.lit(start)).cast("long").alias("end"))
 
 
-def max_concurrency(intervals: DataFrame, by: list[str]) -> DataFrame:
+def max_concurrency(intervals: DataFrame, by: list[str], width: float = WIDTH) -> DataFrame:
     """(by, most): the most intervals open at once; one that ends where another begins doesn't overlap it.
-    Changes are summed for each time first, so the window sees times rather than intervals."""
+    Changes are summed for each time first, and times are run through in stretches of `width`."""
     i = intervals.where("lo < hi")
     steps = i.select(*by, F.col("lo").alias("t"), F.lit(1).alias("d")).unionByName(i.select(*by, F.col("hi").alias("t"), F.lit(-1).alias("d")))
     steps = steps.groupBy(*by, "t").agg(F.sum("d").alias("d"))
-    return steps.withColumn("open", F.sum("d").over(over(by, "t"))).groupBy(*by).agg(F.max("open").alias("most"))
+    return running_sums(steps, by, "t", {"open": F.col("d")}, width).groupBy(*by).agg(F.max("open").alias("most"))
 
 
 def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
@@ -243,12 +256,12 @@ def latest(df: DataFrame, keys: list[str], order: Column | str) -> DataFrame:
     return df.groupBy(*keys).agg(F.max_by(F.struct(*names), order).alias("r")).select(*keys, "r.*")
 
 
-def even_sample(df: DataFrame, by: list[str], order: str, count: int) -> DataFrame:
-    """Up to count rows of each group at even steps of its order, the first and last included."""
-    n = F.count("*").over(Window.partitionBy(*by))
-    k = F.row_number().over(over(by, order)) - 1
+def even_sample(df: DataFrame, by: list[str], order: str, count: int, width: float = WIDTH) -> DataFrame:
+    """Up to count rows of each group at even steps of its order, the first and last included. Rows are
+    numbered in stretches of `width` of the order, a number that is unique in a group."""
+    k, n = F.col("__place"), F.col("__rows")
     take = F.least(n, F.lit(count))
     # row k is taken if some i has floor(i * (n - 1) / (take - 1)) = k
     i = F.ceil(k * (take - 1) / F.greatest(n - 1, F.lit(1)))
     hit = F.floor(i * (n - 1) / F.greatest(take - 1, F.lit(1))) == k
-    return df.withColumn("__hit", (hit & (i < take)) | (n == 1)).where("__hit").drop("__hit")
+    return placed(df, by, order, "__place", width, "__rows").where((hit & (i < take)) | (n == 1)).drop("__place", "__rows")

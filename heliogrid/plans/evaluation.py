@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as fx
@@ -185,7 +184,7 @@ t AS (SELECT site_id, greatest(max(energy) FILTER (train), 1e0) AS top FROM s GR
 SELECT site_id, time_idx, round(energy / top, 9) AS scaled, CASE WHEN NOT train THEN round(greatest(energy / top - 0.1e0, 0e0) * top, 6) END AS q50 FROM s JOIN t USING (site_id)
 """, ("pv",))
 def P20_legacy_scaling(spark, d):
-    s = A.pv(spark, d).withColumn("split", windows.split_by_rank(["site_id"], "time_idx", 0.6, 0.2))
+    s = windows.chronological_split(A.pv(spark, d), ["site_id"], "time_idx", 0.6, 0.2)
     top = s.groupBy("site_id").agg(F.greatest(F.max(F.when(F.col("split") == "train", F.col("energy"))), F.lit(1.0)).alias("top"))
     s = s.join(few(top), "site_id").withColumn("scaled", F.col("energy") / F.col("top"))
     q = F.when(F.col("split") != "train", r6(F.greatest(F.col("scaled") - 0.1, F.lit(0.0)) * F.col("top")))
@@ -473,7 +472,8 @@ WITH k AS (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY time_idx)
 s AS (SELECT CASE WHEN k <= floor(n * 0.6e0) THEN 'train' WHEN k <= floor(n * 0.6e0) + floor(n * 0.2e0) THEN 'validation' ELSE 'test' END AS split, cf AS actual, plan, CASE WHEN c1 <> 0 AND y1 IS NOT NULL THEN greatest(y1 / c1 * cs, 0e0) END AS smart FROM k)
 SELECT split, """ + _summary("plan") + " FROM s WHERE actual IS NOT NULL AND plan IS NOT NULL AND smart IS NOT NULL GROUP BY split", ("sky",))
 def M13_plan_comparison(spark, d):
-    s = A.sky(spark, d).withColumns({"split": windows.split_by_rank(["site_id"], "time_idx", 0.6, 0.2), "plan": F.lag("cf", 96).over(Window.partitionBy("site_id").orderBy("time_idx")), "smart": windows.clear_sky_persistence("cf", "cs", 1, ["site_id"], "time_idx")})
+    s = windows.chronological_split(A.sky(spark, d), ["site_id"], "time_idx", 0.6, 0.2)
+    s = windows.by_places(s, ["site_id"], "time_idx", lambda w: {"plan": F.lag("cf", 96).over(w), "smart": windows.clear_sky_persistence("cf", "cs", 1, ["site_id"], "time_idx", w=w)}, back=96)
     return rounded(metrics.point_metrics(s, ["split"], "cf", ["plan"], "smart").drop("model"), places=9)
 
 
@@ -487,7 +487,7 @@ s AS (SELECT CASE WHEN k <= floor(n * 0.6e0) THEN 'train' WHEN k <= floor(n * 0.
 SELECT split, count(*) AS count, """ + ", ".join(f"round({x}, 9) AS {quantile_name(q)}" for q, x in zip(QUANTILES, LOSS)) + ", round((" + " + ".join(LOSS) + ") / 7e0, 9) AS pinball FROM s WHERE actual IS NOT NULL AND plan IS NOT NULL GROUP BY split", ("sky",))
 def M13_plan_quantile_loss(spark, d):
     """The comparison's quantile loss: of a band about the plan, each quantile's and the mean, by split."""
-    s = A.sky(spark, d).withColumn("split", windows.split_by_rank(["site_id"], "time_idx", 0.6, 0.2))
+    s = windows.chronological_split(A.sky(spark, d), ["site_id"], "time_idx", 0.6, 0.2)
     s = windows.lagged(s, ["cf"], 96, ["site_id"], "time_idx").withColumn("plan", F.col("cf_lag_96")).where("cf IS NOT NULL AND plan IS NOT NULL")
     s = s.withColumns({quantile_name(q): fx.clip(F.col("plan") * float(f"{0.6 + 0.8 * q:.3f}"), 0, 1) for q in QUANTILES})
     each = [F.avg(fx.pinball(q, quantile_name(q), "cf")).alias(quantile_name(q)) for q in QUANTILES]
@@ -500,7 +500,7 @@ LONG_PLAN = "p AS (SELECT site_id, time_idx, cf AS actual, cs, lag(cf, 96) OVER
 @query(f"WITH {LONG_PLAN} SELECT site_id, count(*) AS count, round(avg(plan), 9) AS mean, round(stddev_pop(plan), 9) AS std, round(avg(plan - actual), 9) AS bias_mean, round(corr(actual, plan), 9) AS corr, round(avg(ramp), 9) AS ramp_mean, round(avg((plan > 1e-6)::INT) FILTER (cs <= 1), 9) AS night_positive_share, round(avg((actual BETWEEN plan * 0.9e0 AND plan * 1.1e0)::INT), 9) AS coverage, round(avg(plan * 1.1e0 - plan * 0.9e0), 9) AS width FROM r GROUP BY site_id", ("sky",))
 def M13_plan_diagnostics(spark, d):
     """Diagnostics of the plan, and of an interval of a tenth about it, beside the comparison."""
-    s = A.sky(spark, d).withColumn("plan", F.lag("cf", 96).over(Window.partitionBy("site_id").orderBy("time_idx"))).where("cf IS NOT NULL AND plan IS NOT NULL")
+    s = windows.by_places(A.sky(spark, d), ["site_id"], "time_idx", lambda w: {"plan": F.lag("cf", 96).over(w)}, back=96).where("cf IS NOT NULL AND plan IS NOT NULL")
     s = s.withColumns({"low": F.col("plan") * 0.9, "high": F.col("plan") * 1.1})
     out = metrics.diagnostics(s, ["site_id"], "time_idx", "cf", "plan", "cs").select("site_id", "count", "mean", "std", "bias_mean", "corr", "ramp_mean", "night_positive_share")
     return rounded(out.join(s.groupBy("site_id").agg(*metrics.interval_diagnostics("cf", "low", "high")), "site_id"), places=9)

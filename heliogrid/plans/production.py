@@ -277,7 +277,7 @@ WITH n AS (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY time_idx)
 SELECT site_id, time_idx, CASE WHEN k <= floor(n * 0.6e0) THEN 'train' WHEN k <= floor(n * 0.6e0) + floor(n * 0.2e0) THEN 'validation' ELSE 'test' END AS split FROM n
 """, ("pv_user",))
 def W11_chronological_split(spark, d):
-    return A.pv_user(spark, d).select("site_id", "time_idx", windows.split_by_rank(["site_id"], "time_idx", 0.6, 0.2).alias("split"))
+    return windows.chronological_split(A.pv_user(spark, d).select("site_id", "time_idx"), ["site_id"], "time_idx", 0.6, 0.2)
 
 
 GAPS = "SELECT site_id, time_idx, (time_idx - lag(time_idx) OVER (PARTITION BY site_id ORDER BY time_idx)) * 15 AS gap FROM pv_user"

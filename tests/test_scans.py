@@ -1,6 +1,7 @@
 """Scans in stretches against plain loops over whole series, across many borders."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -86,3 +87,50 @@ def test_covered_of_one_large_group_takes_no_pairs(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     joined = [line for line in plan.splitlines() if "Join" in line]
     assert joined and all("__stretch" in line for line in joined) and "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+@pytest.mark.parametrize("width", [1, 4, 4096])
+def test_intervals_in_stretches_against_loops(spark, width):
+    rng = random.Random(width)
+    raw = [(g, lo, lo + rng.randrange(-1, 6)) for g in ("x", "y", None) for lo in (rng.randrange(-40, 90) for _ in range(45))]
+    raw += [("y", -60, 200), ("z", 5, 5), ("x", None, 3), ("x", 3, None)]
+    df = spark.createDataFrame(raw, "g string, lo long, hi long")
+    merged, most = set(), {}
+    for g in {r[0] for r in raw}:
+        own = [r for r in raw if r[0] == g and None not in r[1:] and r[1] < r[2]]
+        held = sorted({t for _, lo, hi in own for t in range(lo, hi)})
+        runs = [(t, next(u for u in range(t, 400) if u not in held)) for t in held if t - 1 not in held]
+        merged |= {(g, *r) for r in runs}
+        if own:
+            most[g] = max(sum(lo <= t < hi for _, lo, hi in own) for t in held)
+    got = [tuple(r) for r in windows.merge_intervals(df, ["g"], width).collect()]
+    assert len(got) == len(merged) and set(got) == merged
+    assert {r.g: r.most for r in windows.max_concurrency(df, ["g"], width).collect()} == most
+
+
+@pytest.mark.parametrize("width", [1, 7, 4096])
+def test_splits_and_samples_in_stretches_against_loops(spark, width):
+    rng = random.Random(width)
+    rows = [(g, t) for g, n in (("a", 53), (None, 10), ("c", 1), ("d", 2)) for t in rng.sample(range(-300, 300), n)]
+    df = spark.createDataFrame(rows, "g string, t long")
+    got = {(r.g, r.t): r.split for r in windows.chronological_split(df, ["g"], "t", 0.6, 0.2, width=width).collect()}
+    taken = {tuple(r) for r in windows.even_sample(df, ["g"], "t", 4, width).collect()}
+    want, sample = {}, set()
+    for g in {r[0] for r in rows}:
+        own = sorted(t for q, t in rows if q == g)
+        n, take = len(own), min(len(own), 4)
+        a, b = int(n * 0.6), int(n * 0.6) + int(n * 0.2)
+        want |= {(g, t): "train" if k < a else "validation" if k < b else "test" for k, t in enumerate(own)}
+        sample |= {(g, own[i * (n - 1) // max(take - 1, 1)]) for i in range(take)}
+    assert got == want and taken == sample
+
+
+def test_one_group_of_many_intervals_is_many_tasks(spark):
+    """No window orders the intervals of a whole group: those by group alone see one row of each stretch."""
+    n = 100_000
+    df = spark.range(n).select(F.lit("g").alias("g"), (F.col("id") * 10).alias("lo"), (F.col("id") * 10 + 7 + 3 * ((F.col("id") + 1) % 2)).alias("hi"))
+    out = windows.merge_intervals(df, ["g"])
+    assert out.count() == n // 2 and windows.max_concurrency(df, ["g"]).first().most == 1
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    seen = [line for line in plan.splitlines() if line.lstrip(" :+-").startswith("Window ")]
+    assert seen and all("__c_" in line or re.search(r"windowspecdefinition\((g\S*, )?__stretch#\w+, ", line) for line in seen)
