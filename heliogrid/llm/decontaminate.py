@@ -12,7 +12,7 @@ import heapq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import U64, binaries, grams, settle, slices, word_hashes
@@ -82,7 +82,7 @@ def runs_of_places(places: list[tuple[int, np.ndarray]], k: int) -> list[tuple[i
 
 
 class Items:
-    """Benchmark items of one block: their words and a sorted table of their seeds."""
+    """The items of a benchmark that is broadcast: their words and a sorted table of their seeds."""
 
     def __init__(self, rows: list[tuple[object, bytes | None]], k: int):
         self.k, self.ids, self.words = k, [], []
@@ -144,38 +144,118 @@ class Items:
 
 
 class SeedFilter:
-    """Which seeds some item of the whole benchmark may have: a Bloom filter of fixed size."""
+    """Which seeds some item may have: a Bloom filter of a fixed size, put together by Spark."""
 
     BITS = 1 << 27
+    SHIFTS = (0, 27, 37)
+
+    def __init__(self, seeds: DataFrame):
+        """seeds: (seed long). At most BITS / 64 rows (32 MB) come to the driver, whatever the benchmark."""
+        at = F.explode(F.array(*[F.shiftrightunsigned("seed", s).bitwiseAND(F.lit(self.BITS - 1)) for s in self.SHIFTS]))
+        bits = F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))"))
+        rows = seeds.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(bits.alias("bits")).toArrow()
+        self.words = np.zeros(self.BITS >> 6, U64)
+        self.words[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().view(U64)
+
+    def places(self, seeds: np.ndarray) -> np.ndarray:
+        """The places of the seeds that may be an item's."""
+        hit = np.arange(len(seeds))
+        for s in self.SHIFTS:
+            at = (seeds[hit] >> U64(s)) & U64(self.BITS - 1)
+            hit = hit[(self.words[(at >> U64(6)).astype(np.int64)] >> (at & U64(63))) & U64(1) == 1]
+        return hit
+
+
+#: A text's or an item's seeds: the distinct ones with how often they stand there, and all with their places, by seed.
+SEEDS = "id long, size long, k long, seeds array<long>, times array<long>, found binary, place binary"
+
+
+def _seed_rows(batches, seeds_of):
+    """SEEDS batches of (id, text) batches; seeds_of gives (k, seeds, places) of a text's words."""
+    kinds = (*[pa.int64()] * 3, *[pa.list_(pa.int64())] * 2, *[pa.binary()] * 2)
+    for batch in slices(batches):
+        rows = []
+        for i, text in zip(batch.column(0).to_pylist(), binaries(batch.column(1))):
+            words = word_hashes(text)
+            k, seeds, place = seeds_of(words)
+            if len(seeds):
+                order = np.argsort(seeds, kind="stable")  # the places of a seed stay in order
+                each, times = np.unique(seeds, return_counts=True)
+                rows.append((i, len(words), k, each.view(np.int64), times, seeds[order].tobytes(), place[order].astype(np.int64).tobytes()))
+        yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds)], ["id", "size", "k", "seeds", "times", "found", "place"])
+
+
+def tiles_of_seeds(item: tuple[np.ndarray, np.ndarray], text: tuple[np.ndarray, np.ndarray], size: int, k: int) -> list[tuple[int, int, int]]:
+    """The tiles of an item of `size` words in a text, from (seeds, places) of both, sorted by seed."""
+    first, last = (np.searchsorted(text[0], item[0], side) for side in ("left", "right"))
+    met = np.flatnonzero(last > first)
+    met = met[np.argsort(item[1][met], kind="stable")]
+    places = [(int(item[1][m]), text[1][first[m] : last[m]]) for m in met.tolist()]
+    return tile(runs_of_places(places, k), size, int(text[1].max(initial=0)) + k, k)
+
+
+def seed_join(texts: DataFrame, bench: DataFrame, k: int, min_coverage: float, salts: int = 16) -> DataFrame:
+    """(id, item, coverage, n_tiles, longest, at_word) of texts and bench, both (id, text), joined on seeds.
+
+    Of a text the seeds that a Bloom filter of the benchmark's lets through are kept. Tiles of k words or more
+    that cover c words of an item hold c / k of its seeds at least, so it is enough to look up all but c / k - 1
+    of those that texts have at all: the ones in the fewest texts, so that a phrase of many items and many texts
+    pairs none of them. A pair that shares such a seed is tiled from the seeds of both. The keys of both
+    joins are dealt over `salts` by text, for seeds and items that very many texts hold.
+    """
 
-    def __init__(self):
-        self.bits = np.zeros(self.BITS >> 3, np.uint8)
-        self.lengths: set[int] = set()
-
-    def _places(self, seeds: np.ndarray):
-        for shift in (0, 27, 37):
-            yield ((seeds >> U64(shift)) & U64(self.BITS - 1)).astype(np.int64)
-
-    def add(self, words: np.ndarray, k: int):
-        n = min(k, len(words))
-        if n:
-            self.lengths.add(n)
-            for at in self._places(grams(words, n)):
-                np.bitwise_or.at(self.bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
-
-    def meets(self, words: np.ndarray) -> bool:
-        for n in self.lengths:
-            seeds, hit = grams(words, n), True
-            for at in self._places(seeds):
-                hit = hit & ((self.bits[at >> 3] >> (at & 7)) & 1).astype(bool)
-            if len(seeds) and hit.any():
-                return True
-        return False
-
-
-def _block(bench: DataFrame, block: int, n_blocks: int) -> list:
-    rows = bench.where(F.pmod(F.xxhash64("i", "t"), F.lit(n_blocks)) == block).collect()
-    return sorted(((r.i, r.t.encode() if r.t is not None else None) for r in rows), key=lambda r: (r[0] is None, r[0] or 0, r[1] or b""))
+    def of_items(batches):
+        def seeds_of(words):
+            n = max(min(k, len(words)), 1)
+            seeds = grams(words, n)
+            return n, seeds, np.arange(len(seeds))
+
+        return _seed_rows(batches, seeds_of)
+
+    items = settle(bench.mapInArrow(of_items, SEEDS).withColumn("item", F.monotonically_increasing_id()))
+    of_item = items.select("item", "size", "k", F.inline(F.arrays_zip("seeds", "times"))).withColumnRenamed("seeds", "seed")
+    lengths = sorted(r.k for r in items.select("k").distinct().collect())  # k of them at most
+    known = texts.sparkSession.sparkContext.broadcast(SeedFilter(of_item.select("seed")))
+
+    def of_texts(batches):
+        def seeds_of(words):
+            found, place = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
+            for n in lengths:
+                seeds = grams(words, n)
+                place.append(known.value.places(seeds))
+                found.append(seeds[place[-1]])
+            return k, np.concatenate(found), np.concatenate(place)
+
+        return _seed_rows(batches, seeds_of)
+
+    held = settle(texts.mapInArrow(of_texts, SEEDS).withColumn("text", F.monotonically_increasing_id()))
+    of_text = held.select("text", F.explode("seeds").alias("seed"))
+
+    of_one = Window.partitionBy("item")  # an item's seeds
+    least = F.greatest(F.ceil(F.ceil(F.col("size") * F.lit(float(min_coverage)) - 1e-9) / F.col("k")), F.lit(1))
+    present = of_item.join(of_text.groupBy("seed").agg(F.count("*").alias("texts")), "seed")
+    present = present.withColumns({"all": F.sum("times").over(of_one), "upto": F.sum("times").over(of_one.orderBy("texts", "seed").rowsBetween(Window.unboundedPreceding, 0))})
+    looked_up = present.where((F.col("all") >= least) & (F.col("upto") - F.col("times") <= F.col("all") - least)).select("item", "seed")
+
+    each_salt = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))
+    own_salt = F.pmod("text", F.lit(salts).cast("long"))
+    pairs = looked_up.withColumn("salt", each_salt).join(of_text.withColumn("salt", own_salt), ["seed", "salt"]).select("text", "item").distinct()
+    with_items = pairs.withColumn("salt", own_salt).join(items.select("item", F.col("id").alias("item_id"), "size", "k", F.col("found").alias("item_found"), F.col("place").alias("item_place"), each_salt.alias("salt")), ["item", "salt"])
+    both = with_items.join(held.select("text", "id", "found", "place"), "text").select("id", "item_id", "size", "k", "item_found", "item_place", "found", "place")
+
+    def tiled(batches):
+        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64())
+        for batch in slices(batches):
+            rows = []
+            for i, item, size, n, *seeds in zip(*[c.to_pylist() for c in batch.columns]):
+                item_found, item_place, found, place = (np.frombuffer(b, t) for b, t in zip(seeds, (U64, np.int64) * 2))
+                tiles = tiles_of_seeds((item_found, item_place), (found, place), size, n)
+                coverage = sum(t[2] for t in tiles) / size
+                if tiles and coverage >= min_coverage:
+                    rows.append((i, item, coverage, len(tiles), max(t[2] for t in tiles), tiles[0][1]))
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds)], ["id", "item", "coverage", "n_tiles", "longest", "at_word"])
+
+    return both.mapInArrow(tiled, "id long, item long, coverage double, n_tiles long, longest long, at_word long")
 
 
 def contaminated(
@@ -199,43 +279,28 @@ def contaminated(
     results, null ids go through, and so do empty tables (no rows); other columns
     are not read.
 
-    The benchmark goes to the tasks in blocks of about block_words words (a
-    broadcast of some 30 MB at most, unless one item is longer). Of several blocks,
-    a Bloom filter of all seeds first picks the texts that share any, in one pass
-    over the corpus; only these are held against every block.
+    A benchmark of up to block_words words (a broadcast of some 30 MB at most) goes to
+    the tasks whole and meets the texts where they are read. A larger one meets them in
+    a shuffle on seeds (seed_join). The result is the same.
     """
-    bench = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text).alias("t"))
+    spark = docs.sparkSession
+    bench = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text).alias("t")).where("t <> ''")
     words = bench.agg(F.sum(F.length("t") / 2 + 1)).first()[0] or 0  # words are two bytes or longer, with the gap
-    n_blocks = max(1, -(-int(words) // block_words))
-    schema = f"`{id_col}` long, `{item_col}` long, coverage double, n_tiles long, longest long, at_word long"
-    texts = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias(text_col))
-    sc = docs.sparkSession.sparkContext
-    if n_blocks > 1:
-        seeds = SeedFilter()
-        for block in range(n_blocks):
-            for _, text in _block(bench, block, n_blocks):
-                seeds.add(word_hashes(text), k)
-        filter_ = sc.broadcast(seeds)
-
-        def pick(batches):
-            for batch in slices(batches):
-                yield batch.filter(pa.array([filter_.value.meets(word_hashes(t)) for t in binaries(batch.column(1))], pa.bool_()))
-
-        texts = settle(texts.mapInArrow(pick, texts.schema))
-    out = None
-    for block in range(n_blocks):
-        shared = sc.broadcast(Items(_block(bench, block, n_blocks), k))
-
-        def run(batches, shared=shared):
-            for batch in slices(batches):
-                found = [[] for _ in range(6)]
-                for i, text in zip(batch.column(0).to_pylist(), binaries(batch.column(1))):
-                    for hit in shared.value.covered(text, min_coverage):
-                        for column, value in zip(found, (i, *hit)):
-                            column.append(value)
-                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(found, kinds)], [id_col, item_col, "coverage", "n_tiles", "longest", "at_word"])
-
-        part = texts.mapInArrow(run, schema)
-        out = part if out is None else out.unionByName(part)
-    return out
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    names = [id_col, item_col, "coverage", "n_tiles", "longest", "at_word"]
+    if words > block_words:
+        return seed_join(texts, bench, k, min_coverage).toDF(*names)
+    rows = sorted(((r.i, r.t.encode()) for r in bench.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    shared = spark.sparkContext.broadcast(Items(rows, k))
+
+    def run(batches):
+        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64())
+        for batch in slices(batches):
+            found = [[] for _ in range(6)]
+            for i, text in zip(batch.column(0).to_pylist(), binaries(batch.column(1))):
+                for hit in shared.value.covered(text, min_coverage):
+                    for column, value in zip(found, (i, *hit)):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(found, kinds)], ["id", "item", "coverage", "n_tiles", "longest", "at_word"])
+
+    return texts.mapInArrow(run, "id long, item long, coverage double, n_tiles long, longest long, at_word long").toDF(*names)

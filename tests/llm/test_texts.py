@@ -437,6 +437,33 @@ def test_op8_cases(spark, sf, texts):
     assert decontaminate.contaminated(docs, b.limit(0)).count() == 0 == decontaminate.contaminated(docs.limit(0), b).count()
 
 
+def test_op8_seed_join_gives_the_same(spark, sf):
+    """Random texts of few words, with phrases that most items and texts share, and the given tables: the shuffle on
+    seeds against the broadcast benchmark, whatever the coverage asked for."""
+    rng = random.Random(6)
+    phrase = "all rights are reserved by the owner of this page today"
+    word = lambda: rng.choice(["ka", "lo", "mi", "nu", "Pe", "ro"])
+    items = [(i, " ".join([phrase] * (i % 3 > 0) + [word() for _ in range(rng.randrange(1, 40))])) for i in range(60)]
+    items += [items[3], (None, items[4][1]), (90, "la " * 30), (91, phrase)]
+    texts = []
+    for i in range(150):
+        parts = [phrase] * (i % 2) + [word() for _ in range(rng.randrange(0, 60))]
+        for _ in range(rng.randrange(0, 4)):
+            own = rng.choice(items)[1].split()
+            at = rng.randrange(len(own))
+            parts.insert(rng.randrange(len(parts) + 1), " ".join(own[at : at + rng.randrange(1, 30)]))
+        texts.append((i, " ".join(parts)))
+    texts += [texts[5], (900, "la " * 3000), (901, None), (902, ""), (None, items[0][1])]
+    d = spark.createDataFrame(texts, "doc_id long, text string").repartition(5)
+    b = spark.createDataFrame(items, "item_id long, text string").repartition(3)
+    for coverage in (0.3, 0.5, 1.0):
+        whole, joined = (sorted(map(str, decontaminate.contaminated(d, b, min_coverage=coverage, block_words=n).collect())) for n in (10**6, 0))
+        assert whole == joined and whole
+    d, b = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
+    whole, joined = (sorted(map(str, decontaminate.contaminated(d, b, block_words=n).collect())) for n in (10**6, 0))
+    assert whole == joined and whole
+
+
 def expected_targets(size, share=1.5):
     names = sorted(size, key=lambda s: (s is None, s or ""))
     weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(names)}
