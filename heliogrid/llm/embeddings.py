@@ -8,6 +8,8 @@ can have a partner in a cell and must be copied there; cells then join alone.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -61,7 +63,13 @@ def choose_pivots(sample: np.ndarray, n: int) -> np.ndarray:
 
 
 def _links(x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
-    return x @ y.T >= threshold
+    product = x @ y.T
+    hits = product >= threshold
+    # rounding of the sums and of the scaling decides nothing: these pairs are summed exactly and divided by their lengths
+    for i, j in zip(*np.nonzero(np.abs(product - threshold) < 1e-12)):
+        a, b = x[i], y[j]
+        hits[i, j] = math.fsum(a * b) / math.sqrt(math.fsum(a * a) * math.fsum(b * b)) >= threshold
+    return hits
 
 
 def _settle_labels(hits: np.ndarray, left: np.ndarray, right: np.ndarray, changes: set) -> None:
@@ -179,7 +187,7 @@ def near_duplicates(
     id_col: str = "vec_id",
     vector_col: str = "embedding",
     threshold: float = 0.95,
-    max_pivots: int = 256,
+    max_pivots: int = 2048,
     rows_per_pivot: int = 4096,
     sample_rows: int = 4096,
     block: int = 16_384,
@@ -193,11 +201,14 @@ def near_duplicates(
     nothing; vectors of different lengths never link. Equal vectors are one class
     and count by their number. Rows with a null id get null and false, and count
     for no other row. Rows that repeat an id count as others. An empty table gives
-    no rows; other columns are not read. The cosine is the product of unit vectors
-    in double precision, so a pair within rounding (1e-15) of the threshold may
-    fall on either side.
-
-    Pivots are chosen from a bounded sample; any pivots give the same result.
+    no rows; other columns are not read. The cosine is the product of vectors scaled
+    to length 1 in double precision; of pairs within 1e-12 of the threshold it is summed
+    without rounding and divided by the lengths, so what is left is the rounding of
+    the scaled components.
+
+    Pivots are chosen from a bounded sample; any pivots give the same result. There is
+    one for rows_per_pivot rows, and from a million rows on sqrt(rows) / 4 of them, up
+    to max_pivots (a table of 32 MB of distances between them).
     Cells of any size are joined in blocks of about `block` rows, or as many as are
     block_bytes; a row is shipped once for each pair of blocks that it is in.
     """
@@ -206,9 +217,9 @@ def near_duplicates(
     classes = settle(good.groupBy("dims", "key", "key2").agg(F.min("id").alias("id"), F.first("unit").alias("unit"), F.count("*").alias("copies")))
     parts = None
     for row in classes.groupBy("dims").count().collect():  # a row for each vector length
-        n = int(np.clip(row["count"] // rows_per_pivot, 2, max_pivots))
+        n = int(np.clip(min(row["count"] // rows_per_pivot, math.isqrt(row["count"]) // 4), 2, max_pivots))
         held = max(1, min(block, block_bytes // (8 * row.dims)))
-        part = range_join(classes.where(F.col("dims") == row.dims), row.dims, threshold, n, sample_rows, held)
+        part = range_join(classes.where(F.col("dims") == row.dims), row.dims, threshold, n, max(sample_rows, 4 * n), held)
         parts = part if parts is None else parts.unionByName(part)
     one = F.when(F.col("id").isNotNull(), F.lit(0).cast("long"))
     if parts is None:

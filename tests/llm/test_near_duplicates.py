@@ -120,6 +120,19 @@ def test_op1_against_all_pairs(spark, union, sf):
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_op1_pairs_at_the_threshold():
+    """Pairs whose cosine is the threshold up to rounding are decided on an exact sum, whatever the order of the components."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(40, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    exact = lambda a, b: math.fsum(a * b) / math.sqrt(math.fsum(a * a) * math.fsum(b * b))
+    for a, b in zip(x[:20], x[20:]):
+        c = exact(a, b)
+        for threshold in (np.nextafter(c, -1), c, np.nextafter(c, 1)):
+            got = [bool(embeddings._links(a[p][None], b[p][None], threshold)[0, 0]) for p in (rng.permutation(64) for _ in range(4))]
+            assert got == [c >= threshold] * 4
+
+
 def test_op1_null_and_repeated_ids(spark):
     rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (None, [1.0, 0.0]), (2, [0.99, 0.01]), (3, None), (None, None)]
     got = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
