@@ -548,3 +548,39 @@ def test_quality_cases(spark):
     assert got[1] > 0.8 > 0.2 > got[2] and got[100] == got[101] and 0 <= got[100] <= 1
     assert {r.score for r in quality.score_quality(docs, labels.limit(0)).collect()} == {0.5}
     assert quality.score_quality(docs.limit(0), labels).count() == 0
+
+
+def test_op7_pairs_of_frequent_seeds(spark, union):
+    """Pairs that neither the first nor the last holder of their seeds has a passage with: runs of
+    50 words of which many other texts hold 40, and two lines of many texts amid edits."""
+    rng = random.Random(31)
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    p, lines, other = fresh(50), [fresh(24), fresh(24)], fresh(60)
+    for every in (2, 40):  # few holders, many holders
+        texts = [fresh(20) + p[:40] + fresh(20) for _ in range(every)] + [fresh(20) + p[10:] + fresh(20) for _ in range(every)]
+        texts += [fresh(10) + p + fresh(30), fresh(30) + p + fresh(10), fresh(5) + p + fresh(5)]
+        texts += [lines[0] + fresh(40) + lines[1] for _ in range(every)]
+        texts += [fresh(9) + lines[0] + fresh(3) + lines[1] + fresh(9), fresh(20) + lines[0] + fresh(3) + lines[1] + fresh(20)]
+        texts += [fresh(5) + other + fresh(n) for n in (5, 6, 7, 8)]
+        rng.shuffle(texts)
+        words_ = [np.array([hash(w) for w in t], np.int64).view(np.uint64) for t in texts]
+        want = {(i, j) for j in range(len(texts)) for i in range(j) if next(substrings.passages(words_[i], words_[j], 4, 50, 0.8), None)}
+        rows = substrings.repeated_passages(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")).collect()
+        got = {tuple(sorted((r.doc_id, r.partner_id))) for r in rows}
+        u, v = union(range(len(texts))), union(range(len(texts)))
+        for pairs, to in ((want, u), (got, v)):
+            for i, j in pairs:
+                to.join(i, j)
+        assert len(want) == 10 and got <= want and [u.find(i) for i in range(len(texts))] == [v.find(i) for i in range(len(texts))]
+        assert every > 2 or got == want
+        assert all(r.class_id == u.find(r.doc_id) for r in rows)
+
+
+def test_op7_bound_on_covered_words():
+    rng = random.Random(33)
+    for _ in range(50):
+        a, b = ([np.array([rng.randrange(9) for _ in range(rng.randrange(60))], np.uint64) for _ in range(4)] for _ in range(2))
+        bound = substrings.covered_words(a, b, 4)
+        for i, j in np.ndindex(4, 4):
+            seen = {tuple(b[j][y : y + 4]) for y in range(len(b[j]) - 3)}
+            assert bound[i, j] >= len({x + z for x in range(len(a[i]) - 3) if tuple(a[i][x : x + 4]) in seen for z in range(4)})
