@@ -584,3 +584,44 @@ def test_op7_bound_on_covered_words():
         for i, j in np.ndindex(4, 4):
             seen = {tuple(b[j][y : y + 4]) for y in range(len(b[j]) - 3)}
             assert bound[i, j] >= len({x + z for x in range(len(a[i]) - 3) if tuple(a[i][x : x + 4]) in seen for z in range(4)})
+
+
+def test_op7_groups_of_a_line_propose_few_pairs():
+    """400 texts with the same two lines far apart: their pairs cover enough words for a passage, but in no chain."""
+    rng = random.Random(35)
+    lines, texts = [numbered(rng, 14) for _ in range(2)], []
+    for _ in range(400):
+        texts.append(np.concatenate([numbered(rng, 10), lines[0], numbered(rng, 120), lines[1], numbered(rng, 10)]))
+    p = numbered(rng, 60)
+    for _ in range(3):
+        texts.append(np.concatenate([lines[0], numbered(rng, 30), p, numbered(rng, 90), lines[1]]))
+    side, component = np.repeat([0, 1], len(texts)), np.tile(np.arange(len(texts)), 2)
+    x, y = substrings.possible_pairs(texts * 2, side, component, 4, *substrings.least_cover(4, 50, 0.8))
+    pairs = set(zip(x.tolist(), (y - len(texts)).tolist()))
+    assert {(i, j) for i in range(400, 403) for j in range(400, 403) if i != j} <= pairs and len(pairs) < 100
+
+
+def test_op7_bounds_lose_no_passage(monkeypatch):
+    """Texts of few words, pieces of others and repeats: no pair with a passage is left out, and no passage."""
+    rng = random.Random(36)
+    pieces = [numbered(rng, n) for n in (12, 20, 30, 45, 55, 80)] + [np.tile(numbered(rng, n), 40 // n) for n in (1, 2, 7)]
+    for _ in range(12):
+        texts = []
+        for _ in range(14):
+            text = []
+            for piece in rng.sample(pieces, 4):
+                piece = piece.copy()
+                for at in range(len(piece)):
+                    if rng.random() < 0.06:
+                        piece[at] = rng.randrange(2**63)
+                text += [piece, numbered(rng, rng.randrange(25))]
+            texts.append(np.concatenate(text))
+        n = len(texts)
+        found = {(i, j): list(substrings.passages(texts[i], texts[j], 4, 50, 0.8)) for i in range(n) for j in range(n) if i != j}
+        x, y = substrings.possible_pairs(texts * 2, np.repeat([0, 1], n), np.tile(np.arange(n), 2), 4, *substrings.least_cover(4, 50, 0.8), rare=rng.choice([1, 3, 8]))
+        proposed = set(zip(x.tolist(), (y - n).tolist()))
+        with monkeypatch.context() as free:
+            free.setattr(substrings, "may_chain", lambda *_: True)
+            free.setattr(substrings, "equal_words", lambda *_: 10**6)
+            assert found == {(i, j): list(substrings.passages(texts[i], texts[j], 4, 50, 0.8)) for i, j in found}
+        assert {z for z, rows in found.items() if rows} <= proposed and any(found.values())
