@@ -625,3 +625,23 @@ def test_op7_bounds_lose_no_passage(monkeypatch):
             free.setattr(substrings, "equal_words", lambda *_: 10**6)
             assert found == {(i, j): list(substrings.passages(texts[i], texts[j], 4, 50, 0.8)) for i, j in found}
         assert {z for z, rows in found.items() if rows} <= proposed and any(found.values())
+
+
+@pytest.mark.parametrize("block", [8, 1024])
+def test_op7_all_pairs_of_frequent_seeds_have_rows(spark, monkeypatch, block):
+    """40 texts of one class, by a passage that all hold, of which each also has an edited copy of one of two
+    others, held by 20: every pair has its rows, whatever else connects it, by lists or blocks of any size."""
+    rng = random.Random(37)
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    p, others, cells = fresh(55), [fresh(90), fresh(90)], substrings.frequent_cells
+    monkeypatch.setattr(substrings, "frequent_cells", lambda *a: cells(*a, block=block))
+    texts = []
+    for n in range(40):
+        edited = [w if rng.random() > 0.02 else f"edit{n}" for w in others[n % 2]]
+        texts.append(fresh(rng.randrange(9)) + p + fresh(120) + edited + fresh(rng.randrange(9)))
+    words_ = [np.array([hash(w) for w in t], np.int64).view(np.uint64) for t in texts]
+    want = {frozenset((i, j)): len(list(substrings.passages(words_[i], words_[j], 4, 50, 0.8))) for j in range(40) for i in range(j)}
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    for all_pairs in (4, 32):
+        got = Counter(frozenset((r.doc_id, r.partner_id)) for r in substrings.repeated_passages(df, all_pairs=all_pairs).collect())
+        assert got == want and sorted(set(want.values())) == [1, 2]
