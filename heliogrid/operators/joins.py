@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import settled
+from ..session import few, settled
 from .scans import WIDTH, known_around
 
 
@@ -66,28 +66,45 @@ def exact_run(values: DataFrame, keys: list[str], every: int) -> DataFrame:
     return values.where(serves).select(*keys, "target", "issue", "value")
 
 
-def nearest_point(sites: DataFrame, points: DataFrame, cell: float = 5.0) -> DataFrame:
+def nearest_point(sites: DataFrame, points: DataFrame, most: int = 256) -> DataFrame:
     """(site_id, point_id, d2): the nearest grid point by squared degrees; of equals the smallest point_id.
 
-    Points and sites meet on cells of `cell` degrees: first those in the nine
-    cells around a site; a hit nearer than a cell's width is final. Sites without
-    one are tried again with cells four times as wide, until all have one.
+    Places count once, however many sites or points are there; a NULL or not finite one is none.
+    The points' extent is cut in 4 x 4 cells, these again, until none has more than `most` places. A site
+    goes down from cell to cell, level by level, with the bounds of the points in them: cells that begin
+    farther off than another one ends are left out. So the work grows with sites times levels, not with
+    pairs, wherever points are dense.
     """
-    out, rest, width = None, sites.select("site_id", "lat", "lon"), cell
-    while True:
-        box = lambda c, w=width: F.floor(F.col(c) / w).cast("long")
-        s = rest.withColumn("__y", F.explode(F.array(*[box("lat") + k for k in (-1, 0, 1)]))).withColumn("__x", F.explode(F.array(*[box("lon") + k for k in (-1, 0, 1)])))
-        p = points.select("point_id", F.col("lat").alias("plat"), F.col("lon").alias("plon"), box("lat").alias("__y"), box("lon").alias("__x"))
-        d2 = (F.col("lat") - F.col("plat")) * (F.col("lat") - F.col("plat")) + (F.col("lon") - F.col("plon")) * (F.col("lon") - F.col("plon"))
-        best = s.join(p, ["__y", "__x"]).withColumn("d2", d2).groupBy("site_id").agg(F.min(F.struct("d2", "point_id")).alias("r"))
-        last = width > 360
-        near = best.select("site_id", "r.point_id", "r.d2")
-        near = settled(near if last else near.where(F.col("d2") <= width * width))
-        out = near if out is None else out.unionByName(near)
-        rest = rest.join(near, "site_id", "left_anti")
-        if last or rest.isEmpty():
-            return out
-        width *= 4
+    finite = lambda c: F.col(c).isNotNull() & (F.abs(c) < F.lit(float("inf")))
+    places = settled(points.where(finite("lat") & finite("lon")).groupBy(F.col("lat").alias("plat"), F.col("lon").alias("plon")).agg(F.min("point_id").alias("point_id")))
+    low_y, low_x, high_y, high_x = places.agg(F.min("plat"), F.min("plon"), F.max("plat"), F.max("plon")).first()
+    size = 1.0 if low_y is None else float(max(high_y - low_y, high_x - low_x)) or 1.0
+
+    def in_cells(level: int) -> DataFrame:
+        n = 4**level
+        cell = lambda c, low: F.least(F.floor((F.col(c) - F.lit(low)) / size * n).cast("long"), F.lit(n - 1))
+        return places.withColumns({"y": cell("plat", low_y), "x": cell("plon", low_x)})
+
+    levels = 0
+    while levels < 16 and not in_cells(levels).groupBy("y", "x").count().where(F.col("count") > most).isEmpty():
+        levels += 1
+    leaves = in_cells(levels)
+    square = lambda c: c * c
+    near = sites.where(finite("lat") & finite("lon")).select("lat", "lon").distinct().withColumns({"y": F.lit(0).cast("long"), "x": F.lit(0).cast("long")})
+    for level in range(1, levels + 1):
+        up = lambda c, by: F.shiftright(c, 2 * by)
+        at = [up("y", levels - level).alias("cy"), up("x", levels - level).alias("cx")]
+        ends = [f("p" + c).alias(f"{n}_{c}") for c in ("lat", "lon") for n, f in (("lo", F.min), ("hi", F.max))]
+        cells = settled(leaves.groupBy(*at).agg(*ends)).withColumns({"y": up("cy", 1), "x": up("cx", 1)})
+        below, above = ({c: F.col(f"lo_{c}") - F.col(c) for c in ("lat", "lon")}, {c: F.col(c) - F.col(f"hi_{c}") for c in ("lat", "lon")})
+        begins = sum(square(F.greatest(below[c], above[c], F.lit(0))) for c in ("lat", "lon"))
+        ends_at = sum(square(F.greatest(F.abs(below[c]), F.abs(above[c]))) for c in ("lat", "lon"))
+        near = near.join(few(cells), ["y", "x"]).select("lat", "lon", F.col("cy").alias("y"), F.col("cx").alias("x"), begins.alias("begins"), ends_at.alias("ends"))
+        near = near.withColumn("least", F.min("ends").over(Window.partitionBy("lat", "lon"))).where("begins <= least").select("lat", "lon", "y", "x")
+    d2 = (F.col("lat") - F.col("plat")) * (F.col("lat") - F.col("plat")) + (F.col("lon") - F.col("plon")) * (F.col("lon") - F.col("plon"))
+    first = lambda df, *by: df.groupBy(*by).agg(F.min(F.struct("d2", "point_id")).alias("r")).select(*by, "r.point_id", "r.d2")
+    best = first(near.join(few(leaves), ["y", "x"]).withColumn("d2", d2), "lat", "lon")
+    return first(sites.select("site_id", "lat", "lon").join(best, ["lat", "lon"]), "site_id")
 
 
 def assign_folds(rows: DataFrame, folds: DataFrame, ts: str, most: int = 1000) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from heliogrid.operators import satellite, selection, windows
+from heliogrid.operators import joins, satellite, selection, windows
 from heliogrid.sources import files, io
 from heliogrid.sources.runs import FoldRun
 from heliogrid.streaming import streams
@@ -105,6 +105,32 @@ def test_nearest_axis_against_pairs_without_a_cross_join(spark, width):
         assert got[t] == (None if x is None else min((abs(x - y), s) for s, y in source if y is not None)[1])
 
 
+@pytest.mark.parametrize("most", [1, 3, 256])
+def test_nearest_point_against_pairs(spark, most):
+    """Sites in and far from clusters of every density, ties, places that repeat and such that are none."""
+    rng = random.Random(3)
+    near = lambda lat, lon, by: (lat + rng.uniform(-by, by), lon + rng.uniform(-by, by))
+    points = [near(*c) for c in ((10, 20, 1e-6), (10, 21, 0.1), (-50, -170, 30)) for _ in range(60)] + [(float(rng.randrange(5)), float(rng.randrange(5))) for _ in range(60)]
+    points = list(enumerate(points)) + [(-1, (None, 1.0)), (-2, (float("nan"), 1.0)), (-3, (float("inf"), 1.0))]
+    sites = [near(*c) for c in ((10, 20, 2e-6), (10, 21, 1), (0, 0, 90)) for _ in range(40)] + [(rng.randrange(9) / 2, rng.randrange(9) / 2) for _ in range(40)]
+    frame = lambda rows, key: spark.createDataFrame([(k, *place) for k, place in rows], f"{key} long, lat double, lon double")
+    got = joins.nearest_point(frame([*enumerate(sites), (999, (1.0, None))], "site_id"), frame(points, "point_id"), most).collect()
+    d2 = lambda a, b: (a[0] - b[0]) * (a[0] - b[0]) + (a[1] - b[1]) * (a[1] - b[1])
+    want = [(k, *min((d2(s, p), i) for i, p in points if i >= 0)[::-1]) for k, s in enumerate(sites)]
+    assert sorted(map(tuple, got)) == want
+    assert joins.nearest_point(frame(enumerate(sites), "site_id"), frame([], "point_id"), most).count() == 0
+
+
+def test_nearest_point_of_dense_points_is_no_cross_join(spark):
+    """100,000 sites and 100,000 points within a degree, at as many places and at few: 10^10 pairs share a cell of a degree."""
+    x = lambda c, n: F.pmod(F.xxhash64(F.lit(c), F.col("id") % n), F.lit(1 << 20)) / (1 << 20)
+    for n in (10, 100_000):
+        points = spark.range(100_000).select(F.col("id").alias("point_id"), x("lat", n).alias("lat"), x("lon", n).alias("lon"))
+        sites = points.select(F.col("point_id").alias("site_id"), "lat", "lon")
+        got = joins.nearest_point(sites, points).agg(F.count("*"), F.max("d2"), F.max("point_id")).first()
+        assert got[:2] == (100_000, 0.0) and (got[2] == 9 if n == 10 else got[2] > 99_000)
+
+
 def test_unreadable_parts_are_reported(spark, tmp_path):
     path = str(tmp_path)
     io.append_part(spark.createDataFrame([(1, 1), (2, 1)], "k long, n long"), path, "a", "k", "n")
