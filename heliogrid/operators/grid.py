@@ -19,6 +19,10 @@ ALIASES = {
 }
 
 
+#: Slots of a stretch of a site's grid, which one task fills.
+STRETCH = 4096
+
+
 def normalise_metadata(meta: DataFrame) -> DataFrame:
     """(site_id, lat, lon, capacity_mw) from the first known alias of each; kW become MW."""
     found = {k: next((c for c in names if c in meta.columns), None) for k, names in ALIASES.items()}
@@ -51,11 +55,23 @@ def canonical_grid(observations: DataFrame, sites: DataFrame, extra: list[str] =
     observations: (site_id, time_idx, energy_mwh, ...) with unique keys; sites:
     (site_id, capacity_mw), one row each. Negative energy counts as missing; a gap
     is NULL with observation_available false and quality_status `missing`, never 0.
+    Each observation makes the gap after it, within a stretch of STRETCH slots of the
+    site, so that only observations are shuffled, and a long series is many groups.
     """
-    o = observations.withColumn("energy_mwh", F.when(F.col("energy_mwh") >= 0, F.col("energy_mwh")))
+    o = observations.where("site_id IS NOT NULL AND time_idx IS NOT NULL").withColumn("energy_mwh", F.when(F.col("energy_mwh") >= 0, F.col("energy_mwh")))
+    piece = lambda c: F.floor(F.col(c) / STRETCH).cast("long")
     ends = o.groupBy("site_id").agg(F.min("time_idx").alias("lo"), F.max("time_idx").alias("hi"))
-    grid = ends.select("site_id", F.explode(F.sequence("lo", "hi")).alias("time_idx"))
-    out = grid.join(o.select("site_id", "time_idx", "energy_mwh", *extra), ["site_id", "time_idx"], "left").join(sites, "site_id")
+    begins = ends.withColumn("__piece", F.explode(F.sequence(piece("lo"), piece("hi"))))
+    at, until = F.greatest("lo", F.col("__piece") * STRETCH), F.least("hi", (F.col("__piece") + 1) * STRETCH - 1)
+    begins = begins.select("site_id", "__piece", at.alias("time_idx"), until.alias("__until"))
+    rows = begins.unionByName(o.select("site_id", piece("time_idx").alias("__piece"), "time_idx", F.struct("energy_mwh", *extra).alias("__seen")), allowMissingColumns=True)
+    w = Window.partitionBy("site_id", "__piece").orderBy("time_idx", F.col("__until").isNull())  # the beginning of a stretch comes first
+    rows = rows.join(sites, "site_id").withColumns({"__next": F.lead("time_idx").over(w), "__last": F.first("__until").over(w)})
+    gap = F.coalesce(F.col("__next"), F.col("__last") + 1) - F.col("time_idx")
+    slots = F.greatest(gap, F.col("__seen").isNotNull().cast("long"))
+    rows = rows.where(slots > 0).withColumn("__k", F.explode(F.sequence(F.lit(0).cast("long"), slots - 1)))
+    value = lambda c: F.when(F.col("__k") == 0, F.col(f"__seen.{c}")).alias(c)
+    out = rows.select("site_id", (F.col("time_idx") + F.col("__k")).alias("time_idx"), value("energy_mwh"), *[value(c) for c in extra], *[c for c in sites.columns if c != "site_id"])
     seen = F.col("energy_mwh").isNotNull()
     return out.withColumns(
         {
@@ -96,10 +112,10 @@ def regular_series(df: DataFrame, order: str, step: int) -> DataFrame:
 
 
 def manifest(canonical: DataFrame) -> DataFrame:
-    """Counts and ranges for each site, and for all with site_id NULL."""
+    """Counts and ranges for each site, and, of these, for all with site_id NULL."""
     cf = F.col("capacity_factor")
     count = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
-    return canonical.rollup("site_id").agg(
+    sites = canonical.groupBy("site_id").agg(
         F.count("*").alias("rows"),
         count(F.col("observation_available")).alias("observed"),
         count(~F.col("observation_available")).alias("gaps"),
@@ -110,6 +126,8 @@ def manifest(canonical: DataFrame) -> DataFrame:
         count(cf > 1).alias("above_one"),
         count(cf < 0).alias("below_zero"),
     )
+    least, most = ("first_idx", "cf_min"), ("last_idx", "cf_max")
+    return sites.rollup("site_id").agg(*[(F.min(c) if c in least else F.max(c) if c in most else F.coalesce(F.sum(c), F.lit(0))).alias(c) for c in sites.columns[1:]])
 
 
 def _number(c: str) -> Column:

@@ -1,6 +1,7 @@
 """Golden values of small hand-made inputs."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -112,6 +113,35 @@ def test_nearest_point(spark):
     assert {r.site_id: r.point_id for r in joins.nearest_point(sites, points).collect()} == {"s": 11, "far": 0}
 
 
+@pytest.mark.parametrize("stretch", [1, 4, 4096])
+def test_canonical_grid_in_stretches(spark, monkeypatch, stretch):
+    """Every slot from the first to the last observation, by plain loops; sites and times that are NULL are none."""
+    monkeypatch.setattr(grid, "STRETCH", stretch)
+    rng = random.Random(5)
+    seen = {(s, t): (rng.choice([None, -1.0, rng.random()]), str(t)) for s in (1, 2, 3) for t in rng.sample(range(-20, 40), 3**s)}
+    rows = [(*k, *v) for k, v in seen.items()] + [(None, 5, 1.0, "x"), (1, None, 1.0, "x"), (4, None, 1.0, "x")]
+    o = spark.createDataFrame(rows, "site_id long, time_idx long, energy_mwh double, note string")
+    got = grid.canonical_grid(o, spark.createDataFrame([(s, 1.0) for s in (1, 2, 3, 4, 5)], "site_id long, capacity_mw double"), ["note"])
+    times = {s: [t for x, t in seen if x == s] for s in (1, 2, 3)}
+    want = []
+    for s in times:
+        for t in range(min(times[s]), max(times[s]) + 1):
+            e, note = seen.get((s, t), (None, None))
+            e = e if e is not None and e >= 0 else None
+            want.append((s, t, e, note, e is not None, "missing" if e is None else "ok"))
+    assert sorted(map(tuple, got.select("site_id", "time_idx", "energy_mwh", "note", "observation_available", "quality_status").collect()), key=lambda r: r[:2]) == want
+
+
+def test_canonical_files_do_not_grow_with_sites(spark, tmp_path):
+    """3,000 sites were 3,000 folders; now there is a file for each partition, and a site is read from few row groups."""
+    o = spark.range(6000).select((F.col("id") % 3000).alias("site_id"), (F.col("id") % 4 * 7).alias("time_idx"), F.lit(1.0).alias("energy_mwh"))
+    c = grid.canonical_grid(o.dropDuplicates(["site_id", "time_idx"]), o.select("site_id").distinct().withColumn("capacity_mw", F.lit(1.0)))
+    io.write_canonical(c, grid.manifest(c), str(tmp_path))
+    assert len(list((tmp_path / "data").rglob("*.parquet"))) <= 64 and not [p for p in (tmp_path / "data").iterdir() if p.is_dir()]
+    data, listed = io.read_canonical(spark, str(tmp_path))
+    assert sorted(data.collect()) == sorted(c.collect()) and listed.count() == 3001 and dict(data.dtypes) == dict(c.dtypes)
+
+
 def test_asof(spark):
     left = spark.createDataFrame([("s", 0), ("s", 900)], "site string, t long")
     right = spark.createDataFrame([("s", -60, 0.1), ("s", 840, 0.2), ("x", 0, 9.0)], "site string, t long, v double")
